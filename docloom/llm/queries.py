@@ -1,0 +1,74 @@
+"""The queries of the operators in this package, each over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import rankfuse, repeated, split, tokenize
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, hard_cut of each oversized document."""
+    plans = split.split_documents(table(spark, folder, "documents"), with_text=False)
+    return plans.filter("oversized").select("doc_id", "hard_cut")
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of all documents."""
+    return split.piece_rows(table(spark, folder, "documents"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, line_no of each line that recurs within its source."""
+    return repeated.repeated_lines(table(spark, folder, "documents"))
+
+
+def p4_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's text without the lines that recur within its source."""
+    return repeated.without_repeated_lines(table(spark, folder, "documents"))
+
+
+def latest_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """variant, bertscore_f1: the mean over queries of the score made last."""
+    last = table(spark, folder, "bertscore_results").groupBy("variant", "query_id").agg(F.max_by("bertscore_f1", "scored_at").alias("f1"))
+    return last.filter(F.col("f1").isNotNull() & ~F.isnan("f1")).groupBy("variant").agg(F.avg("f1").alias("bertscore_f1"))
+
+
+SCORES = ("context_relevance_proxy_mean", "faithfulness_proxy_mean", "citation_validity_mean", "bertscore_f1")
+
+
+def _variants(spark: SparkSession, folder: str) -> DataFrame:
+    proxies = table(spark, folder, "proxy_eval_summary_by_variant").select("variant", *SCORES[:3])
+    return proxies.join(latest_scores(spark, folder), "variant", "left")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """variant: the first twentieth of the variants that have all four scores."""
+    whole = _variants(spark, folder)
+    for s in SCORES:
+        whole = whole.filter(F.col(s).isNotNull() & ~F.isnan(s))
+    ranking = rankfuse.borda_ranking(whole, "variant", dict.fromkeys(SCORES, 1.0))
+    first = ranking.agg(F.floor(F.count(F.lit(1)) / 20).alias("_first"))
+    return ranking.join(F.broadcast(first), F.col("position") <= F.col("_first")).select("variant")
+
+
+def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """All variants in one ranking; a missing score counts as the middle rank."""
+    return rankfuse.borda_ranking(_variants(spark, folder), "variant", dict.fromkeys(SCORES, 1.0))
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, ids of every document."""
+    return tokenize.encode_corpus(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_cleaned, p5_found, p5_ranking, p8_ids)
+}
