@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rankfuse, repeated, split, tokenize
+from . import leaks, neardup, rankfuse, repeated, split, tokenize
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,19 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.piece_rows(table(spark, folder, "documents"))
 
 
+FOUND_DUPLICATES = neardup.DuplicateConfig(shingle=3, threshold=0.6, min_words=20, rows=5, bands=50)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_a, doc_b of all pairs of near-equal texts: three words, similarity 0.6."""
+    return neardup.near_duplicate_pairs(table(spark, folder, "documents"), config=FOUND_DUPLICATES).select("doc_a", "doc_b")
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's group of near-duplicates: five words, similarity 0.8."""
+    return neardup.near_duplicate_groups(table(spark, folder, "documents"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, line_no of each line that recurs within its source."""
     return repeated.repeated_lines(table(spark, folder, "documents"))
@@ -69,6 +82,16 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, folder, "documents"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, item_id of each evaluation item that leaked into a document."""
+    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "heldout_items"))
+
+
+def p9_near(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, but for one inserted, dropped or replaced word in the passage."""
+    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "heldout_items"), config=leaks.LeakConfig(edits=1))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_cleaned, p5_found, p5_ranking, p8_ids)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p4_found, p4_cleaned, p5_found, p5_ranking, p8_ids, p9_found, p9_near)
 }
