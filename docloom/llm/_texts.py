@@ -46,14 +46,14 @@ def powers(n: int) -> np.ndarray:
 class Words:
     """Hashes of the words of several texts, in order.
 
-    hashes: uint64 per word; offsets: the words of text i are
-    ``hashes[offsets[i]:offsets[i + 1]]``.
+    hashes: uint64 per word; lengths: characters of each; offsets: the words of
+    text i are ``hashes[offsets[i]:offsets[i + 1]]``.
     """
 
-    __slots__ = ("hashes", "offsets")
+    __slots__ = ("hashes", "lengths", "offsets")
 
-    def __init__(self, hashes: np.ndarray, offsets: np.ndarray):
-        self.hashes, self.offsets = hashes, offsets
+    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, offsets: np.ndarray):
+        self.hashes, self.lengths, self.offsets = hashes, lengths, offsets
 
     @property
     def counts(self) -> np.ndarray:
@@ -76,14 +76,14 @@ def hash_words(texts: list[str | None]) -> Words:
     begin, end = edge[::2], edge[1::2]
     offsets = np.searchsorted(begin, starts_of)
     if not len(begin):
-        return Words(np.zeros(0, dtype=np.uint64), offsets)
+        return Words(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), offsets)
     length = end - begin
     seg = np.zeros(len(length), dtype=np.int64)
     np.cumsum(length[:-1], out=seg[1:])
     chars = buf[word]
     local = np.arange(len(chars)) - np.repeat(seg, length)
     h = np.add.reduceat(_VALUE[chars] * powers(int(length.max()))[local], seg)
-    return Words(mix(h + length.astype(np.uint64)), offsets)
+    return Words(mix(h + length.astype(np.uint64)), length, offsets)
 
 
 def hash_windows(words: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

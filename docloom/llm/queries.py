@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, neardup, rankfuse, repeated, split, tokenize
+from . import leaks, neardup, pairs, quality, rankfuse, repeated, split, tokenize
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,16 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, folder, "documents"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, form of each document that is a list, a table or junk."""
+    return p3_statistics(spark, folder).filter("form <> 'prose'").select("doc_id", "form")
+
+
+def p3_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics and form of every document."""
+    return quality.describe(table(spark, folder, "documents"), common_words=table(spark, folder, "common_words"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, line_no of each line that recurs within its source."""
     return repeated.repeated_lines(table(spark, folder, "documents"))
@@ -77,6 +87,11 @@ def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return rankfuse.borda_ranking(_variants(spark, folder), "variant", dict.fromkeys(SCORES, 1.0))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """result_id, defect of each answer that is no proper answer."""
+    return pairs.defective_pairs(table(spark, folder, "generation_results_smoke_v1"), table(spark, folder, "evaluation_queries_blueprint"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, ids of every document."""
     return tokenize.encode_corpus(table(spark, folder, "documents"))
@@ -93,5 +108,5 @@ def p9_near(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p4_found, p4_cleaned, p5_found, p5_ranking, p8_ids, p9_found, p9_near)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_statistics, p4_found, p4_cleaned, p5_found, p5_ranking, p7_found, p8_ids, p9_found, p9_near)
 }
