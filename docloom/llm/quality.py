@@ -198,11 +198,19 @@ def _form(text: str, lines: list[str], dominant: float, config: FormConfig) -> s
     return "prose"
 
 
+def forms_of(texts: list[str | None], config: FormConfig = FormConfig()) -> list[str]:
+    """prose, list, table or junk for each text."""
+    dominant = _dominant(hash_words(texts))
+    out = []
+    for text, d in zip(texts, dominant):
+        lines = [s for line in text.split("\n") if (s := line.strip())] if text else []
+        out.append(_form(text, lines, float(d), config) if lines else "prose")
+    return out
+
+
 def form_of(text: str | None, config: FormConfig = FormConfig()) -> str:
     """prose, list, table or junk."""
-    if not text:
-        return "prose"
-    return _lines_of(text, float(_dominant(hash_words([text]))[0]), config).form
+    return forms_of([text], config)[0]
 
 
 def _dominant(words: Words) -> np.ndarray:

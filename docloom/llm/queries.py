@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, neardup, pairs, quality, rankfuse, repeated, split, tokenize
+from . import leaks, neardup, pairs, quality, rankfuse, repeated, split, subjects, tokenize
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -107,6 +107,16 @@ def p9_near(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "heldout_items"), config=leaks.LeakConfig(edits=1))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, subject of each subject that a document is about."""
+    return subjects.document_subjects(*(table(spark, folder, t) for t in ("documents", "doc_labels", "subject_areas")))
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by subject."""
+    return p10_found(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_statistics, p4_found, p4_cleaned, p5_found, p5_ranking, p7_found, p8_ids, p9_found, p9_near)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_statistics, p4_found, p4_cleaned, p5_found, p5_ranking, p7_found, p8_ids, p9_found, p9_near, p10_found, p10_composition)
 }
