@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, neardup, pairs, quality, rankfuse, repeated, split, subjects, tokenize
+from . import leaks, neardup, pairs, quality, rankfuse, repeated, split, subjects, tokenize, vectors
+from ._plan import broadcast_if_small
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,6 +88,22 @@ def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return rankfuse.borda_ranking(_variants(spark, folder), "variant", dict.fromkeys(SCORES, 1.0))
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """vec_id, embedding, embedding_dimension: the one that the vector's snapshot has."""
+    dimensions = table(spark, folder, "summary").select("snapshot_id", "embedding_dimension").distinct()
+    return table(spark, folder, "embedding_records").select("vec_id", "snapshot_id", "embedding").join(broadcast_if_small(dimensions, 10_000), "snapshot_id")
+
+
+def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar vectors of each vector, from cosine 0.85 on."""
+    return vectors.nearest(_vectors(spark, folder))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """vec_a, vec_b of the pairs in which either is among the other's 5 most similar."""
+    return vectors.mutual_pairs(p6_neighbours(spark, folder)).select("vec_a", "vec_b")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """result_id, defect of each answer that is no proper answer."""
     return pairs.defective_pairs(table(spark, folder, "generation_results_smoke_v1"), table(spark, folder, "evaluation_queries_blueprint"))
@@ -118,5 +135,5 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_statistics, p4_found, p4_cleaned, p5_found, p5_ranking, p7_found, p8_ids, p9_found, p9_near, p10_found, p10_composition)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_statistics, p4_found, p4_cleaned, p5_found, p5_ranking, p6_found, p6_neighbours, p7_found, p8_ids, p9_found, p9_near, p10_found, p10_composition)
 }
