@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._texts import U64, chunks, hash_windows, hash_words, mix
-from .quality import forms_of
+from ._texts import U64, Words, chunks, hash_windows, hash_words
+from .quality import FUNCTION_WORDS, forms_of
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,8 @@ class SubjectConfig:
     without a subject; rounds: of updates; support: labelled documents a term must
     occur in; anchored: share of a term in a subject's component from which it
     counts; pure: share of a term's documents with the subject's label that it
-    needs, smoothing that many documents without it added; doubt: what a unit may use of subjects that its labels do not name.
+    needs, smoothing that many documents without it added; doubt: what a unit may use of subjects that its labels do not name;
+    prose_words: share of function words from which a text is surely no junk.
     """
 
     least_share: float = 0.25
@@ -44,6 +45,7 @@ class SubjectConfig:
     pure: float = 0.5
     smoothing: float = 0.5
     doubt: float = 0.02
+    prose_words: float = 0.15
 
 
 _STOP = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
@@ -60,8 +62,10 @@ def units_of(text: str) -> list[str]:
     """The sentences, entries and rows of a text.
 
     Lines are joined where sentences run over their ends; sentences strung together
-    are cut at their joints.
+    are cut at their joints. Asides that compare with something else are left out.
     """
+    if "nother matter" in text or "(" in text or "uch as" in text:
+        text = _TRAIL.sub("", text)
     lines = [s for x in text.split("\n") if (s := x.strip())]
     if len(lines) > 2:
         ended = sum(_ENDED.search(x) is not None for x in lines)
@@ -77,9 +81,8 @@ def units_of(text: str) -> list[str]:
     return [u for u in out if _LETTERS.search(u)]
 
 
-def _terms(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and word pairs of units, and the unit of each."""
-    words = hash_words(units)
     pair, of = hash_windows(words, 2, seed=5)
     return np.concatenate([words.hashes, pair]), np.concatenate([words.document_of(), of])
 
@@ -104,13 +107,19 @@ def factor(row: np.ndarray, col: np.ndarray, allowed: np.ndarray, seed: np.ndarr
 
 @dataclass
 class SubjectModel:
-    """Hashes of the anchored terms, sorted, and each one's share in every subject and, last, in none."""
+    """Hashes of the anchored terms, sorted; the component of each (the last is none of the subjects) and its share there."""
 
     subjects: list[str]
     terms: np.ndarray
-    shares: np.ndarray
+    component: np.ndarray
+    share: np.ndarray
     config: SubjectConfig
 
+    def __post_init__(self):
+        self._maybe = np.zeros(1 << 18, dtype=bool)
+        self._maybe[self.terms >> U64(46)] = True
+        self._function = np.unique(hash_words([w for w in FUNCTION_WORDS if w.isascii()]).hashes)
+
     def mixture(self, texts: list[str | None]) -> list[list[str]]:
         """The subjects of each text, those with the largest share first."""
         out: list[list[str]] = [[] for _ in texts]
@@ -122,30 +131,35 @@ class SubjectModel:
                 owner.extend([i] * len(found))
         if not units or not len(self.terms):
             return out
-        score = self.score([_TRAIL.sub("", u) for u in units])
+        words = hash_words(units)
+        score = self.score(words)
         best = score.argmax(axis=1)
         top = score[np.arange(len(best)), best]
         sure = (top >= 0.9) & (2 * top > score.sum(axis=1)) & (best < len(self.subjects))
-        of = np.array(owner)
-        count = np.bincount(of, minlength=len(texts))
-        hits = np.zeros((len(texts), len(self.subjects)))
-        np.add.at(hits, (of[sure], best[sure]), 1.0)
-        likely = np.flatnonzero((hits >= self.config.least_share * np.maximum(count, 1)[:, None]).any(axis=1))
-        for i, form in zip(likely, forms_of([texts[i] for i in likely])):
-            if form != "junk":
-                share = hits[i] / count[i]
-                out[i] = [self.subjects[j] for j in np.argsort(-share, kind="stable") if share[j] >= self.config.least_share]
+        of, n, k = np.array(owner), len(texts), len(self.subjects)
+        count = np.maximum(np.bincount(of, minlength=n), 1)
+        share = np.bincount(of[sure] * k + best[sure], minlength=n * k).reshape(n, k) / count[:, None]
+        likely = (share >= self.config.least_share).any(axis=1)
+        # junk has few function words; only texts like that need a closer look
+        doc = of[words.document_of()]
+        common = np.bincount(doc, weights=np.isin(words.hashes, self._function), minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1)
+        doubtful = np.flatnonzero(likely & (common < self.config.prose_words))
+        junk = {i for i, form in zip(doubtful.tolist(), forms_of([texts[i] for i in doubtful])) if form == "junk"}
+        for i in np.flatnonzero(likely).tolist():
+            if i not in junk:
+                out[i] = [self.subjects[j] for j in np.argsort(-share[i], kind="stable") if share[i, j] >= self.config.least_share]
         return out
 
-    def score(self, units: list[str]) -> np.ndarray:
-        """How much of each unit's anchored terms lies in every subject and in none."""
-        term, of = _terms(units)
+    def score(self, words: Words) -> np.ndarray:
+        """How much of each unit's anchored terms lies in every subject and, last, in none."""
+        term, of = _terms(words)
+        maybe = np.flatnonzero(self._maybe[term >> U64(46)])
+        term = term[maybe]
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         hit = self.terms[at] == term
-        score = np.zeros((len(units), self.shares.shape[1]))
-        for j in range(self.shares.shape[1]):
-            score[:, j] = np.bincount(of[hit], self.shares[at[hit], j], len(units))
-        return score
+        at, of, k = at[hit], of[maybe[hit]], len(self.subjects) + 1
+        n = len(words.offsets) - 1
+        return np.bincount(of * k + self.component[at], self.share[at], n * k).reshape(n, k)
 
 
 def fit(subjects: list[tuple[str, str]], labelled: list[tuple[str, list[str]]], config: SubjectConfig = SubjectConfig()) -> SubjectModel:
@@ -161,7 +175,7 @@ def fit(subjects: list[tuple[str, str]], labelled: list[tuple[str, list[str]]],
     document: list[int] = []
     marks = np.zeros((len(labelled) + len(subjects), mine + 1))
     for d, (text, own) in enumerate(labelled):
-        found = [_TRAIL.sub("", u) for u in units_of(text)]
+        found = units_of(text)
         units.extend(found)
         document.extend([d] * len(found))
         known = [index[s] for s in own if s in index]
@@ -171,7 +185,7 @@ def fit(subjects: list[tuple[str, str]], labelled: list[tuple[str, list[str]]],
         document.append(d)
         marks[d, index[s]] = 1.0
     of_unit = np.array(document)
-    term, row = _terms(units)
+    term, row = _terms(hash_words(units))
     vocabulary, col = np.unique(term, return_inverse=True)
     # a document counts a term once
     once = np.unique(of_unit[row].astype(np.int64) * len(vocabulary) + col)
@@ -181,7 +195,7 @@ def fit(subjects: list[tuple[str, str]], labelled: list[tuple[str, list[str]]],
     purity /= purity.sum(axis=1, keepdims=True) + config.smoothing
     keep = seen >= config.support
     if not keep.any():
-        return SubjectModel(names, np.zeros(0, dtype=np.uint64), np.zeros((0, mine + 1)), config)
+        return SubjectModel(names, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0), config)
     number = np.cumsum(keep) - 1
     mask = keep[col]
     row, col, vocabulary, purity = row[mask], number[col[mask]], vocabulary[keep], purity[keep]
@@ -198,7 +212,8 @@ def fit(subjects: list[tuple[str, str]], labelled: list[tuple[str, list[str]]],
     share = (mass / np.maximum(mass.sum(axis=0, keepdims=True), 1e-30)).T
     share = np.where((share >= config.anchored) & (purity >= config.pure), share, 0.0)
     anchored = share.any(axis=1)
-    return SubjectModel(names, vocabulary[anchored], share[anchored], config)
+    share = share[anchored]
+    return SubjectModel(names, vocabulary[anchored], share.argmax(axis=1), share.max(axis=1), config)
 
 
 def document_subjects(df: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "subject", about_col: str = "description", config: SubjectConfig = SubjectConfig()) -> DataFrame:
