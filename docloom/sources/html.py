@@ -141,8 +141,7 @@ def page_blocks(html: str) -> tuple[str, str | None, list[tuple[int, str]]]:
 _PAGE = "struct<title:string,updated_at:string,blocks:array<struct<level:int,text:string>>>"
 
 
-@F.arrow_udf(_PAGE)
-def parsed_page(pages: pa.Array) -> pa.Array:
+def _parsed(pages: pa.Array) -> pa.Array:
     out = []
     for html in pages.to_pylist():
         title, updated, blocks = page_blocks(html or "")
@@ -158,6 +157,7 @@ def sections(pages: DataFrame) -> DataFrame:
     above. Sections of fewer than 40 characters are dropped and do not count; low
     signal ones are dropped but count. A null page has no sections.
     """
+    parsed_page = F.arrow_udf(_parsed, _PAGE)
     parsed = pages.filter(F.col("html").isNotNull()).select("source_id", "source_url", "trust_level", "topic_tags", "document_key", parsed_page("html").alias("_p"))
     cleaned = F.filter(F.transform("_p.blocks", lambda b: F.struct(b["level"].alias("level"), T.clean_html_text(b["text"]).alias("text"))), lambda b: b["text"] != "")
     section = "struct<path:array<struct<level:int,text:string>>,texts:array<string>>"
