@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .text import collapse_whitespace, word_count
+from .text import collapse_whitespace, flat_word_count, word_count
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -20,7 +20,7 @@ def low_signal_section(path: Column, text: Column) -> Column:
 def url_heavy(text: Column) -> Column:
     """Two URLs in a short text or five in any."""
     urls = _count(text, C.URL)
-    return (urls >= 2) & ((urls >= 5) | (word_count(text) <= 80))
+    return (urls >= 2) & ((urls >= 5) | (flat_word_count(collapse_whitespace(text)) <= 80))
 
 
 def index_like(text: Column) -> Column:
@@ -31,7 +31,7 @@ def index_like(text: Column) -> Column:
 
 def low_signal_chunk(text: Column) -> Column:
     flat = collapse_whitespace(text)
-    return ((word_count(flat) <= 15) & flat.rlike(C.REPORT_HEADER)) | url_heavy(flat) | index_like(flat) | F.lower(flat).rlike(C.BACK_MATTER)
+    return ((flat_word_count(flat) <= 15) & flat.rlike(C.REPORT_HEADER)) | url_heavy(flat) | index_like(flat) | F.lower(flat).rlike(C.BACK_MATTER)
 
 
 def low_signal_document(path: Column, text: Column) -> Column:

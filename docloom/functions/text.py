@@ -85,7 +85,7 @@ def dedupe_consecutive(items: Column) -> Column:
 
 def _split_before_start(text: Column, ends: str) -> Column:
     parts = F.split(collapse_whitespace(text), f"(?<={ends}) (?={SENTENCE_START})", -1)
-    return F.filter(F.transform(parts, F.btrim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def split_sentences(text: Column) -> Column:
@@ -115,6 +115,11 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def flat_word_count(flat: Column) -> Column:
+    """Words of a text whose white space is collapsed already."""
+    return F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1)
+
+
 def join_path(path: Column) -> Column:
     """The cleaned, non-empty entries of a path joined by ' > '; empty for a null path."""
     return F.coalesce(F.array_join(F.filter(F.transform(path, collapse_whitespace), lambda x: x != ""), " > "), F.lit(""))
@@ -133,7 +138,7 @@ def enrich_short_text(path: Column, text: Column, below: int = ENRICH_BELOW_WORD
     """The text, with its context in front if it is short and does not begin with it."""
     flat, prefix = collapse_whitespace(text), F.coalesce(context_prefix(path), F.lit(""))
     told = F.btrim(F.replace(F.lower(prefix), F.lit("section: "), F.lit("")))
-    keep = (word_count(flat) >= below) | (prefix == "") | F.startswith(F.lower(flat), told)
+    keep = (flat_word_count(flat) >= below) | (prefix == "") | F.startswith(F.lower(flat), told)
     return F.when(keep, flat).otherwise(F.concat(prefix, flat))
 
 

@@ -66,7 +66,7 @@ def _unit(text: Column, words: Column, strategy: str) -> Column:
 
 
 def _windowed(fragment: Column, config: ChunkConfig) -> Column:
-    said = T.words(fragment)
+    said = F.split(fragment, " ", -1)
     return F.transform(word_windows(F.size(said), config), lambda w: _unit(F.array_join(F.slice(said, w["first"] + 1, w["end"] - w["first"]), " "), w["end"] - w["first"], "word_fallback"))
 
 
@@ -74,11 +74,11 @@ def semantic_units(text: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     """The units of a text: sentences of at most max_words, else their clauses, else word windows."""
 
     def of_clauses(clauses: Column) -> Column:
-        return F.flatten(F.transform(clauses, lambda c: F.when(T.word_count(c) <= config.max_words, F.array(_unit(c, T.word_count(c), "clause"))).otherwise(_windowed(c, config))))
+        return F.flatten(F.transform(clauses, lambda c: F.when(T.flat_word_count(c) <= config.max_words, F.array(_unit(c, T.flat_word_count(c), "clause"))).otherwise(_windowed(c, config))))
 
     def of_sentence(s: Column) -> Column:
         clauses = T.split_clauses(s)
-        return F.when(T.word_count(s) <= config.max_words, F.array(_unit(s, T.word_count(s), "sentence"))).when(F.size(clauses) > 1, of_clauses(clauses)).otherwise(_windowed(s, config))
+        return F.when(T.flat_word_count(s) <= config.max_words, F.array(_unit(s, T.flat_word_count(s), "sentence"))).when(F.size(clauses) > 1, of_clauses(clauses)).otherwise(_windowed(s, config))
 
     return F.flatten(F.transform(T.split_sentences(text), of_sentence))
 
@@ -125,7 +125,7 @@ def chunk_documents(df: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataF
     text = T.collapse_whitespace(F.coalesce("text", F.lit("")))
     kept = df.withColumn("_text", text).filter((F.col("_text") != "") & ~quality.low_signal_document(F.col("section_path"), F.col("_text")))
     units = kept.withColumn("_units", semantic_units(F.col("_text"), config)).withColumn("_groups", chunk_groups(F.col("_units"), config))
-    rows = units.select(*carried, T.word_count(F.col("_text")).alias("source_doc_word_count"), "_units", F.posexplode("_groups").alias("_at", "_group"))
+    rows = units.select(*carried, T.flat_word_count(F.col("_text")).alias("source_doc_word_count"), "_units", F.posexplode("_groups").alias("_at", "_group"))
     own = F.slice("_units", F.col("_group.first") + 1, F.col("_group.end") - F.col("_group.first"))
     rows = rows.withColumn("_own", own).withColumn("chunk_index", (F.col("_at") + 1).cast("long"))
     rows = rows.withColumn("text", T.enrich_short_text(F.col("section_path"), F.array_join(F.transform("_own", lambda u: u["text"]), " ")))
@@ -134,5 +134,5 @@ def chunk_documents(df: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataF
         T.chunk_id(F.col("doc_id").cast("string"), F.col("chunk_index")).alias("chunk_id"), *carried, "chunk_index",
         F.col("_group.first").cast("long").alias("chunk_unit_start"), F.col("_group.end").cast("long").alias("chunk_unit_end"),
         F.size("_own").cast("long").alias("sentence_count"), F.array_sort(F.array_distinct(F.transform("_own", lambda u: u["strategy"]))).alias("chunk_strategies"),
-        F.col("source_doc_word_count").cast("long").alias("source_doc_word_count"), T.word_count(F.col("text")).cast("long").alias("word_count"), F.length("text").cast("long").alias("char_count"), "text",
+        F.col("source_doc_word_count").cast("long").alias("source_doc_word_count"), T.flat_word_count(F.col("text")).cast("long").alias("word_count"), F.length("text").cast("long").alias("char_count"), "text",
     )

@@ -1,21 +1,24 @@
 """Embedding records and embedders.
 
 The default embedder is offline and deterministic: hashed word counts, damped and
-scaled to length one, computed by native expressions. A neural one plugs in through
-the same interface as a pandas function over batches.
+scaled to length one, over Arrow batches. A neural one plugs in through the same
+interface.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import unit
 
 
 def embedding_records(chunks: DataFrame) -> DataFrame:
@@ -34,6 +37,20 @@ class Embedder(ABC):
     def transform(self, df: DataFrame, text_col: str) -> DataFrame: ...
 
 
+_TOKEN = re.compile(r"[^\W_]+")
+
+
+def hashed_vector(text: str | None, dimension: int) -> np.ndarray | None:
+    """Damped signed counts of the words' hashes, of length one; None without words."""
+    counts = np.zeros(dimension)
+    for word in _TOKEN.findall((text or "").lower()):
+        h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        counts[h % dimension] += 1.0 if h >> 31 else -1.0
+    damped = np.sign(counts) * np.log1p(np.abs(counts))
+    length = np.linalg.norm(damped)
+    return (damped / length).astype(np.float32) if length else None
+
+
 class HashingEmbedder(Embedder):
     """Words hashed into so many signed dimensions; a text without words has a null embedding."""
 
@@ -41,18 +58,12 @@ class HashingEmbedder(Embedder):
         self.dimension = dimension
 
     def column(self, text: Column) -> Column:
-        said = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+", -1), lambda w: w != "")
-        zeros = F.array_repeat(F.lit(0.0), self.dimension)
-
-        def count(vector: Column, word: Column) -> Column:
-            h = F.xxhash64(word)
-            at = F.pmod(h, F.lit(self.dimension))
-            sign = F.when(F.shiftright(h, 40).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
-            return F.transform(vector, lambda x, i: F.when(i == at, x + sign).otherwise(x))
-
-        counted = F.aggregate(said, zeros, count)
-        damped = F.transform(counted, lambda x: F.signum(x) * F.log1p(F.abs(x)))
-        return F.when(F.exists(damped, lambda x: x != 0), F.transform(unit(damped), lambda x: x.cast("float")))
+        dimension = self.dimension
+
+        def encode(texts: pa.Array) -> pa.Array:
+            return pa.array([hashed_vector(t, dimension) for t in texts.to_pylist()], pa.list_(pa.float32()))
+
+        return F.arrow_udf(encode, "array<float>")(text)
 
     def transform(self, df: DataFrame, text_col: str) -> DataFrame:
         return df.withColumn("embedding", self.column(F.col(text_col)))

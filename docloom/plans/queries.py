@@ -161,7 +161,7 @@ def source_concentration(spark, folder):
     f"""with topics(topic, keywords) as (values {_TOPIC_ROWS}),
 place as (select doc_id, lower(concat_ws(' ', source_id, array_to_string(list_filter(list_transform(section_path, lambda p: {_ws('p')}), lambda p: p <> ''), ' > '), left(text, {C.TOPIC_WINDOW}))) as hay from documents where text is not null),
 hit as (select doc_id, topic, len(list_filter(keywords, lambda k: contains(hay, k))) as hits from place cross join topics)
-select doc_id, topic, round(least({C.TOPIC_HIT_BONUS} * hits, {C.TOPIC_BONUS_CAP}), 6) as bonus from hit where hits > 0"""
+select doc_id, topic, round(least({C.TOPIC_HIT_BONUS} * hits, {C.TOPIC_BONUS_CAP})::DOUBLE, 6) as bonus from hit where hits > 0"""
 )
 def topic_bonus(spark, folder):
     """The bonus of each document for each topic that it touches."""
@@ -321,8 +321,8 @@ pack as (
   from (select p.*, u.words as next, (p.words < 40 or (p.words < 124 and p.words + u.words <= 179) or (p.words + u.words <= 160 and u.words <= 24)) as j from pack p join units u on u.doc_id = p.doc_id and u.no = p.no + 1) p
   join units u on u.doc_id = p.doc_id and u.no = p.no + 1
 ),
-g as (select p.doc_id, p.chunk, min(p.no) - 1 as first, max(p.no) as "end", sum(u.words) as words from pack p join units u on u.doc_id = p.doc_id and u.no = p.no group by p.doc_id, p.chunk),
-m as (select *, max(chunk) over (partition by doc_id) as last from g),
+pg as (select p.doc_id, p.chunk, min(p.no) - 1 as first, max(p.no) as "end", sum(u.words) as words from pack p join units u on u.doc_id = p.doc_id and u.no = p.no group by p.doc_id, p.chunk),
+m as (select *, max(chunk) over (partition by doc_id) as last from pg),
 r as (select *, case when chunk = last and chunk > 1 and words < 40 then chunk - 1 else chunk end as own from m)
 select doc_id, own as no, min(first)::BIGINT as first, max("end")::BIGINT as "end", sum(words)::BIGINT as words from r group by doc_id, own"""
 )
@@ -642,14 +642,14 @@ def proxy_faithfulness(spark, folder):
 
 
 @query(
-    """select variant, round((case when context_relevance_proxy_mean is null or isnan(context_relevance_proxy_mean) then answer_relevance_proxy_mean when answer_relevance_proxy_mean is null then context_relevance_proxy_mean else (context_relevance_proxy_mean + answer_relevance_proxy_mean) / 2 end), 6) as core,
+    """select variant, round((case when context_relevance_proxy_mean is null or isnan(context_relevance_proxy_mean) then answer_relevance_proxy_mean when answer_relevance_proxy_mean is null then context_relevance_proxy_mean else (context_relevance_proxy_mean + answer_relevance_proxy_mean) / 2 end), 8) as core,
 round((coalesce(context_relevance_proxy_mean, 0) + answer_relevance_proxy_mean + coalesce(faithfulness_proxy_mean, 0)) / 3, 4) as composite from proxy_eval_summary_by_variant"""
 )
 def proxy_core(spark, folder):
     """The mean of two scores as far as they are there, and of three."""
     c, a, f = (F.col(x) for x in _PROXIES[:3])
     zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return table(spark, folder, "proxy_eval_summary_by_variant").select("variant", F.round(evaluation.core_composite(F.when(~F.isnan(c), c), a), 6).alias("core"), evaluation.proxy_composite(zero(c), a, zero(f)).alias("composite"))
+    return table(spark, folder, "proxy_eval_summary_by_variant").select("variant", F.round(evaluation.core_composite(F.when(~F.isnan(c), c), a), 8).alias("core"), evaluation.proxy_composite(zero(c), a, zero(f)).alias("composite"))
 
 
 # --- summaries and samples ----------------------------------------------------------------
