@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import leaks, neardup, pairs, quality, rankfuse, repeated, split, subjects, tokenize, vectors
 from ._plan import broadcast_if_small
+from .sql import ORACLES as ORACLES
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
