@@ -12,8 +12,8 @@ recall is 1. For e edits the number of repetitions is set from the target recall
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ SEED = 77
 
 @dataclass(frozen=True)
 class LeakConfig:
-    """window: words of a passage; edits: word edits allowed in it; recall: wished for passages with that many edits.
+    """window: words of a passage; edits: word edits allowed in it; recall: wished for passages with that many edits; sample: positions of the walk in a key, at most.
 
     block_items: items are searched for in blocks of so many, each block a pass
     over the corpus, so that what goes to the executors is bounded.
@@ -41,13 +41,27 @@ class LeakConfig:
     block_items: int = 20_000
 
     @property
-    def repetitions(self) -> int:
-        """Samples drawn: an edit moves about 2 of the walk's positions apart in expectation, and at most a few."""
-        if not self.edits:
-            return 1
-        length = WALK * self.window
-        agree = max(1.0 - 4.0 * self.edits / length, 0.05) ** self.sample
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - agree)))
+    def draws(self) -> tuple[int, int]:
+        """Positions of a sample, sample at most, and samples drawn: so many that the wished recall is reached."""
+        return needed_draws(self.window, self.edits, self.sample, self.recall)
+
+
+@lru_cache(maxsize=16)
+def needed_draws(window: int, edits: int, sample: int, recall: float, most: int = 64) -> tuple[int, int]:
+    """The largest samples, and how many of them, that bring together the wished share of random windows and copies with so many words replaced."""
+    if not edits:
+        return sample, 1
+    draw = np.random.default_rng(SEED + 1)
+    x = draw.integers(1, 1 << 62, (2000, window), dtype=np.uint64)
+    y = x.copy()
+    for _ in range(edits):
+        y[np.arange(len(y)), draw.integers(0, window, len(y))] = draw.integers(1, 1 << 62, len(y), dtype=np.uint64)
+    x, y = embed(x), embed(y)
+    for size in range(sample, 0, -1):
+        met = np.logical_or.accumulate(_keys(x, most, size) == _keys(y, most, size), axis=1).mean(axis=0)
+        if met[-1] >= recall:
+            return size, int(np.argmax(met >= recall)) + 1
+    raise ValueError(f"a recall of {recall} is out of reach for {edits} edits in {window} words")
 
 
 def embed(windows: np.ndarray) -> np.ndarray:
@@ -70,11 +84,16 @@ def embed(windows: np.ndarray) -> np.ndarray:
 
 def sample_keys(embedded: np.ndarray, config: LeakConfig) -> np.ndarray:
     """A key per row and repetition: the hash of the sampled positions."""
+    size, repetitions = config.draws
+    return _keys(embedded, repetitions, size)
+
+
+def _keys(embedded: np.ndarray, repetitions: int, sample: int) -> np.ndarray:
     draw = np.random.default_rng(SEED)
-    keys = np.empty((len(embedded), config.repetitions), dtype=np.uint64)
-    for r in range(config.repetitions):
+    keys = np.empty((len(embedded), repetitions), dtype=np.uint64)
+    for r in range(repetitions):
         acc = np.full(len(embedded), U64(r + 1))
-        for p in np.sort(draw.choice(embedded.shape[1], min(config.sample, embedded.shape[1]), replace=False)):
+        for p in np.sort(draw.choice(embedded.shape[1], min(sample, embedded.shape[1]), replace=False)):
             acc = mix(acc * U64(31) + embedded[:, p])
         keys[:, r] = acc
     return keys
@@ -108,10 +127,10 @@ class _Items:
         starts = np.flatnonzero(doc[: n - k + 1] == doc[k - 1 :]) if n >= k else np.zeros(0, dtype=np.int64)
         windows = words.hashes[starts[:, None] + np.arange(k)] if len(starts) else np.zeros((0, k), dtype=np.uint64)
         owner = ids[doc[starts]] if len(starts) else np.zeros(0, dtype=np.int64)
-        keys = sample_keys(embed(windows), config) if len(windows) else np.zeros((0, config.repetitions), dtype=np.uint64)
+        keys = sample_keys(embed(windows), config) if len(windows) else np.zeros((0, config.draws[1]), dtype=np.uint64)
         flat = keys.ravel()
         order = np.argsort(flat, kind="stable")
-        self.keys, self.row = flat[order], order // config.repetitions
+        self.keys, self.row = flat[order], order // config.draws[1]
         self.windows, self.owner = windows, owner
 
     def found_in(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +150,7 @@ class _Items:
         windows = words.hashes[starts[:, None] + np.arange(k)]
         keys = sample_keys(embed(windows), config)
         hits: set[tuple[int, int]] = set()
-        for r in range(config.repetitions):
+        for r in range(config.draws[1]):
             low, high = np.searchsorted(self.keys, keys[:, r], "left"), np.searchsorted(self.keys, keys[:, r], "right")
             count = high - low
             mine = np.repeat(np.arange(len(starts)), count)

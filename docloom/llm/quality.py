@@ -185,8 +185,6 @@ def _form(text: str, lines: list[str], dominant: float, config: FormConfig) -> s
     size = [0, 0, 0, 0, 0]
     for k, s in zip(kinds, lines):
         size[k] += len(s)
-    if dominant >= config.dominant:
-        return "junk"
     # a loose line, such as a site's notice, says little about the rest
     total = sum(size) - size[_LOOSE] / 2
     if size[_JUNK] > config.most * total:
@@ -194,8 +192,9 @@ def _form(text: str, lines: list[str], dominant: float, config: FormConfig) -> s
     if size[_CELLS] > config.most * total and kinds.count(_CELLS) >= 2:
         return "table"
     if size[_ENTRY] > config.most * total and kinds.count(_ENTRY) >= 3:
-        return "prose" if _reads_as_sentences([s for k, s in zip(kinds, lines) if k in (_ENTRY, _PROSE, _LOOSE)]) else "list"
-    return "prose"
+        if not _reads_as_sentences([s for k, s in zip(kinds, lines) if k in (_ENTRY, _PROSE, _LOOSE)]):
+            return "list"
+    return "junk" if dominant >= config.dominant else "prose"  # hardly more than one phrase again and again
 
 
 def forms_of(texts: list[str | None], config: FormConfig = FormConfig()) -> list[str]:
