@@ -7,8 +7,11 @@ most fetch_k candidates, within one row a question.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,16 +107,53 @@ def cap_per_source(df: DataFrame, order: list, k: int, cap: int, query_id: str =
     return placed.withColumn("_over", over).withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).drop("_place", "_over")
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, mode: RetrievalMode) -> DataFrame:
-    """query_id, rank, chunk_id, source_id, similarity_score, rerank_score, ... of one mode.
+_ITEM = ("chunk_id", "source_id", "section_path_text", "source_url", "word_count", "text", "embedding")
 
-    queries: query_id, topic, query_embedding (of the enriched text for a mode that
-    wants it); corpus: chunk_id, source_id, section_path_text, source_url,
-    word_count, text, embedding.
+
+def candidates(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """query_id, topic, similarity_score, rank and the corpus columns of the k best items of each question.
+
+    The questions go to every task as one matrix if they are few enough; each batch
+    of the corpus is multiplied with it and keeps its k best of each question, so
+    little is left for the window. More questions are joined instead.
     """
-    found = top_k(queries, corpus, mode.fetch_k)
+    asked = queries.select("query_id", "topic", "query_embedding").filter("query_embedding is not null")
+    rows = asked.limit(MAX_BROADCAST_QUERIES + 1).collect()
+    items = corpus.select(*_ITEM)
+    if not rows or len(rows) > MAX_BROADCAST_QUERIES:
+        return top_k(asked, items, k).select("query_id", "topic", "similarity_score", "rank", *_ITEM)
+    held = corpus.sparkSession.sparkContext.broadcast([(r["query_id"], r["topic"], np.asarray(r["query_embedding"], dtype=np.float64)) for r in rows])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column("embedding").value_lengths().fill_null(0).to_numpy()
+            for size in np.unique(lengths[lengths > 0]):
+                mine = [q for q in held.value if len(q[2]) == size]
+                at = np.flatnonzero(lengths == size)
+                if not mine:
+                    continue
+                part = batch.take(pa.array(at))
+                x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+                scores = x @ np.stack([q[2] for q in mine]).T
+                keep = min(k, len(at))
+                # ties at the edge are kept, the window decides
+                edge = np.partition(scores, len(at) - keep, axis=0)[len(at) - keep]
+                row, query = np.nonzero(scores >= edge)
+                found = part.take(pa.array(row))
+                head = [pa.array([mine[q][0] for q in query], pa.string()), pa.array([mine[q][1] for q in query], pa.string()), pa.array(scores[row, query], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*head, *found.columns], names=["query_id", "topic", "similarity_score", *_ITEM])
+
+    kinds = dict(items.dtypes)
+    found = items.filter("embedding is not null").mapInArrow(best, "query_id string, topic string, similarity_score double, " + ", ".join(f"{c} {kinds[c]}" for c in _ITEM))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity_score"), F.asc("chunk_id"))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def rerank(found: DataFrame, mode: RetrievalMode) -> DataFrame:
+    """The rows of a mode from candidates of at least fetch_k ranks."""
+    found = found.filter(F.col("rank") <= mode.fetch_k)
     if mode.mmr_lambda is not None:
-        item = F.struct("rank", "similarity_score", "chunk_id", "source_id", "section_path_text", "source_url", "word_count", "text", "embedding")
+        item = F.struct("rank", "similarity_score", *_ITEM)
         listed = found.groupBy("query_id", "topic").agg(F.array_sort(F.collect_list(item)).alias("_c"))
         ordered = listed.select("query_id", "topic", F.posexplode(mmr_order(F.col("_c"), mode.fetch_k, mode.mmr_lambda)).alias("_at", "_i"))
         found = ordered.select("query_id", "topic", (F.col("_at") + 1).alias("mmr_rank"), "_i.*")
@@ -131,17 +171,32 @@ def retrieve(queries: DataFrame, corpus: DataFrame, mode: RetrievalMode) -> Data
     return ranked.select("query_id", F.lit(mode.name).alias("retrieval_mode"), "rank", "chunk_id", "source_id", "similarity_score", "rerank_score", F.col("text").alias("chunk_text"), "section_path_text", "source_url", "word_count")
 
 
+def retrieve(queries: DataFrame, corpus: DataFrame, mode: RetrievalMode) -> DataFrame:
+    """query_id, rank, chunk_id, source_id, similarity_score, rerank_score, ... of one mode.
+
+    queries: query_id, topic, query_embedding (of the enriched text for a mode that
+    wants it); corpus: chunk_id, source_id, section_path_text, source_url,
+    word_count, text, embedding. Null vectors neither ask nor are found.
+    """
+    return rerank(candidates(queries, corpus, mode.fetch_k), mode)
+
+
 def run_variants(queries: DataFrame, corpus: DataFrame, variants: DataFrame) -> DataFrame:
-    """Each mode once, its rows handed to the variants that use it; queries have query_embedding and enriched_embedding."""
+    """Each mode once, its rows handed to the variants that use it; queries have query_embedding and enriched_embedding.
+
+    Both vectors of every question ask in one pass over the corpus.
+    """
+    asks = [queries.select(F.concat(F.lit(f"{int(e)}:"), "query_id").alias("query_id"), "topic", F.col(c).alias("query_embedding")) for e, c in ((False, "query_embedding"), (True, "enriched_embedding"))]
+    both = candidates(asks[0].unionByName(asks[1]), corpus, max(m.fetch_k for m in MODES.values())).persist()
     rows = None
     for mode in MODES.values():
-        own = queries.withColumn("query_embedding", F.col("enriched_embedding" if mode.enriched else "query_embedding")).select("query_id", "topic", "query_embedding")
-        found = retrieve(own, corpus, mode)
+        own = both.filter(F.col("query_id").startswith(f"{int(mode.enriched)}:")).withColumn("query_id", F.substring("query_id", 3, 1 << 30))
+        found = rerank(own, mode)
         rows = found if rows is None else rows.unionByName(found)
     known = F.array(*map(F.lit, MODES))
     checked = variants.withColumn("retrieval_mode", F.when(F.array_contains(known, F.col("retrieval_mode")), F.col("retrieval_mode")).otherwise(F.raise_error(F.concat(F.lit("unknown retrieval mode: "), "retrieval_mode"))))
     meta = queries.select("query_id", "query_text", "topic", "difficulty")
-    return rows.join(F.broadcast(checked), "retrieval_mode").join(meta, "query_id")
+    return rows.join(F.broadcast(checked.limit(1000)), "retrieval_mode").join(meta, "query_id")
 
 
 def retrieval_summary(results: DataFrame) -> DataFrame:

@@ -173,3 +173,16 @@ def test_stream(spark, tmp_path):
     documents = html.sections(ingest.new_pages(ingest.page_stream(spark, f"{tmp_path}/in")))
     ingest.write_documents(documents, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_batched_candidates_equal_the_join(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.standard_normal((300, 6)), 1)
+    x[100:140] = x[0]  # ties at the edge
+    corpus = spark.createDataFrame([(f"c{i:03d}", f"s{i % 4}", "p", "u", 1, "t", v.tolist()) for i, v in enumerate(x)] + [("none", "s", "p", "u", 1, "t", None), ("short", "s", "p", "u", 1, "t", [1.0])], "chunk_id string, source_id string, section_path_text string, source_url string, word_count int, text string, embedding array<double>")
+    queries = spark.createDataFrame([(f"q{i}", "t", x[i].tolist()) for i in range(5)] + [("n", "t", None)], "query_id string, topic string, query_embedding array<double>")
+    key = lambda df: {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["similarity_score"], 9)) for r in df.collect()}
+    assert key(retrieval.candidates(queries, corpus.repartition(7), 8)) == key(retrieval.top_k(queries, corpus, 8))
+    assert retrieval.candidates(queries.limit(0), corpus, 3).count() == retrieval.candidates(queries, corpus.limit(0), 3).count() == 0
