@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._texts import U64, chunks, hash_words, mix
 
-WALK = 3  # steps of the walk per word
+WALK = 2  # steps of the walk per word
 SEED = 77
 
 
@@ -50,7 +50,7 @@ class LeakConfig:
 def needed_draws(window: int, edits: int, sample: int, recall: float, most: int = 64) -> tuple[int, int]:
     """The largest samples, and how many of them, that bring together the wished share of random windows and copies with so many words replaced."""
     if not edits:
-        return sample, 1
+        return 1, 1  # equal windows agree everywhere; see _keys for their one key
     draw = np.random.default_rng(SEED + 1)
     x = draw.integers(1, 1 << 62, (2000, window), dtype=np.uint64)
     y = x.copy()
@@ -89,12 +89,21 @@ def sample_keys(embedded: np.ndarray, config: LeakConfig) -> np.ndarray:
 
 
 def _keys(embedded: np.ndarray, repetitions: int, sample: int) -> np.ndarray:
+    if repetitions == 1:
+        whole = np.full((len(embedded), 1), U64(1))
+        for p in range(embedded.shape[1]):
+            whole[:, 0] = mix(whole[:, 0] * U64(31) + embedded[:, p])
+        return whole
     draw = np.random.default_rng(SEED)
     keys = np.empty((len(embedded), repetitions), dtype=np.uint64)
     for r in range(repetitions):
         acc = np.full(len(embedded), U64(r + 1))
+        past = np.zeros(len(embedded), dtype=bool)
         for p in np.sort(draw.choice(embedded.shape[1], min(sample, embedded.shape[1]), replace=False)):
             acc = mix(acc * U64(31) + embedded[:, p])
+            past |= embedded[:, p] == 0
+        # a sample that reaches past the end of the walk says little: it meets nothing
+        acc[past] = np.random.default_rng().integers(0, 1 << 63, int(past.sum()), dtype=np.uint64)
         keys[:, r] = acc
     return keys
 
@@ -103,6 +112,8 @@ def within_edits(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
     """Whether row i of a and of b are within so many insertions, deletions and replacements of words."""
     if not edits:
         return (a == b).all(axis=1)
+    if edits == 1:  # between windows of equal length, one edit is a replacement
+        return (a != b).sum(axis=1) <= 1
     n, k = a.shape
     row = np.tile(np.arange(k + 1), (n, 1))
     for i in range(1, k + 1):
