@@ -1,10 +1,11 @@
 """Corpus documents that contain passages of evaluation items.
 
-Passages and documents are cut into windows of as many words. A random walk (CGK)
-embeds each window so that a small edit distance becomes a small Hamming distance;
-keys of sampled positions of the embedding, drawn again and again, bring together
-windows that agree on a sample. Every pair of windows that shares a key is then
-verified by its exact edit distance.
+Passages are cut into windows of so many words, and documents into windows longer by
+the edits allowed, which also stand for their beginnings. A random walk (CGK) embeds
+each window so that a small edit distance becomes a small Hamming distance; keys of
+sampled positions of the embedding, drawn again and again, bring together windows
+that agree on a sample. Every pair of windows that shares a key is then verified by
+its exact edit distance.
 
 Windows at edit distance 0 have equal embeddings and so share every key: their
 recall is 1. For e edits the number of repetitions is set from the target recall.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._texts import U64, chunks, hash_words, mix
+from ._texts import U64, Words, chunks, hash_windows, hash_words, mix
 
 WALK = 2  # steps of the walk per word
 SEED = 77
@@ -45,27 +46,44 @@ class LeakConfig:
         """Positions of a sample, sample at most, and samples drawn: so many that the wished recall is reached."""
         return needed_draws(self.window, self.edits, self.sample, self.recall)
 
+    @property
+    def run(self) -> int:
+        """Words in a row that a passage keeps at least: what the edits leave of it lies in edits + 1 runs."""
+        return -(-(self.window - self.edits) // (self.edits + 1))
+
 
 @lru_cache(maxsize=16)
 def needed_draws(window: int, edits: int, sample: int, recall: float, most: int = 64) -> tuple[int, int]:
-    """The largest samples, and how many of them, that bring together the wished share of random windows and copies with so many words replaced."""
+    """The largest samples, and how many of them, that bring together the wished share of random windows and copies with so many words replaced, dropped or inserted: of each kind and of all in turn."""
     if not edits:
         return 1, 1  # equal windows agree everywhere; see _keys for their one key
     draw = np.random.default_rng(SEED + 1)
     x = draw.integers(1, 1 << 62, (2000, window), dtype=np.uint64)
-    y = x.copy()
-    for _ in range(edits):
-        y[np.arange(len(y)), draw.integers(0, window, len(y))] = draw.integers(1, 1 << 62, len(y), dtype=np.uint64)
-    x, y = embed(x), embed(y)
+    steps = WALK * window
+    item, copies = embed(x), [embed(edited(x, kinds, edits, draw), steps) for kinds in ((0,), (1,), (2,), (0, 1, 2))]
     for size in range(sample, 0, -1):
-        met = np.logical_or.accumulate(_keys(x, most, size) == _keys(y, most, size), axis=1).mean(axis=0)
+        keys = _keys(item, most, size)
+        met = np.min([np.logical_or.accumulate(keys == _keys(y, most, size), axis=1).mean(axis=0) for y in copies], axis=0)
         if met[-1] >= recall:
             return size, int(np.argmax(met >= recall)) + 1
     raise ValueError(f"a recall of {recall} is out of reach for {edits} edits in {window} words")
 
 
-def embed(windows: np.ndarray) -> np.ndarray:
-    """CGK embedding of each row of word hashes: WALK * k symbols.
+def edited(windows: np.ndarray, kinds: tuple[int, ...], edits: int, draw: np.random.Generator) -> np.ndarray:
+    """The rows with so many words replaced (0), dropped (1) or inserted (2), the kinds in turn, and foreign words after them: edits more words than before."""
+    n, k = windows.shape
+    out = []
+    for i, row in enumerate(windows):
+        words = list(row)
+        for e in range(edits):
+            kind, at = kinds[(i + e) % len(kinds)], int(draw.integers(len(words)))
+            words[at : at + (kind < 2)] = [] if kind == 1 else draw.integers(1, 1 << 62, 1, dtype=np.uint64)
+        out.append(np.concatenate([np.array(words, dtype=np.uint64), draw.integers(1, 1 << 62, k + edits - len(words), dtype=np.uint64)]))
+    return np.array(out)
+
+
+def embed(windows: np.ndarray, steps: int | None = None) -> np.ndarray:
+    """CGK embedding of each row of word hashes: so many symbols, WALK * k unless said.
 
     At step t the walk writes the word it stands on and moves to the next one if
     a random bit of (t, word) says so; after the last word it writes 0.
@@ -73,8 +91,9 @@ def embed(windows: np.ndarray) -> np.ndarray:
     n, k = windows.shape
     padded = np.concatenate([windows, np.zeros((n, 1), dtype=np.uint64)], axis=1)
     at, rows = np.zeros(n, dtype=np.int64), np.arange(n)
-    out = np.empty((n, WALK * k), dtype=np.uint64)
-    for t in range(WALK * k):
+    steps = WALK * k if steps is None else steps
+    out = np.empty((n, steps), dtype=np.uint64)
+    for t in range(steps):
         here = padded[rows, at]
         out[:, t] = here
         moves = (mix(here + U64(SEED + 7919 * t)) >> U64(63)).astype(np.int64)
@@ -108,21 +127,28 @@ def _keys(embedded: np.ndarray, repetitions: int, sample: int) -> np.ndarray:
     return keys
 
 
-def within_edits(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
-    """Whether row i of a and of b are within so many insertions, deletions and replacements of words."""
-    if not edits:
+def within_edits(a: np.ndarray, b: np.ndarray, edits: int, shorter: int = 0) -> np.ndarray:
+    """Whether row i of a, or it without its last words, ``shorter`` at most, is within so many insertions, deletions and replacements of words of row i of b."""
+    if not edits and not shorter:
         return (a == b).all(axis=1)
-    if edits == 1:  # between windows of equal length, one edit is a replacement
-        return (a != b).sum(axis=1) <= 1
-    n, k = a.shape
-    row = np.tile(np.arange(k + 1), (n, 1))
-    for i in range(1, k + 1):
-        step = np.empty_like(row)
-        step[:, 0] = i
-        for j in range(1, k + 1):
-            step[:, j] = np.minimum(np.minimum(row[:, j] + 1, step[:, j - 1] + 1), row[:, j - 1] + (a[:, i - 1] != b[:, j - 1]))
-        row = step
-    return row[:, k] <= edits
+    (n, m), k = a.shape, b.shape[1]
+    far = edits + 1  # as good as any larger distance
+    # cost[edits + o]: of turning the first j words of b into the first j + o of a
+    cost = [np.full(n, min(max(o, 0), far) if o >= 0 else far, dtype=np.int16) for o in range(-edits, edits + 1)]
+    for j in range(1, k + 1):
+        new: list[np.ndarray] = []
+        for o in range(-edits, edits + 1):
+            i, best = j + o, np.full(n, far, dtype=np.int16)
+            if 0 < i <= m:
+                best = np.minimum(best, cost[edits + o] + (a[:, i - 1] != b[:, j - 1]))
+                if new:
+                    best = np.minimum(best, new[-1] + 1)
+            if 0 <= i <= m and o < edits:
+                best = np.minimum(best, cost[edits + o + 1] + 1)
+            new.append(best)
+        cost = new
+    ends = [cost[edits + i - k] for i in range(m - shorter, m + 1) if abs(i - k) <= edits]
+    return np.minimum.reduce(ends) <= edits if ends else np.zeros(n, dtype=bool)
 
 
 class _Items:
@@ -143,23 +169,41 @@ class _Items:
         order = np.argsort(flat, kind="stable")
         self.keys, self.row = flat[order], order // config.draws[1]
         self.windows, self.owner = windows, owner
+        self.runs = np.unique(hash_windows(words, config.run)[0])
+
+    def _keeps_run(self, words: Words, doc: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether the document window at each start holds a run of words that an item has too."""
+        config, n = self.config, len(words.hashes)
+        run = config.run
+        hashes, _ = hash_windows(words, run)
+        at = np.minimum(np.searchsorted(self.runs, hashes), len(self.runs) - 1)
+        known = np.zeros(n, dtype=np.int64)
+        known[np.flatnonzero(doc[: n - run + 1] == doc[run - 1 :])] = self.runs[at] == hashes
+        before = np.concatenate([[0], np.cumsum(known)])
+        return before[np.minimum(starts + config.window + config.edits - run + 1, n)] > before[starts]
 
     def found_in(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Index of a text and id of an item that leaked into it, each pair once."""
         config, none = self.config, (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
         words = hash_words(texts)
-        k, n = config.window, len(words.hashes)
-        if n < k or not len(self.windows):
+        k, e, n = config.window, config.edits, len(words.hashes)
+        least = k - e  # words of a passage with that many dropped
+        if n < least or not len(self.windows):
             return none
         at = np.minimum(np.searchsorted(self.vocabulary, words.hashes), len(self.vocabulary) - 1)
         foreign = np.concatenate([[0], np.cumsum(self.vocabulary[at] != words.hashes)])
         doc = words.document_of()
         # an edit puts in one foreign word at most, so no window with more of them can match
-        starts = np.flatnonzero((doc[: n - k + 1] == doc[k - 1 :]) & (foreign[k:] - foreign[:-k] <= config.edits))
+        starts = np.flatnonzero((doc[: n - least + 1] == doc[least - 1 :]) & (foreign[least:] - foreign[:-least] <= e))
+        if e:
+            starts = starts[self._keeps_run(words, doc, starts)]
         if not len(starts):
             return none
-        windows = words.hashes[starts[:, None] + np.arange(k)]
-        keys = sample_keys(embed(windows), config)
+        # the walk over a window begins with the walks over its beginnings; past the text's end are zeros
+        at = starts[:, None] + np.arange(k + e)
+        same = np.concatenate([doc, np.full(2 * e, -1)])[at] == doc[starts][:, None]
+        windows = np.where(same, np.concatenate([words.hashes, np.zeros(2 * e, dtype=np.uint64)])[at], U64(0))
+        keys = sample_keys(embed(windows, WALK * k), config)
         hits: set[tuple[int, int]] = set()
         for r in range(config.draws[1]):
             low, high = np.searchsorted(self.keys, keys[:, r], "left"), np.searchsorted(self.keys, keys[:, r], "right")
@@ -169,7 +213,7 @@ class _Items:
                 continue
             offset = np.arange(len(mine)) - np.repeat(np.cumsum(count) - count, count)
             theirs = self.row[np.repeat(low, count) + offset]
-            ok = within_edits(windows[mine], self.windows[theirs], config.edits)
+            ok = within_edits(windows[mine], self.windows[theirs], e, 2 * e)
             hits.update(zip(doc[starts[mine[ok]]].tolist(), self.owner[theirs[ok]].tolist()))
         if not hits:
             return none
@@ -181,8 +225,8 @@ def leaked_items(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """id_col, item_id_col of each document and item that leaked into it.
 
     Words are runs of ASCII letters and digits after lower-casing. An item leaked
-    if ``window`` consecutive words of the document are, but for ``edits`` word
-    edits, consecutive in one of the item's texts. Null and short texts and items
+    if ``window`` consecutive words of one of its texts are, but for ``edits`` words
+    inserted, dropped or replaced, consecutive in the document. Null and short texts and items
     give no rows; item and document ids are integers. A row that occurs twice
     comes out twice, an item that occurs twice once. Items are gathered in blocks
     of at most block_items; further blocks are further passes.

@@ -389,6 +389,43 @@ def test_edits_are_verified_exactly_and_recalled():
     assert met.mean() >= 0.9
 
 
+def test_leaks_with_an_inserted_dropped_or_replaced_word(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(12)), None) for i in range(40)]
+    values, want, twice = [], [], []
+    for i, passage, _ in items:
+        for at in range(1, 11):
+            w = passage.split()
+            for words in ([*w[:at], "foreign", *w[at:]], [*w[:at], *w[at + 1 :]], [*w[:at], "foreign", *w[at + 1 :]]):
+                want.append((len(values), i))
+                values.append(" ".join(["some", *words, "more"] if at % 2 else words))
+            twice.append(len(values))
+            values.append(" ".join([w[0], "foreign", *w[1:at], "foreign", *w[at + 1 :]]))
+    held = spark.createDataFrame(items, "item_id long, query_text string, reference_answer string")
+    got = {tuple(r) for r in leaks.leaked_items(texts(spark, *values), held, config=leaks.LeakConfig(edits=1)).collect()}
+    assert got <= set(want) and not {d for d, _ in got} & set(twice)
+    for kind in range(3):
+        assert len(got & set(want[kind::3])) >= 0.9 * len(want[kind::3])
+
+
+def test_beginnings_within_edits_against_the_plain_distance():
+    rng = np.random.default_rng(13)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            step = [i]
+            for j, y in enumerate(b, 1):
+                step.append(min(row[j] + 1, step[-1] + 1, row[j - 1] + (x != y)))
+            row = step
+        return row[-1]
+
+    for e in (1, 2):
+        a, b = rng.integers(1, 3, (500, 6 + e)), rng.integers(1, 3, (500, 6))
+        want = [min(distance(x[:n], y) for n in range(6 - e, 7 + e)) <= e for x, y in zip(a.tolist(), b.tolist())]
+        assert leaks.within_edits(a, b, e, 2 * e).tolist() == want and 0 < sum(want) < 500
+
+
 # --- subjects --------------------------------------------------------------------------------
 
 
