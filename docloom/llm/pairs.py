@@ -2,9 +2,9 @@
 
 Each answer is stripped of its citations and then judged: placeholders are empty;
 refusal grammars go over its sentences; greedy string tiling measures how much of it
-is the question given back; a pushdown parser over brackets, quotations, fences,
-lists and markup tells where it breaks off; function words and scripts tell its
-language from the question's.
+is the question given back; its last line, and for a single sentence a pushdown
+parser over brackets, quotations and fences, tell whether it breaks off; function
+words and scripts tell its language from the question's.
 """
 
 from __future__ import annotations
