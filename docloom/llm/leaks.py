@@ -9,63 +9,75 @@ its exact edit distance.
 
 Windows at edit distance 0 have equal embeddings and so share every key: their
 recall is 1. For e edits the number of repetitions is set from the target recall.
+
+Items up to a size go to the executors as one index; more of them meet the documents'
+windows in one join on the keys. Either way the corpus is read once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._plan import cut
 from ._texts import U64, Words, chunks, hash_windows, hash_words, mix
 
 WALK = 2  # steps of the walk per word
 SEED = 77
+MOST_DRAWS = 64
+BITS = 27  # of the map that tells which runs of words the items have: 16 MB, whatever the items
 
 
 @dataclass(frozen=True)
 class LeakConfig:
-    """window: words of a passage; edits: word edits allowed in it; recall: wished for passages with that many edits; sample: positions of the walk in a key, at most.
+    """window: words of a passage; edits: word edits allowed in it; recall: wished for passages with that many edits.
 
-    block_items: items are searched for in blocks of so many, each block a pass
-    over the corpus, so that what goes to the executors is bounded.
+    sample: positions of the walk in a key, at most; least_draws: samples drawn, at
+    least. index_chars: characters of items up to which their index goes to the
+    executors (about 150 bytes a character); beyond, a join on the keys.
     """
 
     window: int = 12
     edits: int = 0
     sample: int = 8
     recall: float = 0.95
-    block_items: int = 20_000
+    least_draws: int = 3
+    index_chars: int = 500_000
 
     @property
     def draws(self) -> tuple[int, int]:
         """Positions of a sample, sample at most, and samples drawn: so many that the wished recall is reached."""
-        return needed_draws(self.window, self.edits, self.sample, self.recall)
+        size, count = needed_draws(self.window, self.edits, self.sample, self.recall)
+        return size, max(count, self.least_draws)
 
     @property
     def run(self) -> int:
-        """Words in a row that a passage keeps at least: what the edits leave of it lies in edits + 1 runs."""
-        return -(-(self.window - self.edits) // (self.edits + 1))
+        """Words in a row that windows must share to be compared: what the edits leave of a passage lies in edits + 1 runs."""
+        return min(-(-(self.window - self.edits) // (self.edits + 1)), -(-self.window // 2))
 
 
 @lru_cache(maxsize=16)
-def needed_draws(window: int, edits: int, sample: int, recall: float, most: int = 64) -> tuple[int, int]:
+def needed_draws(window: int, edits: int, sample: int, recall: float) -> tuple[int, int]:
     """The largest samples, and how many of them, that bring together the wished share of random windows and copies with so many words replaced, dropped or inserted: of each kind and of all in turn."""
-    if not edits:
-        return 1, 1  # equal windows agree everywhere; see _keys for their one key
     draw = np.random.default_rng(SEED + 1)
     x = draw.integers(1, 1 << 62, (2000, window), dtype=np.uint64)
     steps = WALK * window
     item, copies = embed(x), [embed(edited(x, kinds, edits, draw), steps) for kinds in ((0,), (1,), (2,), (0, 1, 2))]
-    for size in range(sample, 0, -1):
-        keys = _keys(item, most, size)
-        met = np.min([np.logical_or.accumulate(keys == _keys(y, most, size), axis=1).mean(axis=0) for y in copies], axis=0)
-        if met[-1] >= recall:
-            return size, int(np.argmax(met >= recall)) + 1
+    for size in range(min(sample, steps), 0, -1):
+        keys, good = sample_keys(item, size, MOST_DRAWS, edits)
+        met = []
+        for y in copies:
+            other, fit = sample_keys(y, size, MOST_DRAWS, edits)
+            met.append(np.logical_or.accumulate((keys == other) & good & fit, axis=1).mean(axis=0))
+        least = np.min(met, axis=0)
+        if least[-1] >= recall:
+            return size, int(np.argmax(least >= recall)) + 1
     raise ValueError(f"a recall of {recall} is out of reach for {edits} edits in {window} words")
 
 
@@ -101,30 +113,42 @@ def embed(windows: np.ndarray, steps: int | None = None) -> np.ndarray:
     return out
 
 
-def sample_keys(embedded: np.ndarray, config: LeakConfig) -> np.ndarray:
-    """A key per row and repetition: the hash of the sampled positions."""
-    size, repetitions = config.draws
-    return _keys(embedded, repetitions, size)
-
+def sample_keys(embedded: np.ndarray, sample: int, draws: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key per row and draw, the hash of the sampled positions, and whether it says anything.
 
-def _keys(embedded: np.ndarray, repetitions: int, sample: int) -> np.ndarray:
-    if repetitions == 1:
-        whole = np.full((len(embedded), 1), U64(1))
-        for p in range(embedded.shape[1]):
-            whole[:, 0] = mix(whole[:, 0] * U64(31) + embedded[:, p])
-        return whole
+    With edits a sample that reaches past the end of the walk says little: one side
+    may have foreign words there.
+    """
     draw = np.random.default_rng(SEED)
-    keys = np.empty((len(embedded), repetitions), dtype=np.uint64)
-    for r in range(repetitions):
+    keys = np.empty((len(embedded), draws), dtype=np.uint64)
+    good = np.ones((len(embedded), draws), dtype=bool)
+    for r in range(draws):
         acc = np.full(len(embedded), U64(r + 1))
-        past = np.zeros(len(embedded), dtype=bool)
-        for p in np.sort(draw.choice(embedded.shape[1], min(sample, embedded.shape[1]), replace=False)):
+        for p in np.sort(draw.choice(embedded.shape[1], sample, replace=False)):
             acc = mix(acc * U64(31) + embedded[:, p])
-            past |= embedded[:, p] == 0
-        # a sample that reaches past the end of the walk says little: it meets nothing
-        acc[past] = np.random.default_rng().integers(0, 1 << 63, int(past.sum()), dtype=np.uint64)
+            if edits:
+                good[:, r] &= embedded[:, p] != 0
         keys[:, r] = acc
-    return keys
+    return keys, good
+
+
+def sharing_piece(a: np.ndarray, mine: np.ndarray, b: np.ndarray, theirs: np.ndarray, edits: int) -> np.ndarray:
+    """Which of the pairs of rows (a[mine], b[theirs]) share a piece that so many edits must leave.
+
+    Of edits + 1 pieces of a row of b one is whole in a row of a within so many
+    edits, shifted by them at most. The others need no comparison.
+    """
+    k, found = b.shape[1], np.zeros(len(mine), dtype=bool)
+    bounds = [k * i // (edits + 1) for i in range(edits + 2)]
+    for begin, end in zip(bounds, bounds[1:]):
+        for o in range(-edits, edits + 1):
+            if begin + o < 0 or end + o > a.shape[1]:
+                continue
+            rows = np.flatnonzero(~found)
+            for c in range(begin, end):
+                rows = rows[a[mine[rows], c + o] == b[theirs[rows], c]]
+            found[rows] = True
+    return np.flatnonzero(found)
 
 
 def within_edits(a: np.ndarray, b: np.ndarray, edits: int, shorter: int = 0) -> np.ndarray:
@@ -151,74 +175,112 @@ def within_edits(a: np.ndarray, b: np.ndarray, edits: int, shorter: int = 0) ->
     return np.minimum.reduce(ends) <= edits if ends else np.zeros(n, dtype=bool)
 
 
+def _starts(words: Words, k: int) -> np.ndarray:
+    """Where windows of k words lie within one text."""
+    n = len(words.hashes)
+    if n < k:
+        return np.zeros(0, dtype=np.int64)
+    doc = words.document_of()
+    return np.flatnonzero(doc[: n - k + 1] == doc[k - 1 :])
+
+
+def item_windows(texts: list[str], config: LeakConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of the passages, the passage of each, and the hashes of the runs that leaked windows keep."""
+    words = hash_words(texts)
+    starts = _starts(words, config.window)
+    windows = words.hashes[starts[:, None] + np.arange(config.window)] if len(starts) else np.zeros((0, config.window), dtype=np.uint64)
+    owner = words.document_of()[starts]
+    if len(windows):
+        _, first = np.unique(np.column_stack([owner.astype(np.uint64), windows]), axis=0, return_index=True)
+        windows, owner = windows[first], owner[first]
+    return windows, owner, np.unique(hash_windows(words, config.run)[0])
+
+
+def document_windows(texts: list[str | None], known_run, config: LeakConfig) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of the texts, each once a text, that hold a run of words that an item has too, and the text of each.
+
+    A window that can match has such a run. It is longer than an item's by the
+    edits; past the text's end are zeros. known_run tells whether hashes are known.
+    """
+    words = hash_words(texts)
+    k, e, n, run = config.window, config.edits, len(words.hashes), config.run
+    starts = _starts(words, k - e)
+    none = np.zeros((0, k + e), dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    if not len(starts):
+        return none
+    doc = words.document_of()
+    at = np.zeros(n, dtype=np.int64)
+    hashes, _ = hash_windows(words, run)
+    at[_starts(words, run)] = known_run(hashes)
+    before = np.concatenate([[0], np.cumsum(at)])
+    starts = starts[before[np.minimum(starts + k + e - run + 1, n)] > before[starts]]
+    if not len(starts):
+        return none
+    span = starts[:, None] + np.arange(k + e)
+    same = np.concatenate([doc, np.full(2 * e, -1)])[span] == doc[starts][:, None]
+    windows, owner = np.where(same, np.concatenate([words.hashes, np.zeros(2 * e, dtype=np.uint64)])[span], U64(0)), doc[starts]
+    _, first = np.unique(np.column_stack([owner.astype(np.uint64), windows]), axis=0, return_index=True)
+    first.sort()
+    return windows[first], owner[first]
+
+
 class _Items:
-    """The windows of all items of a block, by key."""
+    """The windows of all items by their keys."""
 
     def __init__(self, ids: np.ndarray, texts: list[str], config: LeakConfig):
         self.config = config
-        words = hash_words(texts)
-        self.vocabulary = np.unique(words.hashes)
-        k = config.window
-        n = len(words.hashes)
-        doc = words.document_of()
-        starts = np.flatnonzero(doc[: n - k + 1] == doc[k - 1 :]) if n >= k else np.zeros(0, dtype=np.int64)
-        windows = words.hashes[starts[:, None] + np.arange(k)] if len(starts) else np.zeros((0, k), dtype=np.uint64)
-        owner = ids[doc[starts]] if len(starts) else np.zeros(0, dtype=np.int64)
-        keys = sample_keys(embed(windows), config) if len(windows) else np.zeros((0, config.draws[1]), dtype=np.uint64)
-        flat = keys.ravel()
-        order = np.argsort(flat, kind="stable")
-        self.keys, self.row = flat[order], order // config.draws[1]
-        self.windows, self.owner = windows, owner
-        self.runs = np.unique(hash_windows(words, config.run)[0])
-
-    def _keeps_run(self, words: Words, doc: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Whether the document window at each start holds a run of words that an item has too."""
-        config, n = self.config, len(words.hashes)
-        run = config.run
-        hashes, _ = hash_windows(words, run)
-        at = np.minimum(np.searchsorted(self.runs, hashes), len(self.runs) - 1)
-        known = np.zeros(n, dtype=np.int64)
-        known[np.flatnonzero(doc[: n - run + 1] == doc[run - 1 :])] = self.runs[at] == hashes
-        before = np.concatenate([[0], np.cumsum(known)])
-        return before[np.minimum(starts + config.window + config.edits - run + 1, n)] > before[starts]
+        self.windows, passage, self.runs = item_windows(texts, config)
+        self.owner = ids[passage] if len(passage) else np.zeros(0, dtype=np.int64)
+        size, draws = config.draws
+        keys, good = sample_keys(embed(self.windows), size, draws, config.edits)
+        # of each draw: the distinct keys in order, where the rows of each begin, the rows
+        self.draws = []
+        for r in range(draws):
+            rows = np.flatnonzero(good[:, r])
+            rows = rows[np.argsort(keys[rows, r], kind="stable")]
+            mine = keys[rows, r]
+            begin = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, dtype=np.int64)
+            self.draws.append((mine[begin], np.append(begin, len(mine)), rows))
+
+    def knows(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.runs):
+            return np.zeros(len(hashes), dtype=bool)
+        return self.runs[np.minimum(np.searchsorted(self.runs, hashes), len(self.runs) - 1)] == hashes
 
     def found_in(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Index of a text and id of an item that leaked into it, each pair once."""
         config, none = self.config, (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        words = hash_words(texts)
-        k, e, n = config.window, config.edits, len(words.hashes)
-        least = k - e  # words of a passage with that many dropped
-        if n < least or not len(self.windows):
+        if not len(self.windows):
             return none
-        at = np.minimum(np.searchsorted(self.vocabulary, words.hashes), len(self.vocabulary) - 1)
-        foreign = np.concatenate([[0], np.cumsum(self.vocabulary[at] != words.hashes)])
-        doc = words.document_of()
-        # an edit puts in one foreign word at most, so no window with more of them can match
-        starts = np.flatnonzero((doc[: n - least + 1] == doc[least - 1 :]) & (foreign[least:] - foreign[:-least] <= e))
-        if e:
-            starts = starts[self._keeps_run(words, doc, starts)]
-        if not len(starts):
+        windows, doc = document_windows(texts, self.knows, config)
+        if not len(windows):
             return none
-        # the walk over a window begins with the walks over its beginnings; past the text's end are zeros
-        at = starts[:, None] + np.arange(k + e)
-        same = np.concatenate([doc, np.full(2 * e, -1)])[at] == doc[starts][:, None]
-        windows = np.where(same, np.concatenate([words.hashes, np.zeros(2 * e, dtype=np.uint64)])[at], U64(0))
-        keys = sample_keys(embed(windows, WALK * k), config)
-        hits: set[tuple[int, int]] = set()
-        for r in range(config.draws[1]):
-            low, high = np.searchsorted(self.keys, keys[:, r], "left"), np.searchsorted(self.keys, keys[:, r], "right")
-            count = high - low
-            mine = np.repeat(np.arange(len(starts)), count)
-            if not len(mine):
+        # windows that several texts share are compared once
+        distinct, of = np.unique(windows, axis=0, return_inverse=True)
+        size, draws = config.draws
+        # the walk over a window begins with the walks over its beginnings
+        keys, good = sample_keys(embed(distinct, WALK * config.window), size, draws, config.edits)
+        met = [np.zeros(0, dtype=np.int64)]
+        for r, (known, begin, rows) in enumerate(self.draws):
+            if not len(known):
                 continue
-            offset = np.arange(len(mine)) - np.repeat(np.cumsum(count) - count, count)
-            theirs = self.row[np.repeat(low, count) + offset]
-            ok = within_edits(windows[mine], self.windows[theirs], e, 2 * e)
-            hits.update(zip(doc[starts[mine[ok]]].tolist(), self.owner[theirs[ok]].tolist()))
-        if not hits:
-            return none
-        pairs = np.array(sorted(hits), dtype=np.int64)
-        return pairs[:, 0], pairs[:, 1]
+            at = np.minimum(np.searchsorted(known, keys[:, r]), len(known) - 1)
+            mine = np.flatnonzero((known[at] == keys[:, r]) & good[:, r])
+            low, count = begin[at[mine]], begin[at[mine] + 1] - begin[at[mine]]
+            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            met.append(np.repeat(mine, count) * len(self.windows) + rows[np.repeat(low, count) + offset])
+        pair = np.sort(np.concatenate(met))
+        pair = pair[np.diff(pair, prepend=-1) > 0]
+        mine, theirs = pair // len(self.windows), pair % len(self.windows)
+        near = sharing_piece(distinct, mine, self.windows, theirs, config.edits)
+        mine, theirs = mine[near], theirs[near]
+        ok = within_edits(distinct[mine], self.windows[theirs], config.edits, 2 * config.edits)
+        hit = np.unique(np.column_stack([mine[ok], self.owner[theirs[ok]]]), axis=0)
+        low, high = np.searchsorted(hit[:, 0], of.ravel(), "left"), np.searchsorted(hit[:, 0], of.ravel(), "right")
+        count = high - low
+        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        found = np.unique(np.column_stack([np.repeat(doc, count), hit[np.repeat(low, count) + offset, 1]]), axis=0)
+        return found[:, 0], found[:, 1]
 
 
 def leaked_items(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_cols: tuple[str, ...] = ("query_text", "reference_answer"), config: LeakConfig = LeakConfig()) -> DataFrame:
@@ -227,33 +289,30 @@ def leaked_items(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     Words are runs of ASCII letters and digits after lower-casing. An item leaked
     if ``window`` consecutive words of one of its texts are, but for ``edits`` words
     inserted, dropped or replaced, consecutive in the document. Null and short texts and items
-    give no rows; item and document ids are integers. A row that occurs twice
-    comes out twice, an item that occurs twice once. Items are gathered in blocks
-    of at most block_items; further blocks are further passes.
+    give no rows; item ids are integers. Each pair comes out once, also if rows or
+    items occur again.
     """
     fields = items.select(F.col(item_id_col).cast("long").alias("_item"), F.explode(F.array(*(F.col(c) for c in item_cols))).alias("_passage"))
     fields = fields.filter(F.col("_passage").isNotNull() & F.col("_item").isNotNull()).distinct()
-    total = items.select(item_id_col).distinct().count()
-    blocks = max(1, -(-total // config.block_items))
     base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    parts = []
-    for block in range(blocks):
-        rows = fields.filter(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == block).collect()
+    size = fields.agg(F.sum(F.length("_passage") + 20)).first()[0] or 0
+    if size > config.index_chars:
+        found = _joined(base, fields, config)
+    else:
+        rows = sorted((r[0], r[1]) for r in fields.collect())  # at most index_chars of text
         held = df.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), [r[1] for r in rows]))
-        parts.append(_search(base, held, config))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.select(F.col("_id").alias(id_col), F.explode("_items").alias(item_id_col))
+        found = _search(base, held, config).select("_id", F.explode("_items").alias("_item"))
+    return found.distinct().select(F.col("_id").alias(id_col), F.col("_item").alias(item_id_col))
 
 
-_built: dict[tuple, _Items] = {}
+_built: dict[str, _Items] = {}
 
 
 def _search(base: DataFrame, held, config: LeakConfig) -> DataFrame:
+    key = uuid4().hex  # workers outlive a query
+
     @F.arrow_udf("array<bigint>")
     def search(texts: pa.Array) -> pa.Array:
-        key = (held.id if hasattr(held, "id") else id(held), config)
         if key not in _built:
             _built.clear()
             _built[key] = _Items(*held.value, config)
@@ -270,3 +329,85 @@ def _search(base: DataFrame, held, config: LeakConfig) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(owners) if owners else [], pa.int64()))
 
     return base.select("_id", search("_text").alias("_items")).filter(F.size("_items") > 0)
+
+
+_KEYED = "array<struct<window:array<bigint>,keys:array<bigint>>>"
+
+
+def _keyed(windows: np.ndarray, owner: np.ndarray, n: int, config: LeakConfig) -> pa.Array:
+    """For each of n texts its windows with their keys."""
+    size, draws = config.draws
+    keys, good = sample_keys(embed(windows, WALK * config.window), size, draws, config.edits)
+    lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
+    m, width = windows.shape
+    each = pa.StructArray.from_arrays([lists(windows.ravel(), np.arange(m + 1) * width), lists(keys[good], np.concatenate([[0], np.cumsum(good.sum(axis=1))]))], ["window", "keys"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), each)
+
+
+def _joined(base: DataFrame, fields: DataFrame, config: LeakConfig) -> DataFrame:
+    """_id, _item of each leak, for any number of items: windows meet in a shuffle on their keys.
+
+    A map of bits, of a fixed size, tells the documents which runs of words the
+    items have, so only windows that share one are keyed and shuffled.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def runs(texts: pa.Array) -> pa.Array:
+        words = hash_words(texts.to_pylist())
+        found, of = hash_windows(words, config.run)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(texts) + 1)), pa.int32()), pa.array((found >> U64(64 - BITS)).view(np.int64)))
+
+    @F.arrow_udf(_KEYED)
+    def item_keys(texts: pa.Array) -> pa.Array:
+        windows, owner, _ = item_windows(texts.to_pylist(), config)
+        return _keyed(windows, owner, len(texts), config)
+
+    bit = fields.select(F.explode(runs("_passage")).alias("_bit")).select((F.col("_bit") + 1).alias("_bit")).distinct()  # buckets count bits from 1
+    maps = bit.groupBy(F.bitmap_bucket_number("_bit").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map")).collect()  # 2**BITS bits in all
+    held, name = base.sparkSession.sparkContext.broadcast({r["_b"]: bytes(r["_map"]) for r in maps}), uuid4().hex
+
+    @F.arrow_udf(_KEYED)
+    def document_keys(texts: pa.Array) -> pa.Array:
+        known = _bitmap(name, held)
+        out = []
+        for begin in range(0, len(texts), 1024):
+            values = texts.slice(begin, 1024).to_pylist()
+            for a, b in chunks(values):
+                out.append(_keyed(*document_windows(values[a:b], known, config), b - a, config))
+        return pa.concat_arrays(out) if out else _keyed(np.zeros((0, config.window + config.edits), dtype=np.uint64), np.zeros(0, dtype=np.int64), 0, config)
+
+    @F.arrow_udf("boolean")
+    def close(mine: pa.Array, theirs: pa.Array) -> pa.Array:
+        a, b = (x.flatten().to_numpy().view(np.uint64).reshape(len(x), -1) for x in (mine, theirs))
+        return pa.array(within_edits(a, b, config.edits, 2 * config.edits)) if len(a) else pa.array([], pa.bool_())
+
+    def exploded(rows: DataFrame, key: str, keyed, text: str, window: str) -> DataFrame:
+        return rows.select(key, F.explode(keyed(text)).alias("_w")).select(key, F.col("_w.window").alias(window), F.explode("_w.keys").alias("_key"))
+
+    theirs = cut(exploded(fields, "_item", item_keys, "_passage", "_theirs"))
+    # a passage that a third of the documents have: each window of it meets the items once, whoever has it
+    mine = cut(base.select("_id", F.explode(document_keys("_text")).alias("_w")).select("_id", "_w.*"))
+    distinct = mine.groupBy("window").agg(F.first("keys").alias("keys"))
+    met = distinct.select(F.col("window").alias("_mine"), F.explode("keys").alias("_key")).join(theirs, "_key").select("_mine", "_theirs", "_item").distinct()
+    near = met.filter(close("_mine", "_theirs")).select(F.col("_mine").alias("window"), "_item").distinct()
+    return mine.select("_id", "window").join(near, "window").select("_id", "_item")
+
+
+def _bitmap(name: str, held):
+    """Whether hashes are in the map of bits that was sent."""
+    if name not in _maps:
+        _maps.clear()
+        whole = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+        for bucket, part in held.value.items():
+            whole[(bucket - 1) * len(part) : bucket * len(part)] = np.frombuffer(part, dtype=np.uint8)
+        _maps[name] = whole
+    whole = _maps[name]
+
+    def known(hashes: np.ndarray) -> np.ndarray:
+        at = (hashes >> U64(64 - BITS)).astype(np.int64)
+        return (whole[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+
+    return known
+
+
+_maps: dict[str, np.ndarray] = {}
