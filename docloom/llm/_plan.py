@@ -5,23 +5,34 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is named."""
-    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR, None)
+    """The folder that all executors share.
+
+    Where none is named, a temporary one of this machine if everything runs on it;
+    on a cluster that is an error, since no executor could read another's parts.
+    What is written there is deleted once nothing refers to it any more.
+    """
     context = spark.sparkContext._jsc.sc()
+    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR, None)
+    current = context.getCheckpointDir()
+    if current.isDefined():
+        return current.get()
     if named is None:
-        current = context.getCheckpointDir()
-        if current.isDefined():
-            return current.get()
+        if not context.isLocal():
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
-    if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
+    if not context.conf().contains(CLEAN):
+        context.conf().set(CLEAN, "true")
+    spark.sparkContext.setCheckpointDir(named)
     return named
 
 
@@ -31,10 +42,25 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Marked for broadcast if it has at most max_rows rows, else left to a shuffle join.
+BROADCAST_BYTES = 64 << 20
+
+
+def _width(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    wide = lambda kind: kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))
+    size = F.lit(16 + 8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if wide(kind):
+            text = F.col(name) if kind in ("string", "binary") else F.to_json(F.struct(name))
+            size = size + F.coalesce(F.octet_length(text), F.lit(0))
+    return size
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if it has at most max_rows rows and max_bytes bytes, else left to a shuffle join.
 
-    df should be cheap to count (read from storage).
+    df should be cheap to read (from storage).
     """
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(_width(df)).alias("bytes")).first()
+    small = size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
+    return F.broadcast(df) if small else df
