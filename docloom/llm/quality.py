@@ -1,9 +1,10 @@
 """Statistics of a text's form, and whether it is prose, a list, a table or junk.
 
-Lines are told apart by combined rules (bullets, cells, code, damage, function
+Lines are told apart by combined rules (bullets, cells, code, damage, common
 words, sentence ends); the form is what most of the text's characters are.
-Repetition is measured by duplicate lines and paragraphs and by the share of the
-characters that the most dominant n-gram covers.
+Repetition is measured by duplicate lines, paragraphs and runs of words and by the
+share of the characters that the most dominant n-gram covers; a text that is
+little but repetition is boilerplate, and so junk.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ FORMS = ("prose", "list", "table", "junk")
 
 @dataclass(frozen=True)
 class FormConfig:
-    """min_chars: shorter texts have no form but prose; most: the share of characters that decides; dominant: the share that one n-gram covers in junk."""
+    """min_chars: shorter texts have no form but prose; most: the share of characters that decides; dominant: the share that one n-gram covers in junk; repeated: the share of lines, paragraphs or runs of words that have occurred before in boilerplate."""
 
     min_chars: int = 60
     most: float = 0.5
     dominant: float = 0.6
+    repeated: float = 0.75
 
 
-MAX_COMMON = 10_000
-
+MAX_COMMON = 1_000_000
 
 _BULLET = re.compile(r"\s*(?:[-*•–+>]\s|\(?\d{1,4}[.)]\s|[a-z]\)\s|v?\d+\.\d+(?:\.\d+)*\s)\s*")
 _STOP = re.compile(r"[.!?。！？…;][\"'”’)\]»]*$")
@@ -48,14 +49,6 @@ _LETTER = re.compile(r"[^\W\d_]")
 _SYMBOLS = re.compile(r"[^\w\s]")
 _SENTENCE_END = re.compile(r"[^\W\d_]{2}[.!?][\"')]?(?=\s|$)")
 
-#: Function words of several languages; prose is full of them and entries are not.
-FUNCTION_WORDS = frozenset(
-    "the of and to in is that it for with as are was be this have from or not but by which when if on an they will can what how why does should there at before after whether who these your you we our has been would than then every each a "
-    "der die das und ist nicht ein eine zu den mit von für auf dem im sich auch wird sind oder wenn dass bei nach wie werden einer durch aus zur zum muss nur kann ohne "
-    "le les la des une est et pour que qui dans pas sur avec plus sont ce cette au aux du il elle nous vous par ou ne se sans de "
-    "el los las una es y por con para del al se no su más como cuando este esta pero sin sobre entre".split()
-)
-
 _PROSE, _ENTRY, _CELLS, _JUNK, _LOOSE = 0, 1, 2, 3, 4
 _MARKED = re.compile(r"[<>{}&!]|\(\)")
 
@@ -83,11 +76,11 @@ def _cells(line: str) -> tuple[str, int] | None:
     return None
 
 
-def _kind(line: str) -> int:
-    """What a non-empty line is by itself."""
+def _kind(line: str, common: frozenset[str]) -> int:
+    """What a non-empty line is by itself; prose is full of common words and entries are not."""
     n, ascii_ = len(line), line.isascii()
     tokens = line.lower().split()
-    known = sum(map(FUNCTION_WORDS.__contains__, tokens))
+    known = sum(map(common.__contains__, tokens))
     if not ascii_:
         damage = len(_DAMAGE.findall(line))
         if damage >= 2 and damage >= 0.15 * len(tokens):
@@ -162,26 +155,34 @@ def _share_repeated(parts: list[str]) -> float:
     return again / sum(map(len, parts))
 
 
-def _lines_of(text: str, dominant: float, config: FormConfig) -> _Lines:
+def _lines_of(text: str, said_again: tuple[float, float], common: frozenset[str], config: FormConfig) -> _Lines:
     lines = [s for line in text.split("\n") if (s := line.strip())]
     if not lines:
         return _Lines("prose", 0.0, 0.0, 0.0)
     ended = sum(_STOP.search(s) is not None for s in lines) / len(lines)
     repeated = _share_repeated(lines)
-    blocks = [" ".join(b.split()) for b in _BLANK_LINE.split(text)] if "\n" in text else []
-    repeated_paragraphs = _share_repeated([b for b in blocks if b])
-    return _Lines(_form(text, lines, dominant, config), ended, repeated, repeated_paragraphs)
+    repeated_paragraphs = _share_repeated(_paragraphs(text))
+    return _Lines(_form(text, lines, said_again, (repeated, repeated_paragraphs), common, config), ended, repeated, repeated_paragraphs)
 
 
 _BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 
 
-def _form(text: str, lines: list[str], dominant: float, config: FormConfig) -> str:
+def _paragraphs(text: str) -> list[str]:
+    return [p for b in _BLANK_LINE.split(text) if (p := " ".join(b.split()))] if "\n" in text else []
+
+
+def _form(text: str, lines: list[str], said_again: tuple[float, float], repeated: tuple[float, float], common: frozenset[str], config: FormConfig) -> str:
+    """said_again: the shares of the dominant n-gram and of runs of words that have occurred before; repeated: of lines and paragraphs."""
     if len(text) < config.min_chars:
         return "prose"
-    kinds = [_kind(s) for s in lines]
-    if not any(k in (_ENTRY, _CELLS, _JUNK) for k in kinds) and dominant < config.dominant:
-        return "prose"
+    if max(repeated) >= config.repeated:
+        return "junk"  # hardly more than a few lines or paragraphs again and again
+    dominant, runs = said_again
+    prose = "junk" if dominant >= config.dominant or runs >= config.repeated else "prose"  # phrases again and again
+    kinds = [_kind(s, common) for s in lines]
+    if not any(k in (_ENTRY, _CELLS, _JUNK) for k in kinds):
+        return prose
     size = [0, 0, 0, 0, 0]
     for k, s in zip(kinds, lines):
         size[k] += len(s)
@@ -194,29 +195,25 @@ def _form(text: str, lines: list[str], dominant: float, config: FormConfig) -> s
     if size[_ENTRY] > config.most * total and kinds.count(_ENTRY) >= 3:
         if not _reads_as_sentences([s for k, s in zip(kinds, lines) if k in (_ENTRY, _PROSE, _LOOSE)]):
             return "list"
-    return "junk" if dominant >= config.dominant else "prose"  # hardly more than one phrase again and again
+    return prose
 
 
-def forms_of(texts: list[str | None], config: FormConfig = FormConfig()) -> list[str]:
+def forms_of(texts: list[str | None], common: frozenset[str], config: FormConfig = FormConfig()) -> list[str]:
     """prose, list, table or junk for each text."""
-    dominant = _dominant(hash_words(texts))
-    out = []
-    for text, d in zip(texts, dominant):
-        lines = [s for line in text.split("\n") if (s := line.strip())] if text else []
-        out.append(_form(text, lines, float(d), config) if lines else "prose")
-    return out
+    return [_lines_of(t, again, common, config).form if t else "prose" for t, again in zip(texts, _repetition(hash_words(texts)).tolist())]
 
 
-def form_of(text: str | None, config: FormConfig = FormConfig()) -> str:
+def form_of(text: str | None, common: frozenset[str], config: FormConfig = FormConfig()) -> str:
     """prose, list, table or junk."""
-    return forms_of([text], config)[0]
+    return forms_of([text], common, config)[0]
 
 
-def _dominant(words: Words) -> np.ndarray:
-    """For each text the largest share of its words' characters that one n-gram (2 to 4 words) covers, counted where it occurs twice or more."""
+def _repetition(words: Words) -> np.ndarray:
+    """For each text two shares: of its words' characters, the largest that one n-gram (2 to 4 words, twice or more) covers; of its runs of 4 words, those that have occurred before."""
     n = len(words.offsets) - 1
-    best = np.zeros(n)
-    total = np.maximum(np.bincount(words.document_of(), weights=words.lengths, minlength=n), 1)
+    out = np.zeros((n, 2))
+    of = words.document_of()
+    total = np.maximum(np.bincount(of, weights=words.lengths, minlength=n), 1)
     ends = np.concatenate([[0], np.cumsum(words.lengths)])
     for k in (2, 3, 4):
         gram, doc = hash_windows(words, k)
@@ -230,33 +227,46 @@ def _dominant(words: Words) -> np.ndarray:
         count = np.diff(np.concatenate([first, [len(key)]]))
         many = count > 1
         at = order[first[many]]
-        inside = np.flatnonzero(words.document_of()[: len(words.hashes) - k + 1] == words.document_of()[k - 1 :])
+        inside = np.flatnonzero(of[: len(words.hashes) - k + 1] == of[k - 1 :])
         size = ends[inside[at] + k] - ends[inside[at]]
-        np.maximum.at(best, doc[at], count[many] * size / total[doc[at]])
-    return np.minimum(best, 1.0)
+        np.maximum.at(out[:, 0], doc[at], count[many] * size / total[doc[at]])
+        if k == 4:
+            runs = np.bincount(doc, minlength=n)
+            out[:, 1] = np.where(runs >= 8, 1 - np.bincount(doc[order[first]], minlength=n) / np.maximum(runs, 1), 0.0)
+    return np.minimum(out, 1.0)
 
 
 STATISTICS = "words int, mean_word_length double, symbol_share double, ended_line_share double, common_word_share double, repeated_line_share double, repeated_paragraph_share double, dominant_ngram_share double, form string"
 
 
-def describe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", common_words: DataFrame | None = None, word_col: str = "word", config: FormConfig = FormConfig()) -> DataFrame:
+def words_of(common_words: DataFrame, word_col: str = "word") -> frozenset[str]:
+    """The distinct words of a table in lower case; more than MAX_COMMON, 1,000,000, are no common words: an error."""
+    rows = common_words.select(F.lower(F.col(word_col)).alias("_w")).filter("_w is not null").distinct().limit(MAX_COMMON + 1).collect()
+    if len(rows) > MAX_COMMON:
+        raise ValueError(f"more than {MAX_COMMON} common words")
+    return frozenset(r[0] for r in rows)
+
+
+_RUN = re.compile(r"[^\W_]+")
+
+
+def describe(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_col: str = "word", config: FormConfig = FormConfig()) -> DataFrame:
     """id_col, the statistics and the form of every row.
 
     words and mean_word_length: of runs of ASCII letters and digits; symbol_share:
-    of the characters, those neither white space, letter nor digit; common words
-    are matched in ASCII spelling, at most MAX_COMMON of them. A null text has null
-    statistics and form; an empty one has zeros and is prose, as is a text of fewer
-    than min_chars characters. Rows that occur twice come out twice.
+    of the characters, those neither white space, letter nor digit;
+    common_word_share: of the runs of letters and digits of any script. A null text
+    has null statistics and form; an empty one has zeros and is prose, as is a text
+    of fewer than min_chars characters. Rows that occur twice come out twice.
     """
-    if common_words is None:
-        common: list[str] = []
-    else:
-        common = [r[0] for r in common_words.select(word_col).filter(F.col(word_col).isNotNull()).distinct().limit(MAX_COMMON).collect()]
+    common = words_of(common_words, word_col)
+    held = df.sparkSession.sparkContext.broadcast(common)
     kind = "struct<" + STATISTICS.replace(", ", ",").replace(" ", ":") + ">"
 
     @F.arrow_udf(kind)
     def statistics(texts: pa.Array) -> pa.Array:
-        known = np.unique(hash_words([w for w in common if w.isascii() and w.isalnum()]).hashes)
+        known = held.value
+        ascii_ = np.unique(hash_words([w for w in known if w.isascii() and w.isalnum()]).hashes)
         columns: list[list] = [[] for _ in range(9)]
         for begin in range(0, len(texts), 1024):
             part = texts.slice(begin, 1024).to_pylist()
@@ -266,16 +276,19 @@ def describe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", comm
                 doc, n = words.document_of(), b - a
                 count = words.counts
                 length = np.bincount(doc, weights=words.lengths, minlength=n)
-                share = np.bincount(doc, weights=np.isin(words.hashes, known), minlength=n)
-                dominant = _dominant(words)
+                share = np.bincount(doc, weights=np.isin(words.hashes, ascii_), minlength=n) / np.maximum(count, 1)
+                again = _repetition(words)
                 columns[0].extend(None if v is None else int(c) for v, c in zip(values, count))
-                for i, x in ((1, length / np.maximum(count, 1)), (4, share / np.maximum(count, 1)), (7, dominant)):
+                for i, x in ((1, length / np.maximum(count, 1)), (4, share), (7, again[:, 0])):
                     columns[i].extend(None if v is None else float(y) for v, y in zip(values, x))
-                for v, d in zip(values, dominant):
+                for v, r in zip(values, again.tolist()):
                     if v is None:
                         row = (None,) * 5
                     else:
-                        said = _lines_of(v, float(d), config)
+                        if not v.isascii():
+                            runs = _RUN.findall(v.lower())
+                            columns[4][len(columns[2])] = sum(map(known.__contains__, runs)) / max(len(runs), 1)
+                        said = _lines_of(v, r, known, config)
                         row = (len(_SYMBOLS.findall(v)) / max(len(v), 1), said.ended, said.repeated, said.repeated_paragraphs, said.form)
                     for i, x in zip((2, 3, 5, 6, 8), row):
                         columns[i].append(x)
