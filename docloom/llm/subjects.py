@@ -1,12 +1,16 @@
 """Subject areas of documents by a seeded non-negative factorisation.
 
-The matrix of units (sentences, entries, rows) and terms (words and word pairs) of
-a bounded sample of labelled documents is factored into one anchored component a
-subject and some for everything else: the labels say which components a unit may
-use, the subjects' own names and descriptions seed the terms, and alternating
-multiplicative updates fit both factors. Since the components are anchored, a
-unit's mixture is read off its terms, and a document's subjects are those that
-enough of its units belong to. The fit is on the sample; every document is judged.
+The document-term matrix (words and word pairs) of a bounded sample of labelled
+documents is factored into W (documents by components) and H (components by terms).
+There is one anchored component a subject, seeded with the subject's own name and
+description; a background component that stays at the sample's term frequencies,
+and others without a subject. W holds most of its weight on those, so a subject
+keeps only terms that the rest does not explain; the labels say which subjects a
+document may use. Alternating multiplicative updates fit both factors.
+
+Every document of the corpus is then solved against H in the same way: updates give
+its W, and what each of its sentences, entries and rows owes to a subject under W
+says which they belong to. A document's subjects are those of enough of its units.
 """
 
 from __future__ import annotations
@@ -20,52 +24,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._texts import U64, Words, chunks, hash_windows, hash_words
-from .quality import FUNCTION_WORDS, forms_of
+from .quality import forms_of, words_of
 
 
 @dataclass(frozen=True)
 class SubjectConfig:
     """least_share: of a text's units that a subject needs.
 
-    sample: labelled documents that are read for the fit, at most; other: components
-    without a subject; rounds: of updates; support: labelled documents a term must
-    occur in; anchored: share of a term in a subject's component from which it
-    counts; pure: share of a term's documents with the subject's label that it
-    needs, smoothing that many documents without it added; doubt: what a unit may use of subjects that its labels do not name;
-    prose_words: share of function words from which a text is surely no junk.
+    sample: labelled documents that are read for the fit, at most, and sample_chars:
+    characters of each, at most (longer ones are left to others), which bound what
+    comes to the driver; max_subjects: more are an error.
+    other: components without a subject, besides the background; background: weight
+    of these in every document; seeded: how much more a subject's own words weigh at
+    the start; doubt: what a document may use of subjects that its labels do not
+    name; taught: weight of the documents with subjects in what the other components
+    learn; rounds: of updates; support: documents of the sample that a term must
+    occur in. solving: rounds of updates for a document of the corpus; prior: weight
+    spread over all subjects then; owed: terms' worth of a subject that a unit needs.
     """
 
     least_share: float = 0.25
     min_chars: int = 25
     sample: int = 2000
+    sample_chars: int = 20_000
+    max_subjects: int = 1000
     other: int = 4
-    rounds: int = 15
-    support: int = 2
-    anchored: float = 0.6
-    pure: float = 0.5
-    smoothing: float = 0.5
+    background: float = 0.9
+    seeded: float = 3.0
+    taught: float = 0.5
     doubt: float = 0.02
-    prose_words: float = 0.15
+    rounds: int = 20
+    support: int = 2
+    solving: int = 2
+    prior: float = 0.1
+    owed: float = 1.2
 
 
 _STOP = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
-_CLAUSE = re.compile(r";\s+| - |,\s+(?:and|y|et|und)\s+", re.I)
+_JOINT = re.compile(r";\s+| - ")
 _ENDED = re.compile(r"[.!?:][\"')\]]*\s*$")
 _INNER = re.compile(r"[a-z]{2}[.!?][\"')\]]*\s", re.I)
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
-_TRAIL = re.compile(r"\s*\((?:unlike|see|cf\.?)[^)]*\)|;\s+(?:the|an?)\s[^;.]{3,60}\bis another matter|,\s+much as\s[^,.;]{3,80}\bdoes\b", re.I)
 _LETTERS = re.compile(r"[^\W\d_]{2}")
-LONG_UNIT = 320
 
 
 def units_of(text: str) -> list[str]:
     """The sentences, entries and rows of a text.
 
     Lines are joined where sentences run over their ends; sentences strung together
-    are cut at their joints. Asides that compare with something else are left out.
+    are cut at their joints.
     """
-    if "nother matter" in text or "(" in text or "uch as" in text:
-        text = _TRAIL.sub("", text)
     lines = [s for x in text.split("\n") if (s := x.strip())]
     if len(lines) > 2:
         ended = sum(_ENDED.search(x) is not None for x in lines)
@@ -74,8 +82,8 @@ def units_of(text: str) -> list[str]:
     out = []
     for line in lines:
         for s in _STOP.split(line):
-            if len(s) > LONG_UNIT:
-                out.extend(_CLAUSE.split(s))
+            if ";" in s or " - " in s:
+                out.extend(_JOINT.split(s))
             else:
                 out.append(s)
     return [u for u in out if _LETTERS.search(u)]
@@ -87,43 +95,67 @@ def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([words.hashes, pair]), np.concatenate([words.document_of(), of])
 
 
-def factor(row: np.ndarray, col: np.ndarray, allowed: np.ndarray, seed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """W (rows x components) and H (components x terms) with W H close to the counts of (row, col).
+def _weights(w: np.ndarray, mine: int, own: np.ndarray | float) -> np.ndarray:
+    """Rows of W with so much weight on the subjects, the first components, and the rest on the others."""
+    subjects, rest = w[:, :mine] + 1e-9, w[:, mine:] + 1e-9
+    return np.concatenate([subjects * (own / subjects.sum(axis=1, keepdims=True)), rest * ((1 - own) / rest.sum(axis=1, keepdims=True))], axis=1)
+
+
+def _owed(w: np.ndarray, h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How each count, 1 each, is shared among the components; h: the column of H of each count, row: its row of W."""
+    part = w[row] * h
+    part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
+    return part
+
 
-    Updates alternate and keep zeros: allowed is the start of W, seed that of H.
+def _sums(part: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(at, part[:, j], n) for j in range(part.shape[1])], axis=1)
+
+
+def factor(row: np.ndarray, col: np.ndarray, allowed: np.ndarray, seed: np.ndarray, config: SubjectConfig) -> tuple[np.ndarray, np.ndarray]:
+    """W (documents x components) and H (components x terms) with W H close to the ones at (row, col).
+
+    allowed: what each document may use of each subject; seed: the start of H, whose
+    first row after the subjects, the background, stays as it is.
     """
-    w, h = allowed / allowed.sum(axis=1, keepdims=True), seed / seed.sum(axis=1, keepdims=True)
-    k, n, v = w.shape[1], w.shape[0], h.shape[1]
-    for _ in range(rounds):
-        part = w[row] * h.T[col]
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
-        w = np.stack([np.bincount(row, part[:, j], n) for j in range(k)], axis=1) + 1e-9 * allowed
-        w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-30)
-        w *= allowed > 0
-        h = np.stack([np.bincount(col, part[:, j], v) for j in range(k)]) + 1e-6 * seed
-        h /= np.maximum(h.sum(axis=1, keepdims=True), 1e-30)
+    n, mine = allowed.shape
+    k, terms = seed.shape
+    h = seed / seed.sum(axis=1, keepdims=True)
+    own = (1 - config.background) * allowed.max(axis=1, keepdims=True)  # a document without subjects has next to none
+    w = _weights(np.concatenate([allowed, np.ones((n, k - mine))], axis=1), mine, own)
+    teaches = allowed.max(axis=1) >= 1  # documents with subjects, which teach the other components less
+    for _ in range(config.rounds):
+        part = _owed(w, h.T[col], row)
+        w = _sums(part, row, n)
+        w[:, :mine] *= allowed
+        w = _weights(w, mine, own)
+        part[teaches[row], mine + 1 :] *= config.taught
+        new = _sums(part, col, terms).T + 1e-9
+        new /= new.sum(axis=1, keepdims=True)
+        new[mine] = h[mine]
+        h = new
     return w, h
 
 
 @dataclass
 class SubjectModel:
-    """Hashes of the anchored terms, sorted; the component of each (the last is none of the subjects) and its share there."""
+    """Hashes of the terms, sorted, and H: a row of components for each, the subjects first."""
 
     subjects: list[str]
     terms: np.ndarray
-    component: np.ndarray
-    share: np.ndarray
+    h: np.ndarray
     config: SubjectConfig
+    common: frozenset[str]
 
     def __post_init__(self):
         self._maybe = np.zeros(1 << 18, dtype=bool)
         self._maybe[self.terms >> U64(46)] = True
-        self._function = np.unique(hash_words([w for w in FUNCTION_WORDS if w.isascii()]).hashes)
 
     def mixture(self, texts: list[str | None]) -> list[list[str]]:
         """The subjects of each text, those with the largest share first."""
         out: list[list[str]] = [[] for _ in texts]
-        units, owner = [], []
+        units: list[str] = []
+        owner: list[int] = []
         for i, text in enumerate(texts):
             if text and len(text) >= self.config.min_chars and (text.isascii() or 4 * len(_CJK.findall(text)) < len(text)):
                 found = units_of(text)
@@ -131,104 +163,92 @@ class SubjectModel:
                 owner.extend([i] * len(found))
         if not units or not len(self.terms):
             return out
-        words = hash_words(units)
-        score = self.score(words)
-        best = score.argmax(axis=1)
-        top = score[np.arange(len(best)), best]
-        sure = (top >= 0.9) & (2 * top > score.sum(axis=1)) & (best < len(self.subjects))
         of, n, k = np.array(owner), len(texts), len(self.subjects)
-        count = np.maximum(np.bincount(of, minlength=n), 1)
-        share = np.bincount(of[sure] * k + best[sure], minlength=n * k).reshape(n, k) / count[:, None]
-        likely = (share >= self.config.least_share).any(axis=1)
-        # junk has few function words; only texts like that need a closer look
-        doc = of[words.document_of()]
-        common = np.bincount(doc, weights=np.isin(words.hashes, self._function), minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1)
-        doubtful = np.flatnonzero(likely & (common < self.config.prose_words))
-        junk = {i for i, form in zip(doubtful.tolist(), forms_of([texts[i] for i in doubtful])) if form == "junk"}
-        for i in np.flatnonzero(likely).tolist():
-            if i not in junk:
+        owed = self.owed(hash_words(units), of, n)
+        best = owed.argmax(axis=1)
+        sure = owed[np.arange(len(best)), best] >= self.config.owed
+        share = np.bincount(of[sure] * k + best[sure], minlength=n * k).reshape(n, k) / np.maximum(np.bincount(of, minlength=n), 1)[:, None]
+        likely = np.flatnonzero((share >= self.config.least_share).any(axis=1))
+        for i, form in zip(likely.tolist(), forms_of([texts[i] for i in likely], self.common)):
+            if form != "junk":
                 out[i] = [self.subjects[j] for j in np.argsort(-share[i], kind="stable") if share[i, j] >= self.config.least_share]
         return out
 
-    def score(self, words: Words) -> np.ndarray:
-        """How much of each unit's anchored terms lies in every subject and, last, in none."""
-        term, of = _terms(words)
+    def owed(self, words: Words, of: np.ndarray, n: int) -> np.ndarray:
+        """What each unit owes to each subject, in terms, under the W of its text, one of n; of: the text of each unit."""
+        term, unit = _terms(words)
         maybe = np.flatnonzero(self._maybe[term >> U64(46)])
-        term = term[maybe]
+        term, unit = term[maybe], unit[maybe]
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         hit = self.terms[at] == term
-        at, of, k = at[hit], of[maybe[hit]], len(self.subjects) + 1
-        n = len(words.offsets) - 1
-        return np.bincount(of * k + self.component[at], self.share[at], n * k).reshape(n, k)
+        unit, h = unit[hit], self.h[at[hit]]
+        row, mine = of[unit], len(self.subjects)
+        own = 1 - self.config.background
+        w = _weights(np.ones((n, h.shape[1])), mine, own).astype(np.float32)
+        for _ in range(self.config.solving):
+            w = _sums(_owed(w, h, row), row, n)
+            w[:, :mine] += self.config.prior / mine
+            w = _weights(w, mine, own).astype(np.float32)
+        return _sums(_owed(w, h, row)[:, :mine], unit, len(words.offsets) - 1)
 
 
-def fit(subjects: list[tuple[str, str]], labelled: list[tuple[str, list[str]]], config: SubjectConfig = SubjectConfig()) -> SubjectModel:
-    """A model from (subject, description) and (text, its subjects).
+def fit(subjects: list[tuple[str, str]], labelled: list[tuple[str, list[str]]], common: frozenset[str], config: SubjectConfig = SubjectConfig()) -> SubjectModel:
+    """A model from (subject, description), (text, its subjects) and the common words that junk lacks.
 
     A text without subjects teaches the other components. Labels are doubted a
     little, so a wrong one is outvoted.
     """
     names = sorted({s for s, _ in subjects})
     index = {s: i for i, s in enumerate(names)}
-    k, mine = len(names) + config.other, len(names)
+    mine, n = len(names), len(labelled) + len(subjects)
+    allowed = np.full((n, mine), config.doubt)
     units: list[str] = []
     document: list[int] = []
-    marks = np.zeros((len(labelled) + len(subjects), mine + 1))
     for d, (text, own) in enumerate(labelled):
         found = units_of(text)
         units.extend(found)
         document.extend([d] * len(found))
-        known = [index[s] for s in own if s in index]
-        marks[d, known or [mine]] = 1.0 / max(len(known), 1)
+        allowed[d, [index[s] for s in own if s in index]] = 1.0
     for d, (s, about) in enumerate(subjects, len(labelled)):
         units.append(f"{s.replace('_', ' ')} {about or ''}")
         document.append(d)
-        marks[d, index[s]] = 1.0
-    of_unit = np.array(document)
-    term, row = _terms(hash_words(units))
+        allowed[d, index[s]] = 1.0
+    term, unit = _terms(hash_words(units))
     vocabulary, col = np.unique(term, return_inverse=True)
     # a document counts a term once
-    once = np.unique(of_unit[row].astype(np.int64) * len(vocabulary) + col)
-    doc, at = once // len(vocabulary), once % len(vocabulary)
-    seen = np.bincount(at, minlength=len(vocabulary))
-    purity = np.stack([np.bincount(at, marks[doc, j], len(vocabulary)) for j in range(mine + 1)], axis=1)
-    purity /= purity.sum(axis=1, keepdims=True) + config.smoothing
-    keep = seen >= config.support
+    once = np.unique(np.array(document, dtype=np.int64)[unit] * len(vocabulary) + col)
+    row, col = once // max(len(vocabulary), 1), once % max(len(vocabulary), 1)
+    keep = np.bincount(col, minlength=len(vocabulary)) >= config.support
     if not keep.any():
-        return SubjectModel(names, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0), config)
-    number = np.cumsum(keep) - 1
+        return SubjectModel(names, np.zeros(0, dtype=np.uint64), np.zeros((0, mine + 1 + config.other), dtype=np.float32), config, common)
     mask = keep[col]
-    row, col, vocabulary, purity = row[mask], number[col[mask]], vocabulary[keep], purity[keep]
-    start = np.full((len(units), k), config.doubt)
-    start[:, :mine] += marks[of_unit, :mine] > 0
-    start[:, mine:] = 0.5
-    # a term that the labels tie to one subject seeds it, the others the rest
-    count = np.bincount(col, minlength=len(vocabulary))
-    seed = np.empty((k, len(vocabulary)))
-    seed[:mine] = (count[:, None] * purity[:, :mine] ** 3).T
-    seed[mine:] = count * (1 - purity[:, :mine].max(axis=1)) * (0.5 + np.random.default_rng(3).random((config.other, len(vocabulary))))
-    _, h = factor(row, col, start, seed + 1e-3, config.rounds)
-    mass = np.vstack([h[:mine], h[mine:].sum(axis=0)])
-    share = (mass / np.maximum(mass.sum(axis=0, keepdims=True), 1e-30)).T
-    share = np.where((share >= config.anchored) & (purity >= config.pure), share, 0.0)
-    anchored = share.any(axis=1)
-    share = share[anchored]
-    return SubjectModel(names, vocabulary[anchored], share.argmax(axis=1), share.max(axis=1), config)
-
-
-def document_subjects(df: DataFrame, labels: DataFrame, subjects: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "subject", about_col: str = "description", config: SubjectConfig = SubjectConfig()) -> DataFrame:
+    row, col, vocabulary = row[mask], (np.cumsum(keep) - 1)[col[mask]], vocabulary[keep]
+    count = np.bincount(col, minlength=len(vocabulary)).astype(float)
+    seed = count * (1 + 0.2 * np.random.default_rng(3).random((mine + 1 + config.other, len(vocabulary))))
+    seed[mine] = count
+    for d, (s, _) in enumerate(subjects, len(labelled)):
+        seed[index[s], col[row == d]] *= 1 + config.seeded
+    _, h = factor(row, col, allowed, seed, config)
+    return SubjectModel(names, vocabulary, np.ascontiguousarray(h.T.astype(np.float32)), config, common)
+
+
+def document_subjects(df: DataFrame, labels: DataFrame, subjects: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "subject", about_col: str = "description", config: SubjectConfig = SubjectConfig()) -> DataFrame:
     """id_col, label_col: a row for each subject of each document.
 
     Texts that are null, short, junk or in Chinese or Japanese have no subject. The
     model is fitted on at most ``sample`` labelled documents, those with the
-    smallest hashes of their ids; labels of unknown documents are passed over. Rows
-    that occur twice come out twice.
+    smallest hashes of their ids, of at most ``sample_chars`` characters each;
+    labels of unknown documents are passed over. Rows that occur twice come out
+    twice. More than ``max_subjects`` subjects are an error.
     """
-    areas = [(r[0], r[1]) for r in subjects.select(label_col, about_col).filter(F.col(label_col).isNotNull()).distinct().limit(1000).collect()]
+    rows = subjects.select(label_col, about_col).filter(F.col(label_col).isNotNull()).distinct().limit(config.max_subjects + 1).collect()
+    if len(rows) > config.max_subjects:
+        raise ValueError(f"more than {config.max_subjects} subjects")
+    areas = sorted((r[0], r[1] or "") for r in rows)
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).filter("_id is not null").groupBy("_id").agg(F.array_sort(F.collect_set("_label")).alias("_labels"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(config.sample)
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null").join(F.broadcast(chosen), "_id").collect()
-    model = fit(sorted(areas, key=lambda a: a[0]), [(r["_text"], list(r["_labels"])) for r in sorted(texts, key=lambda r: (r["_id"], r["_text"]))], config)
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.length("_text") <= config.sample_chars).join(F.broadcast(chosen), "_id").limit(2 * config.sample).collect()
+    model = fit(areas, [(r["_text"], list(r["_labels"])) for r in sorted(texts, key=lambda r: (r["_id"], r["_text"]))], words_of(common_words), config)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<string>")
