@@ -2,9 +2,9 @@
 
 Each answer is stripped of its citations and then judged: placeholders are empty;
 refusal grammars go over its sentences; greedy string tiling measures how much of it
-is the question given back; its last line, and for a single sentence a pushdown
-parser over brackets, quotations and fences, tell whether it breaks off; function
-words and scripts tell its language from the question's.
+is the question given back; a pushdown parser over fences, brackets, quotations,
+lists and markup, with the last words, tells whether it breaks off; scripts and
+n-gram profiles tell its language from the question's.
 """
 
 from __future__ import annotations
@@ -16,24 +16,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._plan import broadcast_if_small
+from .languages import Languages, learn
 
 DEFECTS = ("empty", "refusal", "copies_question", "truncated", "other_language")
 BROADCAST_ROWS = 200_000
+MAX_WORDS = 100_000
 
-_CITED = re.compile(r"\s*\[\s*[\w.:#/-]+__[^\[\]\n]*(?:\]|\Z)\s*\Z|\s*\[\s*[\w-]+(?:_[\w-]+)+(?:\s*,\s*[\w-]+)*\s*\]\s*\Z|\s*\[(?:\s*\d+\s*[,;]?)+\]\s*\Z")
+_LIST = re.compile(r"\s*\[([^\[\]\n]*)(\]?)\s*\Z")
+_ID = re.compile(r"[\w-]+(?:_[\w-]+)+|\d+")
 _TAG = re.compile(r"</?[a-z][\w-]*(?:\s[^<>]*)?/?>", re.I)
 _LEAD = re.compile(r"^\s*(?:(?:final\s+)?(?:answer|response|reply|output|antwort|réponse|respuesta)\s*[:：])+\s*", re.I)
 _PLACEHOLDER = re.compile(r"(?:n\s*/?\s*a|none|null|nil|nan|undefined|todo|tbd|tba|empty|blank|no (?:answer|response|output|content)|not (?:available|applicable)|placeholder|\[?(?:answer|response|insert[^\]]*)\]?|lorem ipsum.*)[.!]?", re.I)
 _CONTENT = re.compile(r"[^\W_]")
 
 
-def body_of(answer: str) -> str:
-    """The answer without the citation lists at its end."""
-    while True:
-        cut = _CITED.sub("", answer)
-        if cut == answer:
-            return answer.strip()
-        answer = cut
+def body_of(answer: str, citations: frozenset[str] = frozenset()) -> str:
+    """The answer without the citation lists at its end.
+
+    A bracketed list at the end is one of citations if each entry is among those
+    given with the answer or looks like an id; one that breaks off may end in a part of one.
+    """
+    while m := _LIST.search(answer):
+        entries = [e for x in re.split("[,;]", m[1]) if (e := x.strip())]
+        cited = [e in citations or _ID.fullmatch(e) is not None for e in entries]
+        if not m[2] and entries and not cited[-1]:
+            cited[-1] = "_" in entries[-1] or any(c.startswith(entries[-1]) for c in citations)
+        if not entries or not all(cited):
+            break
+        answer = answer[: m.start()]
+    return answer.strip()
 
 
 def is_empty(body: str) -> bool:
@@ -44,36 +55,65 @@ def is_empty(body: str) -> bool:
 
 # --- refusals -----------------------------------------------------------------
 
-_NOT = r"(?:can\s?not|can't|cannot|could\s?n[o']t|won't|will not|would not|wouldn't|do not|don't|am not|'m not|am unable|'m unable|must not|may not|shall not|unable|not able|not permitted|not allowed|have to|must|would rather not|'d rather not|prefer not|refuse|decline|lack)"
-_SAY = r"(?:answer|respond|reply|help|assist|say|tell|provide|comply|discuss|talk|comment|share|give|offer|explain|address|determine|find|know|guess|fulfil|fulfill|support|continue|engage|pass on|leave this open|decline|information|knowledge|evidence|context|speak|advise|elaborate)"
+# Nonterminals of the grammars, by language; gaps are bounded and stay within a clause.
+_EN = {
+    "self": r"\b(?:i|we|this (?:assistant|service|system|model))\b",
+    "me": r"\b(?:me|us|this (?:assistant|service|system|model))\b",
+    "not": r"(?:can\s?not|can't|could\s?n[o']t|won't|will not|would not|wouldn't|do not|don't|did not|didn't|am not|'m not|are not|must not|may not|shall not|should not|(?:am|'m|are|be) (?:un|not )able|unable|not (?:able|permitted|allowed|free|authori[sz]ed)|have to|must|would rather(?: not)?|'d rather(?: not)?|prefer (?:not )?to|refuse|decline|lack|impossible)",
+    "say": r"(?:answer|respond|reply|help|assist|say|tell|provide|comply|discuss|talk|speak|comment|share|give|offer|explain|elaborate|address|determine|find|know|guess|speculate|judge|verify|confirm|fulfil+|support|continue|proceed|engage|advise|decline|abstain|refrain|pass|skip|leave|information|knowledge|evidence|context)",
+    "source": r"\b(?:context|passages?|excerpts?|materials?|documents?|sources?|chunks?|texts?|snippets?|references?)\b",
+    "proof": r"(?:evidence|context|information|data|materials?|details?|knowledge|basis|grounds)",
+    "topic": r"\b(?:questions?|requests?|query|queries|topics?|subjects?|matters?|this|that|it)\b",
+    "closed": r"\b(?:off[- ]?limits|out of (?:scope|bounds)|(?:is|are) (?:forbidden|prohibited|not (?:allowed|permitted|something (?:i|we)))|(?:outside|beyond) (?:of )?(?:my|our|the|what))\b",
+    "rules": r"\b(?:guidelines?|policy|policies|rules?|instructions|programming|terms)\b",
+}
 _REFUSALS = [
-    rf"\b(?:i|we)\b[^.:;]{{0,40}}?{_NOT}\b[^.:]{{0,60}}?\b{_SAY}\b",
-    r"^(?:sorry|apologies|my apologies|unfortunately|regrettably)[,:]?\s[^.]{0,60}\b(?:outside|beyond|cannot|can't|unable|not able|not possible|not something|no answer|won't|don't know|pass on|may not|off limits)\b",
-    r"^(?:i|we) (?:really |simply |just )?(?:do not|don't) (?:know|have (?:enough|any|the|that|sufficient))\b(?!\s+(?:a|an|any|of)\s+\w+er\b)",
-    r"^(?:i am|i'm|we are|we're) (?:so |very |truly )?sorry[,.]?(?:\s(?:but|for)\b.*)?$",
-    r"^(?:i am|i'm|we are) (?:not (?:sure|certain|able|in a position)|unable|unsure)\b",
-    r"\b(?:no|not any) (?:answer|reply|response|conclusion|statement)s? (?:is |are |was |can be |could be |will be )?(?:possible|given|available|offered|provided|on\b|to (?:this|that|the) question)",
-    r"\b(?:insufficient|not enough|too little|inadequate) (?:evidence|context|information|data|material|detail|details)\b",
-    r"\b(?:context|passages?|excerpts?|material|documents?|sources?|chunks?|text|snippets?)\b[^.:]{0,50}\b(?:does not|doesn't|do not|don't|fails? to|did not|didn't)\b[^.:]{0,30}\b(?:enough|sufficient|answer|cover|mention|address|say|contain|include|provide)\b",
-    r"\b(?:question|request|query|topic|subject|this|that)\b[^.:]{0,40}\b(?:cannot|can't|can not|could not) be (?:answered|resolved|addressed|determined|decided|fulfilled|discussed)\b",
-    r"\b(?:topic|subject|question|request|this|that|it)\b[^.:]{0,30}\b(?:off[- ]limits|out of (?:scope|bounds)|outside (?:my|the|our|what)|beyond (?:my|the|our|what)|not something (?:i|we))\b",
-    r"\b(?:guidelines|policy|policies|rules|instructions|programming)\b[^.:]{0,30}\b(?:prevents?|forbids?|prohibits?|do(?:es)? not (?:let|allow|permit)|keeps?|stops?)\b[^.:]{0,10}\b(?:me|us)\b",
-    r"\bit would (?:not be|be in)\s?appropriate for (?:me|us)\b",
-    r"\bas an? (?:ai|assistant|language model|chatbot)\b[^.]{0,60}\b(?:decline|cannot|can't|must|not|unable)\b",
-    r"^(?:cannot|can't|can not|unable to|must|will not|won't|refuse to) (?:comply|answer|help|assist|respond|say|decline)\b",
-    # German, French, Spanish
-    r"\b(?:kann|darf|möchte|werde|könnte)\b[^.]{0,30}\b(?:ich|wir)\b[^.]{0,60}\b(?:nicht|kein\w*|nichts)\b",
-    r"\b(?:ich|wir)\b[^.]{0,15}\b(?:kann|können|darf|dürfen|weiß|wissen|möchte|werde)\b[^.]{0,60}\b(?:nicht|kein\w*|nichts)\b",
-    r"\b(?:kontext|auszüge|textstellen|unterlagen|quellen|passagen|abschnitte)\b[^.]{0,30}\b(?:enthält|enthalten|bietet|bieten|reicht|reichen|geben|gibt)\b[^.]{0,30}\b(?:kein\w*|nicht)\b",
-    r"\b(?:keine|nicht genügend|unzureichende) (?:ausreichenden )?(?:antwort|auskunft|angaben|informationen)\b[^.]{0,40}\b(?:möglich|geben|vorhanden|verfügbar)\b",
-    r"\b(?:je|nous)\b[^.]{0,20}\b(?:ne|n')\s?[^.]{0,30}\b(?:peux|puis|peut|pouvons|suis|sais|dispose|veux|souhaite|ai)\b[^.]{0,12}\b(?:pas|rien|aucune?)\b",
-    r"\b(?:contexte|extraits|passages|documents)\s+(?:\w+\s+)?(?:ne |n')(?:permet|permettent|contien|suffi|fourni|mentionn)\w*\s+pas\b",
-    r"\b(?:aucune réponse|informations? insuffisantes?|pas assez d'informations?)\b",
-    r"\bno (?:puedo|podemos|sé|sabemos|tengo|dispongo|me es posible|es posible responder|estoy autorizad\w+)\b",
-    r"\b(?:contexto|fragmentos|documentos|pasajes)\s+(?:\w+\s+)?no\s+(?:contienen?|tienen?|incluyen?|ofrecen?|permiten?|mencionan?|bastan?)\b",
-    r"\b(?:información insuficiente|ninguna respuesta)\b",
+    # someone who is not able or willing to say something
+    "{self}[^.:;]{{0,40}}?{not}\\b[^.:]{{0,60}}?\\b{say}\\b",
+    "{self} (?:really |simply |just |honestly )?(?:do not|don't) (?:know|have (?:enough|any|the|that|sufficient))\\b(?!\\s+(?:a|an|any|of)\\s+\\w+er\\b)",
+    "^(?:i am|i'm|we are|we're) (?:not (?:sure|certain|able|in a position)|unable|unsure)\\b",
+    "^(?:i am|i'm|we are|we're) (?:so |very |truly |really )?sorry[,.]?(?:\\s(?:but|for)\\b.*)?$",
+    "^(?:sorry|apologies|my apologies|unfortunately|regrettably)[,:]?\\s[^.]{{0,60}}(?:\\b{not}\\b|{closed}|\\bno answer\\b)",
+    "^(?:(?:must|have to|want to) )?(?:cannot|can't|can not|unable to|not able to|will not|won't|must not|refuse to|refusing to|decline to|declining to|must) {say}\\b",
+    "\\b(?:it|that|this) (?:would be|is|seems) (?:impossible|inappropriate|not (?:possible|appropriate)) for {me}|\\bit would not be (?:possible|appropriate|right|proper) for {me}",
+    "\\bas an? (?:ai|assistant|language model|chatbot)\\b[^.]{{0,60}}\\b{not}\\b",
+    # something that is not there to answer from
+    "\\b(?:no|not any) (?:answer|reply|response|conclusion|statement)s? (?:(?:is|are|was|can be|could be|will be) )?(?:possible|given|available|offered|provided|on\\b|to (?:this|that|the) question)",
+    "\\b(?:insufficient|not enough|too little|inadequate|no) (?:\\w+ )?{proof}\\b(?= (?:to|for|on|about|is|are|was|were|in)\\b|[.!]?$)",
+    "\\b(?:insufficient|not enough|too little|inadequate) {proof}\\b",
+    "{source}[^.:]{{0,50}}\\b(?:does not|doesn't|do not|don't|fails? to|did not|didn't|never)\\b[^.:]{{0,30}}\\b(?:enough|sufficient|answer|cover|mention|address|say|contain|include|provide|deal|support)\\b",
+    "{topic}[^.:]{{0,40}}\\b(?:cannot|can't|can not|could not) be (?:answered|resolved|addressed|determined|decided|fulfilled|discussed|settled|judged)\\b",
+    # something that may not be talked about
+    "{topic}[^.:]{{0,30}}{closed}",
+    "{rules}[^.:]{{0,30}}\\b(?:prevents?|forbids?|prohibits?|do(?:es)? not (?:let|allow|permit)|keeps?|stops?)\\b[^.:]{{0,10}}{me}",
+]
+_DE = {
+    "self": r"\b(?:ich|wir)\b",
+    "may": r"\b(?:kann|können|könnte|darf|dürfen|möchte|möchten|werde|werden|weiß|wissen)\b",
+    "not": r"\b(?:nicht|kein\w*|nichts)\b",
+    "source": r"\b(?:kontext|auszüge|textstellen|unterlagen|quellen|passagen|abschnitte|dokumente)\b",
+    "proof": r"\b(?:antwort|auskunft|angaben|informationen|belege)\b",
+}
+_REFUSALS_DE = [
+    "{may}[^.]{{0,30}}{self}[^.]{{0,60}}{not}",
+    "{self}[^.]{{0,15}}{may}[^.]{{0,60}}{not}",
+    "{source}[^.]{{0,30}}\\b(?:enthält|enthalten|bietet|bieten|reicht|reichen|geben|gibt)\\b[^.]{{0,30}}{not}",
+    "\\b(?:keine|nicht genügend|unzureichende) (?:ausreichenden )?{proof}[^.]{{0,40}}\\b(?:möglich|geben|vorhanden|verfügbar)\\b",
+]
+_FR = {"self": r"\b(?:je|nous)\b", "may": r"\b(?:peux|puis|peut|pouvons|suis|sais|savons|dispose|disposons|veux|souhaite|ai|avons)\b", "not": r"\b(?:pas|rien|aucune?)\b", "source": r"\b(?:contexte|extraits|passages|documents|sources)\b"}
+_REFUSALS_FR = [
+    "{self}[^.]{{0,20}}\\b(?:ne|n')\\s?[^.]{{0,30}}{may}[^.]{{0,12}}{not}",
+    "{source}\\s+(?:\\w+\\s+)?(?:ne |n')(?:permet|permettent|contien|suffi|fourni|mentionn)\\w*\\s+pas\\b",
+    "\\b(?:aucune réponse|informations? insuffisantes?|pas assez d'informations?)\\b",
 ]
-_REFUSAL = re.compile("|".join(f"(?:{r})" for r in _REFUSALS), re.I)
+_ES = {"may": r"(?:puedo|podemos|sé|sabemos|tengo|tenemos|dispongo|me es posible|es posible responder|estoy autorizad\w+)", "source": r"\b(?:contexto|fragmentos|documentos|pasajes|fuentes)\b"}
+_REFUSALS_ES = [
+    "\\bno {may}\\b",
+    "{source}\\s+(?:\\w+\\s+)?no\\s+(?:contienen?|tienen?|incluyen?|ofrecen?|permiten?|mencionan?|bastan?)\\b",
+    "\\b(?:información insuficiente|ninguna respuesta)\\b",
+]
+_GRAMMARS = ((_REFUSALS, _EN), (_REFUSALS_DE, _DE), (_REFUSALS_FR, _FR), (_REFUSALS_ES, _ES))
+_REFUSAL = re.compile("|".join(f"(?:{rule.format(**terms)})" for rules, terms in _GRAMMARS for rule in rules), re.I)
 #: Sentences of the first person that do give an answer.
 _ANSWERS = re.compile(r"\b(?:than (?:this|that)|the following|otherwise|because|since it|namely|to say that)\b\s*:?|:\s+\w+(?:\s+\S+){3,}$", re.I)
 _REASON = re.compile(r"\b(?:because|since)\b[^.]*\b(?:passages|context|excerpts|material|documents|sources|guidelines|policy|chunks)\b", re.I)
@@ -94,8 +134,6 @@ def sentences_of(text: str) -> list[str]:
 
 def is_refusal(body: str) -> bool:
     """Whether the answer declines or says it cannot answer, and says nothing else."""
-    if len(body) > 1500:
-        return False
     text = _GREETING.sub("", body.replace("’", "'").strip())
     refused = False
     for s in sentences_of(text):
@@ -140,30 +178,42 @@ def tiles(a: list[str], b: list[str], least: int = 2) -> int:
                 covered += best
 
 
+_NO_SPACES = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
+
+
+def _words(text: str) -> list[str]:
+    """The words of a text; of scripts without spaces, the characters."""
+    said = [w.lower() for w in _WORD.findall(text)]
+    return [c for w in said for c in (w if _NO_SPACES.search(w) else (w,))]
+
+
 def copies_question(body: str, query: str) -> bool:
-    """Whether the answer is the question, once or again, with small changes at most."""
-    asked = [w.lower() for w in _WORD.findall(query)]
+    """Whether the answer is the question, once or again and again, with small changes at most."""
+    asked = _words(query)
     if len(asked) < 3:
         return False
-    text = _TAG.sub(" ", body)
-    if len(text) > 4 * len(query) + 120:
-        return False
     left = []
-    for part in re.split(r"\n+|\b(?:answer|antwort|réponse|respuesta)\s*:", text, flags=re.I):
+    for part in re.split(r"\n+|\b(?:answer|antwort|réponse|respuesta)\s*:", _TAG.sub(" ", body), flags=re.I):
         part = _BACK.sub("", _BACK.sub("", part))
-        said = [w.lower() for w in _WORD.findall(part)]
+        said = _words(part)
         if said:
             left.append(said)
+        if left and not _repeats(left[0], asked) and len(left) * len(asked) > 2 * len(asked) + 8:
+            return False  # the rest cannot make up for it
     if not left:
         return False
-    whole = [w for said in left for w in said]
-    if len(left) > 1 and all(_same(said, asked) for said in left):
-        return True
-    return _same(whole, asked)
+    return all(_repeats(said, asked) for said in left) or _same([w for said in left for w in said], asked)
+
+
+def _repeats(said: list[str], asked: list[str]) -> bool:
+    """Whether said is the question so many times in a row."""
+    times = max(1, round(len(said) / len(asked)))
+    at = [len(said) * i // times for i in range(times + 1)]
+    return all(_same(said[i:j], asked) for i, j in zip(at, at[1:]))
 
 
 def _same(said: list[str], asked: list[str]) -> bool:
-    if len(said) > 1.35 * len(asked) + 2 or len(said) < 0.6 * len(asked):
+    if len(said) > 1.35 * len(asked) + 2 or len(said) < 0.6 * len(asked) or len({*said} & {*asked}) < 0.5 * len({*asked}):
         return False
     got = tiles(said, asked)
     return got >= 0.8 * len(said) and got >= 0.75 * len(asked)
@@ -171,163 +221,213 @@ def _same(said: list[str], asked: list[str]) -> bool:
 
 # --- answers that break off -------------------------------------------------------
 
-_BULLET = re.compile(r"^\s*(?:[-*•–+]|\d{1,3}[.)]|[a-z][.)])\s+\S")
-_CODE = re.compile(r"^\s*(?:[\w.\"'/-]+:(?:\s+\S.*)?|-\s+[\w.-]+:\s.*|[{}\[\]();]+,?|[$#>]\s?\S.*|(?:kubectl|docker|helm|curl|sudo|git|export|cat|apt|yum|pip|import|def|return|var|let|const|func|echo|if|for|while|fi|done|end)\b.*|.*[;{}]|\|.*\||</?\w.*>)\s*$")
 _STOPS = ".!?。！？…"
-_CLOSERS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "』": "『", "」": "「", "）": "（"}
-_OPENERS = set(_CLOSERS.values())
-_NOUN_PHRASE = re.compile(r"(?:use|only|just|see|try|yes|no|both|neither|all|none|at least|at most|about|\d+|[A-Z]?[\w-]+)\b[^,;:]*(?:, no (?:more|less|fewer))?", re.I)
-_DANGLING = frozenset("a an and are as at because but by for from if in into is it its of on or so such than that the their then there these this those to unless until was were when where whether which while who with without und oder der die das den dem des ein eine einer einem mit von zu auf für dass weil wenn et ou le la les un une des du de que qui pour dans avec sur par y o el los las una con para por del en".split())
+_PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "』": "『", "」": "「", "）": "（"}
+_OPENERS = frozenset(_PAIRS.values())
+_TOKEN = re.compile(
+    r"(?P<fence>^[ \t]*(?:```+|~~~+)|```)|(?P<tick>`)|(?P<tag></?[A-Za-z][\w-]*(?:\s[^<>\n]*)?/?>)|(?P<item>^[ \t]*(?:[-*•–+]|\d{1,3}[.)]|[A-Za-z][.)])[ \t]+(?=\S))|(?P<row>^[ \t]*\|.*\|[ \t]*$)"
+    r"|(?P<quote>\")|(?P<open>[(\[{“«『「（])|(?P<close>[)\]}”»』」）])|(?P<line>\n)|(?P<stop>[.!?。！？…](?=[\s\"')\]}”»』」）]|$))",
+    re.M,
+)
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr p li".split())
+_ABBREVIATED = re.compile(r"(?:\b(?:e\.g|i\.e|etc|cf|vs|z\.b|bzw|p\.\s?ex|p\.\s?ej|no|fig|approx)|\b[A-Za-z])\.$", re.I)
+_STATEMENT = re.compile(r"[\w\"'\])};,]\s*$|[\w.\"'/-]+:\s*$")
+_CODE_END = re.compile(r"^\s*(?:[\w.\"'/-]+:(?:\s+\S.*)?|-\s+[\w.-]+:\s.*|[{}\[\]();]+,?|[$#>]\s?\S.*|.*[;{}]|[a-z][\w-]*(?:\s+\S+)*\s--?[\w-]+.*|(?:kubectl|docker|helm|curl|sudo|git|export|cat|apt|yum|pip)\b.*)\s*$")
 
 
-def open_at_end(text: str) -> list[str]:
-    """The brackets, quotations and fences still open at the end of a text.
+class Parse:
+    """What a pushdown parser finds at the end of a text.
 
-    An apostrophe within a word is no quotation; a closing mark that matches
-    nothing is passed over; within a fence only its end counts.
+    open: what is still open, outermost first: ``` (a fence), ` (code in a line),
+    brackets and quotation marks by their opening sign, <name> (markup), - (a list
+    item). since: where each of them began; stop: where the last sentence ended.
     """
-    stack: list[str] = []
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        if text.startswith("```", i):
-            if stack and stack[-1] == "```":
-                stack.pop()
-            else:
-                stack.append("```")
-            i += 3
-            continue
-        if stack and stack[-1] in ("```", "`"):
-            if c == "`" and stack[-1] == "`":
-                stack.pop()
-        elif c == "`" or c == '"':
-            if stack and stack[-1] == c:
-                stack.pop()
+
+    __slots__ = ("open", "since", "stop", "row")
+
+    def __init__(self, text: str):
+        stack: list[str] = []
+        since: list[int] = []
+        self.stop, self.row = 0, False
+
+        def push(sign: str, at: int) -> None:
+            stack.append(sign)
+            since.append(at)
+
+        def pop_to(depth: int) -> None:
+            del stack[depth:], since[depth:]
+
+        for m in _TOKEN.finditer(text):
+            kind, said = m.lastgroup, m[0]
+            top = stack[-1] if stack else None
+            if kind == "fence":
+                if "```" in stack:
+                    pop_to(stack.index("```"))
+                else:
+                    push("```", m.start())
+            elif "```" in stack:
+                continue  # within a fence only its end counts
+            elif kind == "line":
+                self.row = False
+                # a line of its own ends an item, and code, which keeps to its line
+                if top == "`":
+                    pop_to(len(stack) - 1)
+                if "-" in stack and not re.match(r"[ \t]+\S", text[m.end() : m.end() + 40]):
+                    pop_to(stack.index("-"))
+            elif kind == "tick":
+                if top == "`":
+                    pop_to(len(stack) - 1)
+                else:
+                    push("`", m.start())
+            elif top == "`":
+                continue
+            elif kind == "tag":
+                name = f"<{re.sub(r'[</>]', ' ', said).split()[0].lower()}>"
+                if said.startswith("</"):
+                    if name in stack:
+                        pop_to(len(stack) - 1 - stack[::-1].index(name))
+                elif not said.endswith("/>") and name[1:-1] not in _VOID:
+                    push(name, m.start())
+            elif kind == "item":
+                if "-" in stack:
+                    pop_to(stack.index("-"))
+                push("-", m.start())
+            elif kind == "row":
+                self.row = True
+            elif kind == "quote":
+                if '"' in stack:
+                    pop_to(stack.index('"'))
+                else:
+                    push('"', m.start())
+            elif kind == "open":
+                push(said, m.start())
+            elif kind == "close":
+                if _PAIRS[said] in stack:
+                    pop_to(len(stack) - 1 - stack[::-1].index(_PAIRS[said]))
             else:
-                stack.append(c)
-        elif c in _OPENERS:
-            stack.append(c)
-        elif c in _CLOSERS and stack and stack[-1] == _CLOSERS[c]:
-            stack.pop()
-        i += 1
-    return stack
+                self.stop = m.end()
+        self.open, self.since = stack, since
 
 
-def is_truncated(body: str) -> bool:
+def is_truncated(body: str, common: frozenset[str] = frozenset()) -> bool:
     """Whether the answer breaks off within a sentence.
 
-    Ends in a list item, in code, in markup or with a full stop are complete; so is
-    a short phrase that is all of the answer, if it does not end in a word or mark
-    that asks for more.
+    common: frequent words, which end no sentence without a stop. Ends in a list
+    item, a row, closed markup, a statement of code or a full stop are complete,
+    and so is a short phrase that is all of the answer, unless something that was
+    opened is still open or the last word or sign asks for more.
     """
-    lines = [x for x in body.split("\n") if x.strip()]
-    if not lines:
+    text = body.rstrip()
+    if not text:
         return False
-    last = lines[-1].strip()
-    open_ = open_at_end(body)
-    if "```" in open_ or last.startswith("```"):
+    parse = Parse(text)
+    last = text[text.rfind("\n") + 1 :].strip()
+    lone = "\n" not in text
+    if "```" in parse.open:
+        # a fence may be left out, a statement in it may not
+        code = text[parse.since[parse.open.index("```")] :].split("\n", 1)
+        inner = code[1] if len(code) > 1 else ""
+        ends = [x for x in inner.split("\n") if x.strip()]
+        return not ends or not _STATEMENT.search(ends[-1]) or any(inner.count(o) > inner.count(c) for c, o in _PAIRS.items() if c in ")]}") or inner.count('"') % 2 == 1
+    if last.startswith("```") or last.startswith("~~~"):
         return False
-    if _BULLET.match(last) and len(lines) > 1 and not re.search(r"[.!?]\s+\S", last) and last[-1] not in ",;(":
+    inner = [(o, at) for o, at in zip(parse.open, parse.since) if o != "-" and not o.startswith("<")]
+    markup = [o for o in parse.open if o.startswith("<")]
+    end = text.rstrip("\"'”’»)]}*_`』」）")
+    word = re.split(r"[\s(\[{\"“]", text)[-1].lower().strip(".,;:")
+    dangling = text[-1] in ",;:–([{“«-" or word in common and text[-1] not in _STOPS
+    if end and end[-1] in _STOPS:
+        # stopped, unless what the last sentence opened is open and the stop may be an abbreviation's
+        return bool(inner) and _ABBREVIATED.search(text) is not None
+    if parse.row or last.endswith(">") and not markup:
         return False
-    if len(lines) > 1 and _CODE.match(lines[-1]) and not re.match(r"^(?:if|for|while|let|import|return|end)\b.*[a-z]$", last, re.I):
+    if not lone and not inner and _CODE_END.match(last) and not (re.match(r"[A-Za-z]", last) and word in common):
         return False
-    if last.endswith(">") and _TAG.fullmatch(last[last.rfind("<") :]):
+    if "-" in parse.open and not lone:
+        # an item needs no stop where none of its sentences has one
+        item = text[parse.since[parse.open.index("-")] :]
+        return bool(inner) or text[-1] in ",;([{“«" or re.search(r"[.!?]\s+\S", re.sub(r"^\s*\S+\s+", "", item)) is not None
+    if not end:
         return False
-    end = last.rstrip()
-    quoted = end.rstrip("\"'”’»)]}*_`』」）")
-    if not quoted:
+    if text[-1] == ":" and not lone and len(last) < 30:
         return False
-    if quoted[-1] in _STOPS:
-        return False
-    if quoted[-1] in ":" and len(lines) > 1 and len(last) < 30:
-        return False
-    if len(sentences_of(body)) > 1:
+    if parse.stop or not lone:
         return True
-    words = end.split()
-    if end[-1] in ",;:-–(" or words[-1].lower().strip(",;:") in _DANGLING or open_:
-        return True
-    return len(words) > 8 or not _NOUN_PHRASE.fullmatch(end)
+    return dangling or bool(inner) or bool(markup) or len(text.split()) > 8 or re.search(r"[,;:](?! no\b)", text) is not None
 
 
 # --- languages ---------------------------------------------------------------------
 
-#: Function words that are frequent in one of the languages and none of the others.
-FUNCTION_WORDS = {
-    "en": "the and of to is that it for with as are was be this have from or not but by which when if on an they will can what how why does should there their at during before after whether who these those your you we our its has been would could than then every each under whatever whenever neither nor start do rely unless",
-    "de": "der die das und ist nicht ein eine zu den mit von für auf dem im sich auch wird sind oder wenn dass bei nach wie warum sollte werden einer durch aus wer zur zum keine muss nur kann sein ohne jeden denn sofern viele gilt wurde über unter gegen regelmäßig was geschieht",
-    "fr": "le les des une est et pour que qui dans pas sur avec plus sont ce cette au aux du il elle nous vous par ou comment pourquoi chaque faut chez sans mais leur être ont où se passe quand afin car après avant beaucoup équipes oublient équipe pendant reste",
-    "es": "el los las una es y por con para del al se no su sus más como cuando qué cómo por qué este esta pero sin sobre entre hay está son muchos equipos olvidan debe cada mes según donde después antes lo fue ser desde hasta si en",
-}
-_SETS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
-_KANA = re.compile(r"[぀-ヿ]")
-_HAN = re.compile(r"[一-鿿]")
-_SCRIPTS = {"ru": re.compile(r"[Ѐ-ӿ]"), "ar": re.compile(r"[؀-ۿ]"), "ko": re.compile(r"[가-힯]"), "el": re.compile(r"[Ͱ-Ͽ]"), "hi": re.compile(r"[ऀ-ॿ]"), "he": re.compile(r"[֐-׿]"), "th": re.compile(r"[฀-๿]")}
-_MARKS = {"de": re.compile(r"[äöß]", re.I), "fr": re.compile(r"[èêçàùîô]|\b[ldnqs]'(?=\w)", re.I), "es": re.compile(r"[ñ¿¡]|[óáí]n?\b", re.I)}
-
-
-def language_of(text: str) -> str | None:
-    """The language of a text, or None where it does not show."""
-    letters = sum(c.isalpha() for c in text)
-    if not letters:
-        return None
-    han, kana = len(_HAN.findall(text)), len(_KANA.findall(text))
-    if han + kana > 0.3 * letters:
-        return "ja" if kana else "zh"
-    for lang, rx in _SCRIPTS.items():
-        if len(rx.findall(text)) > 0.5 * letters:
-            return lang
-    words = [w.lower() for w in _WORD.findall(text.replace("’", "'"))]
-    score = {lang: sum(w in s for w in words) + (0.5 * len(_MARKS[lang].findall(text)) if lang in _MARKS else 0) for lang, s in _SETS.items()}
-    best = max(score, key=score.get)
-    second = max(v for k, v in score.items() if k != best)
-    return best if score[best] >= 2 and score[best] > second else None
-
-
-def in_other_language(body: str, query: str) -> bool:
-    """Whether most of what the answer says, its opening aside, is in another language than the question."""
-    asked = language_of(query)
-    if asked is None:
-        return False
-    own = other = 0
-    for s in sentences_of(body):
-        lang = language_of(s)
-        if lang is not None and not (_FILLER.match(s) and len(s) < 60):
-            if lang == asked:
-                own += len(s)
-            else:
-                other += len(s)
-    return other > own
-
-
-def defect_of(answer: str | None, query: str | None) -> str | None:
-    """The defect of an answer, or None; a null answer is empty; without a question only the answer is judged."""
-    body = body_of(answer or "")
-    if is_empty(body):
-        return "empty"
-    if is_refusal(body):
-        return "refusal"
-    if query and copies_question(body, query):
-        return "copies_question"
-    if is_truncated(body):
-        return "truncated"
-    if query and in_other_language(body, query):
-        return "other_language"
-    return None
-
-
-def defective_pairs(answers: DataFrame, queries: DataFrame, id_col: str = "result_id", answer_col: str = "answer_text", key_col: str = "query_id", query_col: str = "query_text") -> DataFrame:
+
+def in_other_language(bodies: list[str], queries: list[str], languages: Languages) -> list[bool]:
+    """Of each answer, whether most of what it says, its opening aside, is in another language than the question."""
+    asked = languages.of(queries)
+    said: list[str] = []
+    owner: list[int] = []
+    for i, body in enumerate(bodies):
+        if asked[i] is not None:
+            for s in sentences_of(body):
+                if not (len(s) < 60 and _FILLER.match(s)):
+                    said.append(s)
+                    owner.append(i)
+    balance = [0] * len(bodies)
+    for s, i, lang in zip(said, owner, languages.of(said)):
+        if lang is not None:
+            balance[i] += -len(s) if lang == asked[i] else len(s)
+    return [b > 0 for b in balance]
+
+
+def defects_of(answers: list[str | None], queries: list[str | None], citations: list[list[str | None] | None], languages: Languages, common: frozenset[str]) -> list[str | None]:
+    """The defect of each answer, or None; a null answer is empty; without a question only the answer is judged."""
+    out: list[str | None] = []
+    left: list[int] = []
+    bodies: list[str] = []
+    for i, (answer, query, cited) in enumerate(zip(answers, queries, citations)):
+        body = body_of(answer or "", frozenset(c for c in cited if c) if cited else frozenset())
+        if is_empty(body):
+            out.append("empty")
+        elif is_refusal(body):
+            out.append("refusal")
+        elif query and copies_question(body, query):
+            out.append("copies_question")
+        elif is_truncated(body, common):
+            out.append("truncated")
+        else:
+            out.append(None)
+            if query:
+                left.append(i)
+                bodies.append(body)
+    for i, other in zip(left, in_other_language(bodies, [queries[i] or "" for i in left], languages)):
+        if other:
+            out[i] = "other_language"
+    return out
+
+
+def defective_pairs(answers: DataFrame, queries: DataFrame, common_words: DataFrame, id_col: str = "result_id", answer_col: str = "answer_text", citations_col: str | None = "citations", key_col: str = "query_id", query_col: str = "query_text", lang_col: str = "lang", word_col: str = "word") -> DataFrame:
     """id_col, defect of each defective answer.
 
     Null and blank answers are empty; a null or unknown key leaves the answer to be
     judged without a question; a key that occurs again keeps its smallest question.
-    Rows that occur twice come out twice.
+    Languages are those of common_words, their profiles learned from all
+    questions. Rows that occur twice come out twice.
     """
+    words = [(r[0], r[1]) for r in common_words.select(lang_col, word_col).filter(F.col(lang_col).isNotNull() & F.col(word_col).isNotNull()).distinct().limit(MAX_WORDS + 1).collect()]
+    if len(words) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} common words")
+    held = answers.sparkSession.sparkContext.broadcast((learn(queries, query_col, words), frozenset(w.lower() for _, w in words)))
 
     @F.arrow_udf("string")
-    def defect(answer: pa.Array, query: pa.Array) -> pa.Array:
-        return pa.array([defect_of(a, q) for a, q in zip(answer.to_pylist(), query.to_pylist())], pa.string())
+    def defect(answer: pa.Array, query: pa.Array, cited: pa.Array) -> pa.Array:
+        out: list[str | None] = []
+        for at in range(0, len(answer), 512):
+            out.extend(defects_of(*(x.slice(at, 512).to_pylist() for x in (answer, query, cited)), *held.value))
+        return pa.array(out, pa.string())
 
     asked = queries.select(F.col(key_col).alias("_key"), F.col(query_col).alias("_query")).filter("_key is not null and _query is not null").groupBy("_key").agg(F.min("_query").alias("_query"))
-    rows = answers.select(F.col(id_col).alias("_id"), F.col(key_col).alias("_key"), F.col(answer_col).alias("_answer"))
-    judged = rows.join(broadcast_if_small(asked, BROADCAST_ROWS), "_key", "left").select("_id", defect("_answer", "_query").alias("defect"))
+    cited = F.col(citations_col).cast("array<string>") if citations_col else F.lit(None).cast("array<string>")
+    rows = answers.select(F.col(id_col).alias("_id"), F.col(key_col).alias("_key"), F.col(answer_col).alias("_answer"), cited.alias("_cited"))
+    # answers without a key need no partner, so they are not brought together
+    known, alone = rows.filter("_key is not null"), rows.filter("_key is null").withColumn("_query", F.lit(None).cast("string"))
+    joined = known.join(broadcast_if_small(asked, BROADCAST_ROWS), "_key", "left").select(*rows.columns, "_query").unionByName(alone)
+    judged = joined.select("_id", defect("_answer", "_query", "_cited").alias("defect"))
     return judged.filter("defect is not null").select(F.col("_id").alias(id_col), "defect")

@@ -47,7 +47,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics and form of every document."""
-    return quality.describe(table(spark, folder, "documents"), common_words=table(spark, folder, "common_words"))
+    return quality.describe(table(spark, folder, "documents"), table(spark, folder, "common_words"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +107,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """result_id, defect of each answer that is no proper answer."""
-    return pairs.defective_pairs(table(spark, folder, "generation_results_smoke_v1"), table(spark, folder, "evaluation_queries_blueprint"))
+    return pairs.defective_pairs(*(table(spark, folder, t) for t in ("generation_results_smoke_v1", "evaluation_queries_blueprint", "common_words")))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,7 +127,7 @@ def p9_near(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, subject of each subject that a document is about."""
-    return subjects.document_subjects(*(table(spark, folder, t) for t in ("documents", "doc_labels", "subject_areas")))
+    return subjects.document_subjects(*(table(spark, folder, t) for t in ("documents", "doc_labels", "subject_areas", "common_words")))
 
 
 def p10_composition(spark: SparkSession, folder: str) -> DataFrame:

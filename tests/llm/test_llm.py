@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pytest
-from docloom.llm import leaks, neardup, pairs, quality, rankfuse, repeated, split, subjects, tokenize, vectors
+from docloom.llm import languages, leaks, neardup, pairs, quality, rankfuse, repeated, split, subjects, tokenize, vectors
 from docloom.llm._plan import broadcast_if_small
 
 WORD = re.compile("[a-z0-9]+")
@@ -150,6 +150,20 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys((100, 101, 102), 100)}
 
 
+COMMON = {
+    "en": "the of and a to in is that it for on with as this are be by not or from at an if when which each only after before but can has have no one other they was will",
+    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei nur wie ohne muss",
+    "fr": "le la les de des et en un une du que est pour dans qui par sur pas au ne se plus avec son ce il sont ou si sans comment chaque",
+    "es": "el la los las de y en un una que es para por con no se su al lo como más o pero sus le ha si sin muy cada cuando",
+}
+COMMON_WORDS = frozenset(w for words in COMMON.values() for w in words.split())
+
+
+def common_words(spark):
+    rows = [(lang, w) for lang, words in COMMON.items() for w in words.split()]
+    return spark.createDataFrame([*rows, rows[0], (None, "x"), ("en", None)], "lang string, word string")
+
+
 # --- form ----------------------------------------------------------------------------
 
 PROSE = "When a node fails, the controller moves its work to another one. This takes a while, and the users may notice it. Nothing has to be done by hand."
@@ -162,29 +176,43 @@ FORMS = [
     ("\n".join("aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQgdGV4dA0KYW5kIG1vcmUgb2YgaXQ" for _ in range(4)), "junk"),
     ("\n".join(f".box{i}{{margin:0 {i}px;border:none}}" for i in range(8)), "junk"), ("=====#####=====*****=====\n" * 6, "junk"),
     ("buy cheap kettle best copper free online guide top spoon " * 8, "junk"), ("short", "prose"), ("", "prose"),
+    # boilerplate: the same lines, paragraphs or sentence again and again
+    ("\n".join(["Please read the notice before you go on.", "All rights in the text are with the site.", "Accept the terms to see the page."] * 20), "junk"),
+    ("\n\n".join([PROSE.replace(". ", ".\n")] * 9), "junk"), ("The cat sat on the mat and looked at the moon. " * 40, "junk"), (PROSE + "\n" + PROSE, "prose"),
 ]
 
 
 def test_forms_and_statistics(spark):
-    df = texts(spark, *(t for t, _ in FORMS), None, PROSE * 400)
-    rows = {r["doc_id"]: r for r in quality.describe(df, common_words=spark.createDataFrame([("en", "a"), ("en", "the"), ("zh", "的"), (None, None)], "lang string, word string")).collect()}
+    long = "\n".join(f"{PROSE} It was number {i} of them." for i in range(400))
+    df = texts(spark, *(t for t, _ in FORMS), None, long, "Für Über für")
+    rows = {r["doc_id"]: r for r in quality.describe(df, common_words(spark)).collect()}
     for i, (text, form) in enumerate(FORMS):
         assert rows[i]["form"] == form, (text[:60], rows[i]["form"])
         words = WORD.findall(text.lower())
         assert rows[i]["words"] == len(words)
         if words:
             assert rows[i]["mean_word_length"] == pytest.approx(sum(map(len, words)) / len(words))
-            assert rows[i]["common_word_share"] == pytest.approx(sum(w in ("a", "the") for w in words) / len(words))
+            assert rows[i]["common_word_share"] == pytest.approx(sum(w in COMMON_WORDS for w in words) / len(words))
     assert rows[len(FORMS)]["form"] is None and rows[len(FORMS)]["words"] is None
+    assert rows[len(FORMS) + 1]["words"] == len(WORD.findall(long.lower())) and rows[len(FORMS) + 2]["common_word_share"] == pytest.approx(2 / 3)
     assert rows[12]["repeated_line_share"] == pytest.approx(5 / 6)
-    assert quality.describe(df.limit(0)).count() == 0
+    assert quality.describe(df.limit(0), common_words(spark)).count() == 0
+    # without common words nothing is known of them, and more than the bound are an error, not a part of them
+    none = quality.describe(df, common_words(spark).limit(0)).collect()
+    assert len(none) == len(FORMS) + 3 and not any(r["common_word_share"] for r in none)
+    bound, quality.MAX_COMMON = quality.MAX_COMMON, 10
+    try:
+        with pytest.raises(ValueError):
+            quality.describe(df, common_words(spark))
+    finally:
+        quality.MAX_COMMON = bound
 
 
 def test_dominant_ngram():
     rng = random.Random(1)
     words = [rng.choice(["ab", "cd"]) for _ in range(60)]
     want = max(sum(map(len, g)) * n / 120 for k in (2, 3, 4) for g, n in __import__("collections").Counter(zip(*(words[i:] for i in range(k)))).items() if n > 1)
-    assert quality._dominant(quality.hash_words([" ".join(words), "one two three"]))[0] == pytest.approx(min(want, 1.0))
+    assert quality._repetition(quality.hash_words([" ".join(words), "one two three"]))[0, 0] == pytest.approx(min(want, 1.0))
 
 
 # --- repeated lines ----------------------------------------------------------------------
@@ -295,19 +323,68 @@ PAIRS = [
 
 
 def test_defects(spark):
-    for query, answer, defect in PAIRS:
-        assert pairs.defect_of(answer, query) == defect, answer
     answers = spark.createDataFrame([(i, f"q{i}" if q else None, a, "x") for i, (q, a, _) in enumerate(PAIRS)], "result_id long, query_id string, answer_text string, _query string")
     queries = spark.createDataFrame([(f"q{i}", q) for i, (q, _, _) in enumerate(PAIRS)] + [("q1", ASK), (None, ASK)], "query_id string, query_text string")
-    got = {tuple(r) for r in pairs.defective_pairs(answers, queries).collect()}
+    got = {tuple(r) for r in pairs.defective_pairs(answers, queries, common_words(spark), citations_col=None).collect()}
     assert got == {(i, d) for i, (_, _, d) in enumerate(PAIRS) if d}
-    assert pairs.defective_pairs(answers.limit(0), queries).count() == 0
+    assert pairs.defective_pairs(answers.limit(0), queries, common_words(spark), citations_col=None).count() == pairs.defective_pairs(answers.limit(0), queries.limit(0), common_words(spark).limit(0), citations_col=None).count() == 0
 
 
 def test_string_tiling():
     assert pairs.tiles("a b c x d e".split(), "d e a b c".split()) == 5
     assert pairs.tiles("a b a b".split(), "a b".split()) == 2
-    assert pairs.open_at_end('say (x "y" `(` and') == ["("]
+
+
+def test_parser_tells_what_is_open():
+    parsed = lambda t: pairs.Parse(t).open
+    assert parsed('say (x "y" `(` and') == ["("] and parsed("a ) b ] c") == []
+    assert parsed("see\n```yaml\na: (1") == ["```"] and parsed("```\n( [\n```\nend") == []
+    assert parsed("<b>bold <i>and</i> so") == ["<b>"] and parsed("one<br>two <hr/> three") == []
+    assert parsed("steps:\n- first\n- second (of") == ["-", "("] and parsed("- first\n\nthen") == [] and parsed("- first\n  goes on") == ["-"]
+
+
+@pytest.mark.parametrize(
+    "text, cut",
+    [
+        ("Use the flag.", False), ("Use the flag and when", True), ("It is set in the file (see the", True), ('He said "it is fine', True), ('He said "it is fine."', False),
+        ("Do this:\n```yaml\nkind: Pod\nname: a\n```", False), ("Do this:\n```yaml\nkind: Pod\nname: a", False), ("Do this:\n```yaml\nkind: Pod\nitems: [a,", True), ("Do this:\n```sh\nrun --all \\", True), ("Do this:\n```", True),
+        ("Steps:\n- one thing\n- another thing", False), ("Steps:\n- one thing\n- another thing (with the", True), ("Steps:\n- one thing,\n- another,", True), ("Steps:\n1. One is done. Then the other", True),
+        ("It has two kinds (e.g.", True), ("It has two kinds, etc.", False), ("<p>It is done.</p>", False), ("<b>It is", True), ("Done. It was <b>bold</b>", False), ("| a | b |\n| 1 | 2 |", False),
+        ("It works. The rest of it", True), ("Three nodes", False), ("", False),
+    ],
+)
+def test_truncation(text, cut):
+    assert pairs.is_truncated(text, COMMON_WORDS) == cut
+
+
+def test_long_defects_and_citations():
+    one = "I am sorry, but I cannot answer this question."
+    assert pairs.is_refusal(" ".join([one] * 60)) and not pairs.is_refusal(" ".join([one] * 60) + " The answer lies in the third pod, which runs as root.")
+    for refusal in ("This service is not able to judge that.", "There is not enough evidence to say so.", "Ich kann diese Frage nicht beantworten.", "Je ne peux pas répondre.", "No puedo responder a eso."):
+        assert pairs.is_refusal(refusal), refusal
+    assert not pairs.is_refusal("You cannot answer such requests without a token. Set one first.")
+    ask = "Which of the nodes has the longest lease?"
+    for times in (1, 3, 12, 200):
+        assert pairs.copies_question(" ".join([ask] * times), ask) and pairs.copies_question("\n".join([ask] * times), ask)
+    assert not pairs.copies_question(ask + " It is the one in the north, which was set up last and never restarted.", ask)
+    assert pairs.copies_question("名前空間を確認する必要がありますか", "名前空間を確認する必要がありますか?") and not pairs.copies_question("設定を変更しました", "名前空間を確認する必要がありますか?")
+    assert pairs.body_of("Done. [a b, 7]", frozenset(["a b"])) == "Done." and pairs.body_of("Done. [not an id]") == "Done. [not an id]" and pairs.body_of("Done.\n\n[x__1, x_") == "Done."
+
+
+def test_languages_are_learned(spark):
+    rng = random.Random(3)
+    nouns = {"en": "cat house river", "de": "Katze Haus Fluss", "fr": "chat maison rivière", "es": "gato casa río"}
+
+    def say(lang, n=12):
+        return " ".join(rng.choice(COMMON[lang].split()) if rng.random() < 0.6 else rng.choice(nouns[lang].split()) for _ in range(n))
+
+    rows = [(say(lang),) for lang in nouns for _ in range(60)] + [(None,), ("",)]
+    known = languages.learn(spark.createDataFrame(rows, "q string"), "q", [(r[0], r[1]) for r in common_words(spark).collect()])
+    asked = [(lang, say(lang, 14)) for lang in nouns for _ in range(50)]
+    got = known.of([t for _, t in asked])
+    assert sum(g == lang for g, (lang, _) in zip(got, asked)) >= 0.95 * len(asked) and sum(g not in (lang, None) for g, (lang, _) in zip(got, asked)) <= 4
+    assert known.of(["", "cat", "名前空間を確認する", "проверка настроек сервера"]) == [None, None, "ja", "ru"]
+    assert languages.learn(spark.createDataFrame([], "q string"), "q", []).of(["the cat", ""]) == [None, None]
 
 
 # --- tokenizer -------------------------------------------------------------------------------
@@ -454,12 +531,16 @@ def test_beginnings_within_edits_against_the_plain_distance():
 
 def test_subjects_on_held_out_documents(spark):
     rng = random.Random(10)
-    nouns = {"tea": ["green leaf", "hot kettle", "china cup", "steep time"], "sea": ["salt wave", "old harbour", "north wind", "deep water"], None: ["brown horse", "stone wall", "late train"]}
+    nouns = {
+        "tea": ["green leaf", "hot kettle", "china cup", "steep time", "milk jug", "black blend", "loose strainer"], "sea": ["salt wave", "old harbour", "north wind", "deep water", "fishing net", "low tide", "wooden mast"],
+        None: ["brown horse", "stone wall", "late train", "long road", "green hill", "paper bag", "iron gate"],
+    }
+    verbs = ["are often seen together", "belong in one story", "were described last year", "can not be told apart", "need some care", "came up in the talk"]
 
     def text(share):
         kinds = [k for k, n in share for _ in range(n)]
         rng.shuffle(kinds)
-        return " ".join(f"We found that the {rng.choice(nouns[k])} and the {rng.choice(nouns[k])} are often seen together." for k in kinds)
+        return " ".join(f"We found that the {rng.choice(nouns[k])} and the {rng.choice(nouns[k])} {rng.choice(verbs)}." for k in kinds)
 
     shares = [[("tea", 8)], [("sea", 8)], [("tea", 5), ("sea", 5)], [(None, 8)], [("tea", 1), (None, 9)]]
     wanted = [{"tea"}, {"sea"}, {"tea", "sea"}, set(), set()]
@@ -470,13 +551,21 @@ def test_subjects_on_held_out_documents(spark):
     df = documents(spark, *((i, t, None, "s", "k") for i, t in [*rows, *extra]))
     areas = spark.createDataFrame([("tea", "green leaf and kettle"), ("sea", "salt wave and harbour")], "subject string, description string")
     found = {}
-    for r in subjects.document_subjects(df, spark.createDataFrame(labels, "doc_id long, subject string"), areas).collect():
+    for r in subjects.document_subjects(df, spark.createDataFrame(labels, "doc_id long, subject string"), areas, common_words(spark)).collect():
         found.setdefault(r["doc_id"], set()).add(r["subject"])
     held_out = [found.get(i, set()) == wanted[i % 5] for i in range(100, 200)]
     assert sum(held_out) >= 97
     assert not set(found) & {900, 901, 902, 903}
     empty = spark.createDataFrame([], "doc_id long, subject string")
-    assert subjects.document_subjects(df, empty, areas).count() == 0
+    assert subjects.document_subjects(df, empty, areas, common_words(spark)).count() == 0
+    # the factorisation decides: without its updates next to nothing is found
+    start = subjects.document_subjects(df, spark.createDataFrame(labels, "doc_id long, subject string"), areas, common_words(spark), config=subjects.SubjectConfig(rounds=0))
+    found = {}
+    for r in start.collect():
+        found.setdefault(r["doc_id"], set()).add(r["subject"])
+    assert sum(found.get(i, set()) == wanted[i % 5] for i in range(100, 200)) < 80
+    with pytest.raises(ValueError):
+        subjects.document_subjects(df, empty, areas, common_words(spark), config=subjects.SubjectConfig(max_subjects=1))
 
 
 def test_broadcast_only_below_the_bound(spark):
