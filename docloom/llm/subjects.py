@@ -27,6 +27,9 @@ from ._texts import U64, Words, chunks, hash_windows, hash_words
 from .quality import forms_of, words_of
 
 
+CHUNK = 1 << 17  # characters that are judged at once, so that their counts stay in the cache
+
+
 @dataclass(frozen=True)
 class SubjectConfig:
     """least_share: of a text's units that a subject needs.
@@ -41,6 +44,8 @@ class SubjectConfig:
     learn; rounds: of updates; support: documents of the sample that a term must
     occur in. solving: rounds of updates for a document of the corpus; prior: weight
     spread over all subjects then; owed: terms' worth of a subject that a unit needs.
+    prose_words and different_words: shares of a text's words from which it is surely
+    no junk, so that its form need not be told.
     """
 
     least_share: float = 0.25
@@ -58,6 +63,8 @@ class SubjectConfig:
     solving: int = 2
     prior: float = 0.1
     owed: float = 1.2
+    prose_words: float = 0.2
+    different_words: float = 0.3
 
 
 _STOP = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
@@ -139,7 +146,7 @@ def factor(row: np.ndarray, col: np.ndarray, allowed: np.ndarray, seed: np.ndarr
 
 @dataclass
 class SubjectModel:
-    """Hashes of the terms, sorted, and H: a row of components for each, the subjects first."""
+    """Hashes of the terms, sorted, and H: a row for each component, the subjects first."""
 
     subjects: list[str]
     terms: np.ndarray
@@ -150,6 +157,7 @@ class SubjectModel:
     def __post_init__(self):
         self._maybe = np.zeros(1 << 18, dtype=bool)
         self._maybe[self.terms >> U64(46)] = True
+        self._common = np.unique(hash_words([w for w in self.common if w.isascii() and w.isalnum()]).hashes)
 
     def mixture(self, texts: list[str | None]) -> list[list[str]]:
         """The subjects of each text, those with the largest share first."""
@@ -164,32 +172,69 @@ class SubjectModel:
         if not units or not len(self.terms):
             return out
         of, n, k = np.array(owner), len(texts), len(self.subjects)
-        owed = self.owed(hash_words(units), of, n)
+        words = hash_words(units)
+        owed = self.owed(words, of, n)
         best = owed.argmax(axis=1)
         sure = owed[np.arange(len(best)), best] >= self.config.owed
         share = np.bincount(of[sure] * k + best[sure], minlength=n * k).reshape(n, k) / np.maximum(np.bincount(of, minlength=n), 1)[:, None]
         likely = np.flatnonzero((share >= self.config.least_share).any(axis=1))
-        for i, form in zip(likely.tolist(), forms_of([texts[i] for i in likely], self.common)):
-            if form != "junk":
+        doubtful = likely[~self.surely_prose(words, of, texts)[likely]]
+        junk = {i for i, form in zip(doubtful.tolist(), forms_of([texts[i] for i in doubtful], self.common)) if form == "junk"}
+        for i in likely.tolist():
+            if i not in junk:
                 out[i] = [self.subjects[j] for j in np.argsort(-share[i], kind="stable") if share[i, j] >= self.config.least_share]
         return out
 
+    def surely_prose(self, words: Words, of: np.ndarray, texts: list[str | None]) -> np.ndarray:
+        """Texts that cannot be junk: in ASCII, full of common words and of different words.
+
+        Junk by its lines has hardly a common word in more than half of its
+        characters, junk by repetition few different words, and damage shows in
+        signs beyond ASCII.
+        """
+        n = len(texts)
+        text = of[words.document_of()]
+        count = np.maximum(np.bincount(text, minlength=n), 1)
+        common = np.bincount(text, weights=np.isin(words.hashes, self._common), minlength=n) / count
+        # the text in the upper bits: equal neighbours after sorting are one text's word
+        key = np.sort((text.astype(np.uint64) << U64(44)) | (words.hashes >> U64(20)))
+        new = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        different = np.bincount((new >> U64(44)).astype(np.int64), minlength=n) / count
+        ascii_ = np.array([t is not None and t.isascii() for t in texts], dtype=bool)
+        return ascii_ & (common >= self.config.prose_words) & (different >= self.config.different_words)
+
     def owed(self, words: Words, of: np.ndarray, n: int) -> np.ndarray:
         """What each unit owes to each subject, in terms, under the W of its text, one of n; of: the text of each unit."""
         term, unit = _terms(words)
         maybe = np.flatnonzero(self._maybe[term >> U64(46)])
         term, unit = term[maybe], unit[maybe]
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
-        hit = self.terms[at] == term
-        unit, h = unit[hit], self.h[at[hit]]
-        row, mine = of[unit], len(self.subjects)
-        own = 1 - self.config.background
-        w = _weights(np.ones((n, h.shape[1])), mine, own).astype(np.float32)
+        hit = np.flatnonzero(self.terms[at] == term)
+        hit = hit[np.argsort(unit[hit], kind="stable")]
+        unit, h = unit[hit], self.h[:, at[hit]]
+        mine, out = len(self.subjects), np.zeros((len(words.offsets) - 1, len(self.subjects)), dtype=np.float32)
+        if not len(unit):
+            return out
+        # counts lie in order of their units, and so of their texts: sums are over runs
+        text = of[unit]
+        runs = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        sizes = np.diff(np.append(runs, len(text)))
+        own = np.float32(1 - self.config.background)
+
+        def shared(w: np.ndarray) -> np.ndarray:
+            part = np.repeat(w.T, sizes, axis=1)
+            part *= h
+            part /= np.maximum(part.sum(axis=0), np.float32(1e-30))
+            return part
+
+        w = _weights(np.ones((len(runs), len(h)), dtype=np.float32), mine, own).astype(np.float32)
         for _ in range(self.config.solving):
-            w = _sums(_owed(w, h, row), row, n)
+            w = np.add.reduceat(shared(w), runs, axis=1).T
             w[:, :mine] += self.config.prior / mine
             w = _weights(w, mine, own).astype(np.float32)
-        return _sums(_owed(w, h, row)[:, :mine], unit, len(words.offsets) - 1)
+        units = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        out[unit[units]] = np.add.reduceat(shared(w)[:mine], units, axis=1).T
+        return out
 
 
 def fit(subjects: list[tuple[str, str]], labelled: list[tuple[str, list[str]]], common: frozenset[str], config: SubjectConfig = SubjectConfig()) -> SubjectModel:
@@ -220,7 +265,7 @@ def fit(subjects: list[tuple[str, str]], labelled: list[tuple[str, list[str]]],
     row, col = once // max(len(vocabulary), 1), once % max(len(vocabulary), 1)
     keep = np.bincount(col, minlength=len(vocabulary)) >= config.support
     if not keep.any():
-        return SubjectModel(names, np.zeros(0, dtype=np.uint64), np.zeros((0, mine + 1 + config.other), dtype=np.float32), config, common)
+        return SubjectModel(names, np.zeros(0, dtype=np.uint64), np.zeros((mine + 1 + config.other, 0), dtype=np.float32), config, common)
     mask = keep[col]
     row, col, vocabulary = row[mask], (np.cumsum(keep) - 1)[col[mask]], vocabulary[keep]
     count = np.bincount(col, minlength=len(vocabulary)).astype(float)
@@ -229,7 +274,7 @@ def fit(subjects: list[tuple[str, str]], labelled: list[tuple[str, list[str]]],
     for d, (s, _) in enumerate(subjects, len(labelled)):
         seed[index[s], col[row == d]] *= 1 + config.seeded
     _, h = factor(row, col, allowed, seed, config)
-    return SubjectModel(names, vocabulary, np.ascontiguousarray(h.T.astype(np.float32)), config, common)
+    return SubjectModel(names, vocabulary, np.ascontiguousarray(h.astype(np.float32)), config, common)
 
 
 def document_subjects(df: DataFrame, labels: DataFrame, subjects: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "subject", about_col: str = "description", config: SubjectConfig = SubjectConfig()) -> DataFrame:
@@ -256,7 +301,7 @@ def document_subjects(df: DataFrame, labels: DataFrame, subjects: DataFrame, com
         out: list[list[str]] = []
         for begin in range(0, len(values), 1024):
             part = values.slice(begin, 1024).to_pylist()
-            for a, b in chunks(part, 1 << 19):
+            for a, b in chunks(part, CHUNK):
                 out.extend(held.value.mixture(part[a:b]))
         return pa.array(out, pa.list_(pa.string()))
 
