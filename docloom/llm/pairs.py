@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import broadcast_if_small
+from ._plan import SALTS, small_enough
 from .languages import Languages, learn
 
 DEFECTS = ("empty", "refusal", "copies_question", "truncated", "other_language")
@@ -178,12 +178,16 @@ def tiles(a: list[str], b: list[str], least: int = 2) -> int:
                 covered += best
 
 
+_LABEL = re.compile(r"\b(?:answer|antwort|réponse|respuesta)\s*:", re.I)
+_PARTS = re.compile(rf"\n+|{_LABEL.pattern}", re.I)
 _NO_SPACES = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
 
 
 def _words(text: str) -> list[str]:
     """The words of a text; of scripts without spaces, the characters."""
-    said = [w.lower() for w in _WORD.findall(text)]
+    said = _WORD.findall(text.lower())
+    if not _NO_SPACES.search(text):
+        return said
     return [c for w in said for c in (w if _NO_SPACES.search(w) else (w,))]
 
 
@@ -192,8 +196,11 @@ def copies_question(body: str, query: str) -> bool:
     asked = _words(query)
     if len(asked) < 3:
         return False
+    text = _TAG.sub(" ", body)
+    if not _LABEL.search(text[: 3 * len(query) + 80]) and 2 * len({*_words(text[: 3 * len(query) + 80])} & {*asked}) < len({*asked}):
+        return False  # it does not begin with the question, however long it is
     left = []
-    for part in re.split(r"\n+|\b(?:answer|antwort|réponse|respuesta)\s*:", _TAG.sub(" ", body), flags=re.I):
+    for part in _PARTS.split(text):
         part = _BACK.sub("", _BACK.sub("", part))
         said = _words(part)
         if said:
@@ -403,6 +410,20 @@ def defects_of(answers: list[str | None], queries: list[str | None], citations:
     return out
 
 
+def with_questions(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """rows with the _query of their _key, null without one.
+
+    Beyond a broadcast, rows without a key stay where they are and every key is
+    split, so that a frequent question does not gather its answers in one task.
+    """
+    if small_enough(asked, BROADCAST_ROWS):
+        return rows.join(F.broadcast(asked), "_key", "left")
+    known, alone = rows.filter("_key is not null"), rows.filter("_key is null").withColumn("_query", F.lit(None).cast("string"))
+    salted = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = known.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"], "left")
+    return met.select(*rows.columns, "_query").unionByName(alone)
+
+
 def defective_pairs(answers: DataFrame, queries: DataFrame, common_words: DataFrame, id_col: str = "result_id", answer_col: str = "answer_text", citations_col: str | None = "citations", key_col: str = "query_id", query_col: str = "query_text", lang_col: str = "lang", word_col: str = "word") -> DataFrame:
     """id_col, defect of each defective answer.
 
@@ -426,8 +447,6 @@ def defective_pairs(answers: DataFrame, queries: DataFrame, common_words: DataFr
     asked = queries.select(F.col(key_col).alias("_key"), F.col(query_col).alias("_query")).filter("_key is not null and _query is not null").groupBy("_key").agg(F.min("_query").alias("_query"))
     cited = F.col(citations_col).cast("array<string>") if citations_col else F.lit(None).cast("array<string>")
     rows = answers.select(F.col(id_col).alias("_id"), F.col(key_col).alias("_key"), F.col(answer_col).alias("_answer"), cited.alias("_cited"))
-    # answers without a key need no partner, so they are not brought together
-    known, alone = rows.filter("_key is not null"), rows.filter("_key is null").withColumn("_query", F.lit(None).cast("string"))
-    joined = known.join(broadcast_if_small(asked, BROADCAST_ROWS), "_key", "left").select(*rows.columns, "_query").unionByName(alone)
+    joined = with_questions(rows, asked)
     judged = joined.select("_id", defect("_answer", "_query", "_cited").alias("defect"))
     return judged.filter("defect is not null").select(F.col("_id").alias(id_col), "defect")
