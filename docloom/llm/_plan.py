@@ -56,11 +56,27 @@ def _width(df: DataFrame) -> Column:
     return size
 
 
+def small_enough(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether df, which should be cheap to read (from storage), has at most so many rows and bytes."""
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(_width(df)).alias("bytes")).first()
+    return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Marked for broadcast if it has at most max_rows rows and max_bytes bytes, else left to a shuffle join.
+    """Marked for broadcast if it has at most max_rows rows and max_bytes bytes, else left to a shuffle join."""
+    return F.broadcast(df) if small_enough(df, max_rows, max_bytes) else df
+
 
-    df should be cheap to read (from storage).
+SALTS = 32
+
+
+def join_small(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int, spread: Column) -> DataFrame:
+    """left joined with a right side of distinct keys, by broadcast if that is small enough.
+
+    Else by a shuffle in which every key is split into SALTS by ``spread``, so that
+    a key that a third of the rows have does not come to one task.
     """
-    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(_width(df)).alias("bytes")).first()
-    small = size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
-    return F.broadcast(df) if small else df
+    if small_enough(right, max_rows):
+        return left.join(F.broadcast(right), keys)
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
