@@ -5,7 +5,8 @@ rounds every shingle chooses its bin freely, in the last ones each round fills o
 bin, so every coordinate of the sketch fills; an earlier round always beats a
 later one. Bands of coordinates bring similar documents together, agreement over
 the whole sketch discards chance meetings, and the rest are verified exactly on
-their shingle sets.
+their shingle sets. A band's key that very many documents share is worked through
+in blocks, whose tasks compare sketches and give only pairs that agree.
 
 Documents with the same sequence of words form a class that is represented by
 its smallest id, so groups of copies cost one document.
@@ -27,6 +28,7 @@ from ._texts import U64, chunks, hash_windows, hash_words, mix, sequence_hashes
 
 BROADCAST_ROWS = 1_000_000
 SKETCH_CHUNK = 1 << 19
+SAMPLED = 32
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,10 @@ class DuplicateConfig:
     similarity s meets with probability 1 - (1 - s**rows)**bands; the defaults
     give 0.9999 at 0.8. spread: standard deviations below the threshold at which
     the sketch still lets a pair through to verification.
+
+    hot: documents that share a band's key from which it is compared in blocks of
+    ``block`` documents; which keys are hot is told from one document in SAMPLED,
+    and a key that is missed is only slower.
     """
 
     shingle: int = 5
@@ -45,6 +51,14 @@ class DuplicateConfig:
     rows: int = 5
     bands: int = 24
     spread: float = 4.5
+    hot: int = 2000
+    block: int = 4096
+
+    @property
+    def least(self) -> int:
+        """Bins in which the sketches of a pair must agree, of which half a byte is kept."""
+        agree = self.threshold + (1 - self.threshold) / 16
+        return math.floor((agree - self.spread * math.sqrt(agree * (1 - agree) / self.bins)) * self.bins)
 
     @property
     def bins(self) -> int:
@@ -86,7 +100,7 @@ def _signature_type() -> str:
 
 
 def sketch_documents(df: DataFrame, id_col: str, text_col: str, config: DuplicateConfig) -> DataFrame:
-    """_id, words, fp1, fp2 (128 bits of hash of the word sequence), bands (a key each), sketch (a byte a bin)."""
+    """_id, words, fp1, fp2 (128 bits of hash of the word sequence), bands (a key each), sketch (half a byte a bin)."""
 
     @F.arrow_udf(_signature_type())
     def sketch(texts: pa.Array) -> pa.Array:
@@ -101,13 +115,13 @@ def sketch_documents(df: DataFrame, id_col: str, text_col: str, config: Duplicat
                 for i in range(config.rows):
                     acc = mix(acc * U64(31) + s[:, i :: config.rows])
                 bands = mix(acc + np.arange(1, config.bands + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
-                parts.append((words.counts.astype(np.int32), sequence_hashes(words, 1), sequence_hashes(words, 2), bands, (mix(s) >> U64(56)).astype(np.uint8)))
+                parts.append((words.counts.astype(np.int32), sequence_hashes(words, 1), sequence_hashes(words, 2), bands, _packed((mix(s) >> U64(60)).astype(np.uint8))))
         if not parts:
             return pa.array([], pa.struct([("words", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())]))
         words, fp1, fp2, bands, byte = (np.concatenate(x) for x in zip(*parts))
         n = len(words)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * config.bands, pa.int32()), pa.array(bands.ravel().view(np.int64)))
-        raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * config.bins).astype(np.int32).tobytes()), pa.py_buffer(byte.tobytes())])
+        raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * byte.shape[1]).astype(np.int32).tobytes()), pa.py_buffer(byte.tobytes())])
         return pa.StructArray.from_arrays([pa.array(words), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), lists, raw], ["words", "fp1", "fp2", "bands", "sketch"])
 
     base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_id").isNotNull() & (F.length("_text") > 0))
@@ -115,20 +129,79 @@ def sketch_documents(df: DataFrame, id_col: str, text_col: str, config: Duplicat
     return made.filter(F.col("words") >= max(config.min_words, config.shingle))
 
 
+def _packed(halves: np.ndarray) -> np.ndarray:
+    """Two columns of half bytes in each byte; an odd last one is by itself, the other half 0."""
+    if halves.shape[1] % 2:
+        halves = np.concatenate([halves, np.zeros((len(halves), 1), dtype=np.uint8)], axis=1)
+    return (halves[:, ::2] << 4) | halves[:, 1::2]
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray, bins: int) -> np.ndarray:
+    """In how many bins packed sketches agree, along the last axis."""
+    differ = a ^ b
+    return ((differ & 0xF0) == 0).sum(axis=-1, dtype=np.int32) + ((differ & 0x0F) == 0).sum(axis=-1, dtype=np.int32) - bins % 2
+
+
+def _sketches_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+
+
 def _likely(pairs: DataFrame, config: DuplicateConfig) -> DataFrame:
     """Pairs whose sketches agree about as much as the threshold asks."""
-    slack = config.spread * math.sqrt(config.threshold * (1 - config.threshold) / config.bins)
-    least = math.floor((config.threshold - slack) * config.bins)
+    least, bins = config.least, config.bins
 
     @F.arrow_udf("boolean")
     def agree(x: pa.Array, y: pa.Array) -> pa.Array:
-        a = np.frombuffer(b"".join(x.to_pylist()), dtype=np.uint8).reshape(len(x), -1)
-        b = np.frombuffer(b"".join(y.to_pylist()), dtype=np.uint8).reshape(len(y), -1)
-        return pa.array((a == b).sum(axis=1) >= least)
+        return pa.array(_agreeing(_sketches_of(x), _sketches_of(y), bins) >= least) if len(x) else pa.array([], pa.bool_())
 
     return pairs.filter(agree("_sa", "_sb"))
 
 
+def _likely_pairs(single: DataFrame, config: DuplicateConfig) -> DataFrame:
+    """_a < _b of the documents that share a band's key and whose sketches agree; single: _id, bands, sketch."""
+    keyed = single.select("_id", F.explode("bands").alias("_key"))
+    sample = keyed.filter(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(SAMPLED)) == 0).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut(sample.filter(F.col("_n") * SAMPLED >= config.hot).select("_key"))
+    crowded = not hot.isEmpty()
+    if crowded:
+        hot = broadcast_if_small(hot, BROADCAST_ROWS)
+        keyed = keyed.join(hot, "_key", "left_anti")
+    left, right = keyed.select("_key", F.col("_id").alias("_a")), keyed.select("_key", F.col("_id").alias("_b"))
+    met = left.join(right, "_key").filter("_a < _b").select("_a", "_b").distinct()
+    sketch = single.select("_id", "sketch")
+    both = met.join(sketch.select(F.col("_id").alias("_a"), F.col("sketch").alias("_sa")), "_a").join(sketch.select(F.col("_id").alias("_b"), F.col("sketch").alias("_sb")), "_b")
+    likely = _likely(both, config).select("_a", "_b")
+    return likely.unionByName(_likely_in_blocks(single, hot, config)).distinct() if crowded else likely
+
+
+def _likely_in_blocks(single: DataFrame, hot: DataFrame, config: DuplicateConfig) -> DataFrame:
+    """The same of the keys in hot: their documents in blocks, every two of which are a task that gives only pairs that agree."""
+    members = single.select("_id", "sketch", F.explode("bands").alias("_key")).join(hot, "_key")
+    blocks = members.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / config.block).cast("int").alias("_blocks"))
+    placed = members.join(broadcast_if_small(cut(blocks), BROADCAST_ROWS), "_key").withColumn("_own", F.pmod(F.xxhash64("_id", F.lit(5)), F.col("_blocks")).cast("int"))
+    cells = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cells = cells.select("_key", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"), "_own", "_id", "sketch")
+    least, bins = config.least, config.bins
+
+    def compare(cell: pa.Table) -> pa.Table:
+        ids, own = cell.column("_id").combine_chunks(), cell.column("_own").to_numpy()
+        sketch = _sketches_of(cell.column("sketch"))
+        low, high = cell.column("_low")[0].as_py(), cell.column("_high")[0].as_py()
+        x, y = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for begin in range(0, len(x), 64):
+            rows = x[begin : begin + 64]
+            i, j = np.nonzero(_agreeing(sketch[rows][:, None], sketch[y][None], bins) >= least)
+            a.append(rows[i])
+            b.append(y[j])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.Table.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["_a", "_b"])
+
+    kind = dict(single.dtypes)["_id"]
+    found = cells.groupBy("_key", "_low", "_high").applyInArrow(compare, f"_a {kind}, _b {kind}")
+    return found.filter("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
+
+
 def _shingle_sets(df: DataFrame, config: DuplicateConfig) -> DataFrame:
     """_id, _set (distinct shingle hashes) of each row of _id, _text."""
 
@@ -163,12 +236,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, config: DuplicateConfig)
     copies = broadcast_if_small(members.filter("_id <> _rep").select("_id"), BROADCAST_ROWS)
     single = made.join(copies, "_id", "left_anti")
 
-    keyed = single.select("_id", F.explode("bands").alias("_key"))
-    left, right = keyed.select("_key", F.col("_id").alias("_a")), keyed.select("_key", F.col("_id").alias("_b"))
-    met = left.join(right, "_key").filter("_a < _b").select("_a", "_b").distinct()
-    sketch = single.select("_id", "sketch")
-    both = met.join(sketch.select(F.col("_id").alias("_a"), F.col("sketch").alias("_sa")), "_a").join(sketch.select(F.col("_id").alias("_b"), F.col("sketch").alias("_sb")), "_b")
-    likely = cut(_likely(both, config).select("_a", "_b"))
+    likely = cut(_likely_pairs(single, config))
     made.unpersist()
 
     involved = broadcast_if_small(cut(likely.select(F.col("_a").alias("_id")).unionByName(likely.select(F.col("_b").alias("_id"))).distinct()), BROADCAST_ROWS)
