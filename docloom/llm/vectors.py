@@ -1,10 +1,11 @@
 """The most similar vectors of every vector, by learned partitions.
 
 The neighbour graph of a bounded sample is cut into balanced parts; a small
-classifier learns which part a vector belongs to. Every vector is filed under its
-most probable part and searches its several most probable ones; what it finds
-there is ranked by exact cosine. Large parts are worked through in blocks, so no
-task holds a whole part.
+classifier learns which part a vector belongs to. Parts that would hold too many
+vectors are cut again, each by a graph and a classifier of its own, so parts keep
+their size as the collection grows. Every vector is filed under its most probable
+part and searches its several most probable ones; what it finds there is ranked by
+exact cosine. Large parts are worked through in blocks, so no task holds a whole part.
 
 Vectors that are equal are searched for once: only the smallest ids among them can
 be among anyone's nearest, and the others' nearest are those.
@@ -12,6 +13,7 @@ be among anyone's nearest, and the others' nearest are those.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,18 +28,22 @@ from ._plan import broadcast_if_small, cut
 class NeighbourConfig:
     """k nearest by cosine, of least_cosine at least.
 
-    sample: vectors of a dimension that the partition is learned on, at most;
-    per_part: vectors that a part should hold, which sets the number of parts
-    (max_parts at most, and few enough for the sample); probes: parts searched for
-    each vector; block: vectors of one side that a task compares at once.
+    sample: vectors of a dimension that a partition is learned on, at most;
+    per_part: vectors that a part should hold, which sets the number of parts;
+    fan: parts that one classifier tells apart, at most; with more parts than that
+    they are cut in a second level, of fan times fan. probes: parts searched for
+    each vector, at most (twice as many with two levels), of those that have the
+    share ``ratio`` at least of the best one's probability. block: vectors of one
+    side that a task compares at once.
     """
 
     k: int = 5
     least_cosine: float = 0.85
     sample: int = 8192
     per_part: int = 2000
-    max_parts: int = 256
-    probes: int = 6
+    fan: int = 256
+    probes: int = 8
+    ratio: float = 0.15
     graph: int = 10
     rounds: int = 12
     hidden: int = 96
@@ -123,10 +129,58 @@ class Router:
                     v[i] = 0.99 * v[i] + 0.01 * grad * grad
                     self.w[i] -= (0.003 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
-    def best(self, x: np.ndarray, count: int) -> np.ndarray:
-        """The most probable parts of each vector, best first."""
+    def probable(self, x: np.ndarray) -> np.ndarray:
+        """How probable each part is for each vector."""
         z = np.maximum(x * np.float32(np.sqrt(x.shape[1])) @ self.w[0] + self.w[2], 0) @ self.w[1] + self.w[3]
-        return np.argsort(-z, axis=1, kind="stable")[:, :count]
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return z / z.sum(axis=1, keepdims=True)
+
+
+class Partition:
+    """Routers of one dimension: the first level's, and those of its parts that are cut again."""
+
+    def __init__(self, first: Router | None, fan: int, second: dict[int, Router] | None = None):
+        self.first, self.fan, self.second = first, fan, second or {}
+
+    def top(self, x: np.ndarray) -> np.ndarray:
+        """The most probable part of each vector on the first level."""
+        return self.first.probable(x).argmax(axis=1) if self.first else np.zeros(len(x), dtype=np.int64)
+
+    def parts(self, x: np.ndarray, config: NeighbourConfig) -> list[list[int]]:
+        """The parts to search for each vector, first the one it is filed under."""
+        if self.first is None:
+            return [[0]] * len(x)
+        p = self.first.probable(x)
+        if not self.second:
+            return _several(p, np.argsort(-p, axis=1, kind="stable")[:, : config.probes], config.ratio)
+        n = len(x)
+        near = np.argsort(-p, axis=1, kind="stable")[:, : config.probes]
+        # of each of the near parts the most probable parts within
+        inner = np.zeros((n, near.shape[1], 2 * config.probes), dtype=np.float32)
+        names = np.full(inner.shape, -1, dtype=np.int64)
+        for part in np.unique(near):
+            row, col = np.nonzero(near == part)
+            router = self.second.get(int(part))
+            if router is None:
+                inner[row, col, 0], names[row, col, 0] = p[row, part], part * self.fan
+                continue
+            q = router.probable(x[row])
+            best = np.argsort(-q, axis=1, kind="stable")[:, : 2 * config.probes]
+            wide = best.shape[1]
+            inner[row, col, :wide] = np.take_along_axis(q, best, axis=1) * p[row, part][:, None]
+            names[row, col, :wide] = part * self.fan + best
+        filed = names[:, 0, 0]
+        flat, leaf = inner.reshape(n, -1), names.reshape(n, -1)
+        order = np.argsort(-flat, axis=1, kind="stable")[:, : 2 * config.probes]
+        found = _several(flat, order, config.ratio)
+        return [[f, *(int(leaf[i, j]) for j in js if leaf[i, j] >= 0 and leaf[i, j] != f)] for i, (f, js) in enumerate(zip(filed.tolist(), found))]
+
+
+def _several(p: np.ndarray, order: np.ndarray, ratio: float) -> list[list[int]]:
+    """Of each row's columns in order of their probability, those that have so much of the best one's."""
+    sorted_ = np.take_along_axis(p, order, axis=1)
+    count = (sorted_ >= ratio * sorted_[:, :1]).sum(axis=1)
+    return [row[:c] for row, c in zip(order.tolist(), count.tolist())]
 
 
 def learn(x: np.ndarray, parts: int, config: NeighbourConfig) -> Router | None:
@@ -176,6 +230,7 @@ def _compare(base: np.ndarray, ids: np.ndarray, query: np.ndarray, qids: np.ndar
     return tuple(np.concatenate(x) for x in zip(*got))  # type: ignore[return-value]
 
 
+_HELD, _ASKS, _BOTH = 1, 2, 3
 _FOUND = pa.schema([("_q", pa.int64()), ("_n", pa.int64()), ("_cos", pa.float64())])
 
 
@@ -190,38 +245,51 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     units = usable_vectors(df, id_col, vector_col, dimension_col)
     same = units.select("_id", "_dim", F.xxhash64("_vector").alias("_h"), F.hash("_vector").alias("_g"))
     counted = same.groupBy("_dim", "_h", "_g").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > config.k + 1).select("_h", "_g")
-    crowds = broadcast_if_small(cut(counted), 100_000)
-    crowded = same.join(crowds, ["_h", "_g"])
-    order = Window.partitionBy("_h", "_g").orderBy("_id")
-    heads = cut(crowded.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= config.k + 1).select("_id", "_h", "_g", "_at"))
-    tails = crowded.join(broadcast_if_small(heads.select("_id"), 500_000), "_id", "left_anti").select("_id", "_h", "_g")
-    copies = tails.join(broadcast_if_small(heads.filter(F.col("_at") <= config.k).select("_h", "_g", F.col("_id").alias("_n")), 500_000), ["_h", "_g"]).select(F.col("_id").alias("_q"), "_n", F.lit(1.0).alias("_cos"))
-    distinct = units.join(broadcast_if_small(cut(tails.select("_id")), 500_000), "_id", "left_anti")
-
-    sizes = {r["_dim"]: r["_c"] for r in distinct.groupBy("_dim").agg(F.count(F.lit(1)).alias("_c")).collect()}  # one row a dimension
-    routers = {d: _router(distinct.filter(F.col("_dim") == d), n, config) for d, n in sizes.items()}
-    held = df.sparkSession.sparkContext.broadcast(routers)
+    crowds = cut(counted)
+    tails = None
+    if not crowds.isEmpty():
+        # of equal vectors the first are searched for; the others have what the last of those has, and the first
+        crowded = same.join(broadcast_if_small(crowds, 100_000), ["_h", "_g"])
+        order = Window.partitionBy("_h", "_g").orderBy("_id")
+        heads = cut(crowded.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= config.k + 1).select("_id", "_h", "_g", "_at"))
+        tails = cut(crowded.join(broadcast_if_small(heads.select("_id"), 500_000), "_id", "left_anti").select("_id", "_h", "_g"))
+        units = units.join(broadcast_if_small(tails.select("_id"), 500_000), "_id", "left_anti")
+    sizes = {r["_dim"]: r["_c"] for r in units.groupBy("_dim").agg(F.count(F.lit(1)).alias("_c")).collect()}  # one row a dimension
+    found = _searched(_filed(units, sizes, config), config)
+    if tails is not None:
+        found = cut(found)
+        last = heads.filter(F.col("_at") == config.k + 1).select("_h", "_g", F.col("_id").alias("_q")).join(found, "_q").select("_h", "_g", "_n", "_cos")
+        given = heads.select("_h", "_g", F.col("_id").alias("_n"), F.lit(1.0).alias("_cos")).unionByName(last)
+        copies = tails.select("_h", "_g", F.col("_id").alias("_q")).join(broadcast_if_small(cut(given), 500_000), ["_h", "_g"]).select("_q", "_n", "_cos")
+        found = found.unionByName(_first(copies, config))
+    return found.select(F.col("_q").alias(id_col), F.col("_n").alias("neighbour"), F.col("_cos").alias("cosine"))
+
+
+def _filed(units: DataFrame, sizes: dict[int, int], config: NeighbourConfig) -> DataFrame:
+    """units with _parts, the parts that each is searched in, first the one it is filed under."""
+    first = {d: Partition(_router(units.filter(F.col("_dim") == d), n, config), config.fan) for d, n in sizes.items()}
+    if any(n / config.per_part > config.fan for n in sizes.values()):
+        second = _second_level(units, first, config)
+        first = {d: Partition(p.first, config.fan, second.get(d)) for d, p in first.items()}
+    held = units.sparkSession.sparkContext.broadcast(first)
 
     @F.arrow_udf("array<int>")
     def route(vectors: pa.Array, dims: pa.Array) -> pa.Array:
         out: list = [[0]] * len(vectors)
         wanted = dims.to_numpy(zero_copy_only=False)
         for d in np.unique(wanted):
-            router = held.value.get(int(d))
             rows = np.flatnonzero(wanted == d)
-            if router is not None:
-                x = _unit(vectors.take(pa.array(rows)), int(d)).astype(np.float32)
-                for i, p in zip(rows, router.best(x, config.probes).tolist()):
-                    out[i] = p
+            x = _unit(vectors.take(pa.array(rows)), int(d)).astype(np.float32)
+            for i, p in zip(rows, held.value[int(d)].parts(x, config)):
+                out[i] = p
         return pa.array(out, pa.list_(pa.int32()))
 
-    filed = cut(distinct.withColumn("_parts", route("_vector", "_dim")))
-    return _searched(filed, copies, id_col, config)
+    return cut(units.withColumn("_parts", route("_vector", "_dim")))
 
 
 def _router(vectors: DataFrame, n: int, config: NeighbourConfig) -> Router | None:
     """The router of one dimension, learned on its sample: the vectors with the smallest hashes of their ids."""
-    parts = min(max(1, round(n / config.per_part)), config.max_parts, config.sample // 32)
+    parts = min(max(1, round(n / config.per_part)), config.fan, config.sample // 32)
     if parts < 2:
         return None
     share = min(1.0, 1.5 * config.sample / n)
@@ -231,33 +299,74 @@ def _router(vectors: DataFrame, n: int, config: NeighbourConfig) -> Router | Non
     return learn(_unit(vectors, rows.column("_dim")[0].as_py()).astype(np.float32), parts, config)
 
 
-def _searched(filed: DataFrame, copies: DataFrame, id_col: str, config: NeighbourConfig) -> DataFrame:
-    base = filed.select("_dim", F.col("_parts")[0].alias("_part"), "_id", "_vector", F.lit(True).alias("_base"))
-    asks = filed.select("_dim", F.explode("_parts").alias("_part"), "_id", "_vector", F.lit(False).alias("_base"))
+def _second_level(units: DataFrame, first: dict[int, Partition], config: NeighbourConfig) -> dict[int, dict[int, Router]]:
+    """Routers of the parts that hold more than two parts' worth, each learned by a task on the part's sample.
+
+    fan of them a dimension at most come to the driver.
+    """
+    held = units.sparkSession.sparkContext.broadcast(first)
+
+    @F.arrow_udf("int")
+    def top(vectors: pa.Array, dims: pa.Array) -> pa.Array:
+        out, wanted = np.zeros(len(vectors), dtype=np.int32), dims.to_numpy(zero_copy_only=False)
+        for d in np.unique(wanted):
+            rows = np.flatnonzero(wanted == d)
+            out[rows] = held.value[int(d)].top(_unit(vectors.take(pa.array(rows)), int(d)).astype(np.float32))
+        return pa.array(out)
+
+    placed = units.withColumn("_part", top("_vector", "_dim"))
+    sizes = cut(placed.groupBy("_dim", "_part").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > 2 * config.per_part))
+    share = F.least(F.lit(1.0), F.lit(float(config.sample)) / F.col("_size"))
+    some = placed.join(F.broadcast(sizes), ["_dim", "_part"]).filter(F.pmod(F.xxhash64("_id", F.lit(23)), F.lit(1 << 20)) < share * (1 << 20))
+
+    def train(key: tuple, rows: pa.Table) -> pa.Table:
+        dim, size = key[0].as_py(), rows.column("_size")[0].as_py()
+        x = _unit(rows.sort_by("_id").column("_vector").combine_chunks(), dim).astype(np.float32)
+        router = learn(x, min(round(size / config.per_part), config.fan, len(x) // 32), config)
+        return pa.table({"_dim": pa.array([dim], pa.int64()), "_part": pa.array([key[1].as_py()], pa.int32()), "_router": pa.array([pickle.dumps(router)], pa.binary())})
+
+    out: dict[int, dict[int, Router]] = {}
+    for r in some.select("_dim", "_part", "_size", "_id", "_vector").groupBy("_dim", "_part").applyInArrow(train, "_dim bigint, _part int, _router binary").collect():
+        router = pickle.loads(r["_router"])
+        if router is not None:
+            out.setdefault(r["_dim"], {})[r["_part"]] = router
+    return out
+
+
+def _first(pairs: DataFrame, config: NeighbourConfig) -> DataFrame:
+    """The k best _n of each _q, ties to the smaller."""
+    order = Window.partitionBy("_q").orderBy(F.desc("_cos"), "_n")
+    best = pairs.filter("_q <> _n").groupBy("_q", "_n").agg(F.max("_cos").alias("_cos"))
+    return best.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= config.k).drop("_at")
+
+
+def _searched(filed: DataFrame, config: NeighbourConfig) -> DataFrame:
+    """_q, _n, _cos: what each vector finds in its parts."""
+    asks = filed.select("_dim", F.posexplode("_parts").alias("_at", "_part"), "_id", "_vector")
     # blocks of both sides: a large part becomes a grid of cells, each a task's worth
-    held = base.groupBy("_dim", "_part").agg(F.ceil(F.count(F.lit(1)) / config.block).alias("_rows"))
-    asked = asks.groupBy("_dim", "_part").agg(F.ceil(F.count(F.lit(1)) / config.block).alias("_cols"))
-    grid = F.broadcast(cut(held.join(asked, ["_dim", "_part"])))  # max_parts rows a dimension at most
-    own = F.pmod(F.xxhash64("_id"), F.col("_rows"))
-    theirs = F.pmod(F.xxhash64("_id"), F.col("_cols"))
-    cells = (
-        base.join(grid, ["_dim", "_part"]).select("_dim", "_part", own.alias("_row"), F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("_col"), "_id", "_vector", "_base")
-        .unionByName(asks.join(grid, ["_dim", "_part"]).select("_dim", "_part", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_row"), theirs.alias("_col"), "_id", "_vector", "_base"))
-    )
+    blocks = lambda n: F.ceil(n / config.block).cast("int")
+    sizes = asks.groupBy("_dim", "_part").agg(blocks(F.count_if(F.col("_at") == 0)).alias("_rows"), blocks(F.count(F.lit(1))).alias("_cols"))
+    grid = broadcast_if_small(cut(sizes.filter("_rows > 0")), 1_000_000)  # a row a part
+    placed = asks.join(grid, ["_dim", "_part"])
+    whole = (F.col("_rows") == 1) & (F.col("_cols") == 1)
+    mine, theirs = F.pmod(F.xxhash64("_id"), F.col("_rows")).cast("int"), F.pmod(F.xxhash64("_id"), F.col("_cols")).cast("int")
+    # in a part of one cell a vector that is filed there comes once for both sides
+    side = F.when((F.col("_at") == 0) & whole, _BOTH).otherwise(_ASKS)
+    cells = placed.select("_dim", "_part", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_row"), theirs.alias("_col"), "_id", "_vector", side.alias("_side")).unionByName(
+        placed.filter((F.col("_at") == 0) & ~whole).select("_dim", "_part", mine.alias("_row"), F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("_col"), "_id", "_vector", F.lit(_HELD).alias("_side"))
+    )
 
     def search(cell: pa.Table) -> pa.Table:
         ids = cell.column("_id").to_numpy()
         x = _unit(cell.column("_vector").combine_chunks(), cell.column("_dim")[0].as_py())
-        side = cell.column("_base").to_numpy(zero_copy_only=False).astype(bool)
-        q, n, cosine = _compare(x[side], ids[side], x[~side], ids[~side], config)
+        side = cell.column("_side").to_numpy()
+        held, asks = (side & _HELD) > 0, (side & _ASKS) > 0
+        q, n, cosine = _compare(x[held], ids[held], x[asks], ids[asks], config)
         return pa.Table.from_arrays([pa.array(q, pa.int64()), pa.array(n, pa.int64()), pa.array(cosine, pa.float64())], schema=_FOUND)
 
     found = cells.groupBy("_dim", "_part", "_row", "_col").applyInArrow(search, "_q bigint, _n bigint, _cos double")
     # what a vector finds, its finds may not have found: both ways
-    both = found.unionByName(found.select(F.col("_n").alias("_q"), F.col("_q").alias("_n"), "_cos")).unionByName(copies).groupBy("_q", "_n").agg(F.max("_cos").alias("_cos"))
-    order = Window.partitionBy("_q").orderBy(F.desc("_cos"), "_n")
-    top = both.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= config.k)
-    return top.select(F.col("_q").alias(id_col), F.col("_n").alias("neighbour"), F.col("_cos").alias("cosine"))
+    return _first(found.unionByName(found.select(F.col("_n").alias("_q"), F.col("_q").alias("_n"), "_cos")), config)
 
 
 def mutual_pairs(found: DataFrame, id_col: str = "vec_id") -> DataFrame:
