@@ -1,5 +1,6 @@
 """The training-data operators against brute force and on their defined edge cases."""
 
+import dataclasses
 import itertools
 import os
 import random
@@ -114,6 +115,9 @@ def test_near_duplicates_against_brute_force(spark):
         if n >= 20 and m >= 20 and a and b and len(a & b) / len(a | b) >= 0.6:
             want[i, j] = len(a & b) / len(a | b)
     assert got == pytest.approx(want)
+    # keys that many documents share are worked through in blocks, with the same result
+    blocks = dataclasses.replace(config, hot=1, block=7)
+    assert {(r["doc_a"], r["doc_b"]): r["similarity"] for r in neardup.near_duplicate_pairs(df, config=blocks).collect()} == pytest.approx(want)
 
     groups = {r["doc_id"]: (r["class_id"], r["links"]) for r in neardup.near_duplicate_groups(df, config=config).collect()}
     root = list(range(len(values)))
@@ -218,9 +222,10 @@ def test_dominant_ngram():
 # --- repeated lines ----------------------------------------------------------------------
 
 
-def test_repeated_lines_against_brute_force(spark):
+def test_repeated_lines_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
-    rows = []
+    # a line whose lower case is longer than itself
+    rows = [(1000 + i, "\n".join(["İ" * 13, f"page {i}"]), None, "b", f"q{i}") for i in range(30)]
     for i in range(400):
         source = rng.choice(["hot", "hot", "hot", "b", None])
         lines = [sentence(rng, 8) for _ in range(rng.randrange(0, 4))]
@@ -240,9 +245,21 @@ def test_repeated_lines_against_brute_force(spark):
     want = {(i, n) for i, t, _, s, _ in rows if t is not None and s is not None for n, line in enumerate(t.split("\n")) if (s, norm(line)) in bad}
     df = documents(spark, *rows)
     assert want and {tuple(r) for r in repeated.repeated_lines(df).collect()} == want
-    clean = {r["doc_id"]: r["text"] for r in repeated.without_repeated_lines(df).collect()}
-    for i, t, _, _, _ in rows:
-        assert clean[i] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want))
+    assert (1000, 0) in want
+
+    def check():
+        clean = {r["doc_id"]: r for r in repeated.without_repeated_lines(df).collect()}
+        for i, t, _, _, _ in rows:
+            kept = None if t is None else [x for n, x in enumerate(t.split("\n")) if (i, n) not in want]
+            assert clean[i]["text"] == (None if t is None else "\n".join(kept)) and clean[i]["removed_lines"] == (None if t is None else len(t.split("\n")) - len(kept))
+        assert len(clean) == len(rows) and repeated.without_repeated_lines(df.limit(0)).count() == 0
+
+    check()
+    # more repeated lines than can be looked up or broadcast: joins, with the same result
+    monkeypatch.setattr(repeated, "LOOKUP_ROWS", 0)
+    monkeypatch.setattr(repeated, "BROADCAST_ROWS", 0)
+    check()
+    assert {tuple(r) for r in repeated.repeated_lines(df).collect()} == want
     assert repeated.repeated_lines(df.limit(0)).count() == 0
 
 
@@ -295,11 +312,27 @@ def test_neighbours_against_brute_force(spark):
     for i, row in enumerate(np.argsort(-s, axis=1, kind="stable")[:, :5]):
         want |= {(min(i, j), max(i, j)) for j in row.tolist() if s[i, j] >= 0.85}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+    # two levels of parts, and parts of several blocks
+    for other in (dataclasses.replace(config, fan=4, per_part=60), dataclasses.replace(config, per_part=4000)):
+        again = {(r["vec_a"], r["vec_b"]) for r in vectors.mutual_pairs(vectors.nearest(df, config=other)).collect()}
+        assert len(again & want) >= 0.97 * len(want) and len(again - want) <= 0.03 * len(want)
     copies = {p for p in want if p[0] in range(1440, 1480) and p[1] in range(1440, 1480)}
     assert copies <= got
     assert vectors.nearest(df.limit(0)).count() == 0
 
 
+def test_equal_vectors_share_what_the_last_searched_one_finds(spark):
+    """A scaled copy with a smaller id is nearer, by the tie, than the later copies of a crowd."""
+    crowd = [(i, [0.6, 0.8, 0.0], 3) for i in range(10, 40)]
+    scaled = [(1, [1.2, 1.6, 0.0], 3), (2, [3.0, 4.0, 0.0], 3)]
+    df = spark.createDataFrame([*crowd, *scaled, (3, [0.0, 0.0, 1.0], 3)], "vec_id long, embedding array<double>, embedding_dimension int")
+    got = {}
+    for r in vectors.nearest(df).collect():
+        got.setdefault(r["vec_id"], []).append(r["neighbour"])
+    everyone = [1, 2, *range(10, 40)]
+    assert {k: sorted(v) for k, v in got.items()} == {i: [j for j in everyone if j != i][:5] for i in everyone}
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(1).standard_normal((900, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
