@@ -3,6 +3,9 @@
 #: White space as Python's str.split sees it, in a form that Java and RE2 read alike.
 SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: The same but for the plain blank.
+SPACE_BUT_BLANK = SPACE.replace(r"\x{1c}-\x{20}", r"\x{1c}-\x{1f}")
+
 # markup
 HEADING_TAGS = ("h1", "h2", "h3", "h4")
 TEXT_TAGS = ("p", "li", "pre", "code")
@@ -36,6 +39,8 @@ BACK_MATTER = (
     r"(?i)\b(about the author|colophon|acknowledg?ments?|have feedback for us|changes since first version|"
     r"learning from first version|raw data and feedback of the survey)\b"
 )
+#: Of which one must be there for the pattern of back matter to be.
+BACK_MATTER_PARTS = ("about the author", "colophon", "acknowledg", "have feedback for us", "changes since first version", "learning from first version", "raw data and feedback of the survey")
 URL = r"(?i)https?://|www\."
 SENTENCE_START = "[A-Z0-9(\"']"
 
@@ -67,7 +72,7 @@ TOPIC_KEYWORDS = {
 }
 
 # Difficulties of a topic's ten questions
-DIFFICULTY_PATTERN = ("basic",) * 3 + ("intermediate",) * 5 + ("advanced",) * 2
+DIFFICULTY_PATTERN = ("basic", "basic", "basic", "intermediate", "intermediate", "intermediate", "intermediate", "intermediate", "advanced", "advanced")
 
 # prompt
 QUERY_PREFIX = "Kubernetes security hardening question."

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as C
+from ..operators.plan import once
 from .text import collapse_whitespace, flat_word_count, word_count
 
 
@@ -29,24 +30,53 @@ def index_like(text: Column) -> Column:
     return (_count(text, C.PAGE_REFERENCE) >= 8) & (lowered.contains("index") | lowered.contains("see also"))
 
 
+def back_matter(lowered: Column) -> Column:
+    """Back matter by its phrases; plain searches first, the pattern only where one of them hits."""
+    some = lowered.contains(C.BACK_MATTER_PARTS[0])
+    for part in C.BACK_MATTER_PARTS[1:]:
+        some = some | lowered.contains(part)
+    return some & lowered.rlike(C.BACK_MATTER)
+
+
 def low_signal_chunk(text: Column) -> Column:
     flat = collapse_whitespace(text)
-    return ((flat_word_count(flat) <= 15) & flat.rlike(C.REPORT_HEADER)) | url_heavy(flat) | index_like(flat) | F.lower(flat).rlike(C.BACK_MATTER)
+    return ((flat_word_count(flat) <= 15) & flat.rlike(C.REPORT_HEADER)) | url_heavy(flat) | index_like(flat) | back_matter(F.lower(flat))
+
+
+def with_signals(df: DataFrame, text: str, flat: bool = False) -> DataFrame:
+    """df with _flat, _url_heavy, _index_like and _low_signal of a text column, each rule worked out once a row.
+
+    flat: the text's white space is collapsed already. The rules of a null text are null.
+    """
+    base = once(df, _flat=F.col(text) if flat else collapse_whitespace(F.col(text)))
+    lowered = F.lower("_flat")
+    urls = F.when(lowered.contains("http") | lowered.contains("www."), _count(F.col("_flat"), C.URL)).otherwise(0)
+    counted = once(base, _lower=lowered, _urls=urls, _words=flat_word_count(F.col("_flat")), _refs=_count(F.col("_flat"), C.PAGE_REFERENCE))
+    heavy = (F.col("_urls") >= 2) & ((F.col("_urls") >= 5) | (F.col("_words") <= 80))
+    indexed = (F.col("_refs") >= 8) & (F.col("_lower").contains("index") | F.col("_lower").contains("see also"))
+    header = (F.col("_words") <= 15) & F.col("_flat").rlike(C.REPORT_HEADER)
+    ruled = once(counted, _url_heavy=heavy, _index_like=indexed, _other=header | back_matter(F.col("_lower")))
+    return ruled.withColumn("_low_signal", F.col("_other") | F.col("_url_heavy") | F.col("_index_like")).drop("_lower", "_urls", "_refs", "_words", "_other")
+
+
+def low_signal_path(path: Column) -> Column:
+    return F.coalesce(F.array_join(path, " > "), F.lit("")).rlike(C.LOW_SIGNAL_SECTION)
 
 
 def low_signal_document(path: Column, text: Column) -> Column:
-    return F.coalesce(F.array_join(path, " > "), F.lit("")).rlike(C.LOW_SIGNAL_SECTION) | low_signal_chunk(F.coalesce(text, F.lit("")))
+    return low_signal_path(path) | low_signal_chunk(F.coalesce(text, F.lit("")))
 
 
 def boilerplate_line(line: Column, repeats: Column, pages: Column) -> Column:
     """Page numbers, rules, leaders, running heads: by their form or by how many pages repeat them."""
     lowered = F.lower(line)
     share = lambda least, part: F.greatest(F.lit(least), F.floor(pages / part))
+    # counts and lengths first, patterns only for the lines that are left
     return (
-        line.rlike(C.PAGE_ONLY) | line.rlike(C.PUNCT_ONLY) | line.rlike(C.DOT_LEADER) | lowered.rlike(C.REPORT_HEADER)
-        | (lowered.rlike(C.AGENCY) & (repeats >= share(3, 12)))
-        | (F.length(line).between(1, 14) & (repeats >= share(3, 10)))
-        | ((F.length(line) <= 120) & (repeats >= share(5, 8)))
+        ((F.length(line) <= 120) & (repeats >= share(5, 8))) | (F.length(line).between(1, 14) & (repeats >= share(3, 10)))
+        | line.contains("...") | line.rlike(C.PAGE_ONLY) | line.rlike(C.PUNCT_ONLY)
+        | ((lowered.contains("u/oo/") | lowered.contains("pp-22") | lowered.contains("august 2022")) & lowered.rlike(C.REPORT_HEADER))
+        | ((repeats >= share(3, 12)) & lowered.rlike(C.AGENCY))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import ENRICH_BELOW_WORDS, MIN_PROXY_SENTENCE, OUTPUT_REQUIREMENTS, QUERY_PREFIX, SENTENCE_START, SPACE, TOPIC_KEYWORDS
+from .constants import ENRICH_BELOW_WORDS, MIN_PROXY_SENTENCE, OUTPUT_REQUIREMENTS, QUERY_PREFIX, SENTENCE_START, SPACE, SPACE_BUT_BLANK, TOPIC_KEYWORDS
 
 _SEPARATOR = "\x01"
 
@@ -16,7 +16,8 @@ def _empty() -> Column:
 
 def collapse_whitespace(text: Column) -> Column:
     """One space for each run of white space, none at the ends."""
-    return F.btrim(F.regexp_replace(text, f"{SPACE}+", " "))
+    # single blanks, which are most of it, are passed over
+    return F.btrim(F.regexp_replace(text, f"{SPACE}{{2,}}|{SPACE_BUT_BLANK}", " "))
 
 
 def slugify(text: Column) -> Column:
@@ -83,19 +84,28 @@ def dedupe_consecutive(items: Column) -> Column:
     return F.filter(said, lambda x, i: (i == 0) | (x != F.get(said, i - 1)))
 
 
-def _split_before_start(text: Column, ends: str) -> Column:
-    parts = F.split(collapse_whitespace(text), f"(?<={ends}) (?={SENTENCE_START})", -1)
-    return F.filter(F.transform(parts, lambda x: F.btrim(x)), lambda x: x != "")
+def _split_before_start(flat: Column, ends: str) -> Column:
+    # white space is single, so the parts need no trimming but at the text's ends
+    return F.filter(F.split(flat, f"(?<={ends}) (?={SENTENCE_START})", -1), lambda x: x != "")
 
 
 def split_sentences(text: Column) -> Column:
     """Sentences: split after . ! ? where a capital, digit, bracket or quote follows."""
-    return F.coalesce(_split_before_start(text, "[.!?]"), _empty())
+    return flat_sentences(collapse_whitespace(text))
+
+
+def flat_sentences(flat: Column) -> Column:
+    """The same of a text whose white space is collapsed already."""
+    return F.coalesce(_split_before_start(flat, "[.!?]"), _empty())
 
 
 def split_clauses(text: Column) -> Column:
     """Clauses: the same after ; and :"""
-    return F.coalesce(_split_before_start(text, "[;:]"), _empty())
+    return flat_clauses(collapse_whitespace(text))
+
+
+def flat_clauses(flat: Column) -> Column:
+    return F.coalesce(_split_before_start(flat, "[;:]"), _empty())
 
 
 def proxy_sentences(text: Column) -> Column:
@@ -136,7 +146,12 @@ def context_prefix(path: Column) -> Column:
 
 def enrich_short_text(path: Column, text: Column, below: int = ENRICH_BELOW_WORDS) -> Column:
     """The text, with its context in front if it is short and does not begin with it."""
-    flat, prefix = collapse_whitespace(text), F.coalesce(context_prefix(path), F.lit(""))
+    return enrich_flat_text(path, collapse_whitespace(text), below)
+
+
+def enrich_flat_text(path: Column, flat: Column, below: int = ENRICH_BELOW_WORDS) -> Column:
+    """The same of a text whose white space is collapsed already."""
+    prefix = F.coalesce(context_prefix(path), F.lit(""))
     told = F.btrim(F.replace(F.lower(prefix), F.lit("section: "), F.lit("")))
     keep = (flat_word_count(flat) >= below) | (prefix == "") | F.startswith(F.lower(flat), told)
     return F.when(keep, flat).otherwise(F.concat(prefix, flat))

@@ -25,5 +25,10 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.try_divide(x.cast("double"), length))
 
 
+def finite(a: Column) -> Column:
+    """Whether a vector has elements, all of them finite numbers; false for a null."""
+    return F.coalesce((F.size(a) > 0) & F.forall(a, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..functions import text as T
+from .plan import once
 
 UNIT = "struct<text:string,words:int,strategy:string>"
 _GROUP = "struct<first:int,end:int,words:int>"
@@ -72,15 +73,20 @@ def _windowed(fragment: Column, config: ChunkConfig) -> Column:
 
 def semantic_units(text: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     """The units of a text: sentences of at most max_words, else their clauses, else word windows."""
+    return flat_units(T.collapse_whitespace(text), config)
+
+
+def flat_units(flat: Column, config: ChunkConfig = ChunkConfig()) -> Column:
+    """The same of a text whose white space is collapsed already."""
 
     def of_clauses(clauses: Column) -> Column:
         return F.flatten(F.transform(clauses, lambda c: F.when(T.flat_word_count(c) <= config.max_words, F.array(_unit(c, T.flat_word_count(c), "clause"))).otherwise(_windowed(c, config))))
 
     def of_sentence(s: Column) -> Column:
-        clauses = T.split_clauses(s)
+        clauses = T.flat_clauses(s)
         return F.when(T.flat_word_count(s) <= config.max_words, F.array(_unit(s, T.flat_word_count(s), "sentence"))).when(F.size(clauses) > 1, of_clauses(clauses)).otherwise(_windowed(s, config))
 
-    return F.flatten(F.transform(T.split_sentences(text), of_sentence))
+    return F.flatten(F.transform(T.flat_sentences(flat), of_sentence))
 
 
 def chunk_groups(units: Column, config: ChunkConfig = ChunkConfig()) -> Column:
@@ -122,14 +128,14 @@ def chunk_documents(df: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataF
     have gaps. A null or blank text has no chunks; a null path no context.
     """
     carried = [c for c in df.columns if c not in ("text", "n_chars")]
-    text = T.collapse_whitespace(F.coalesce("text", F.lit("")))
-    kept = df.withColumn("_text", text).filter((F.col("_text") != "") & ~quality.low_signal_document(F.col("section_path"), F.col("_text")))
-    units = kept.withColumn("_units", semantic_units(F.col("_text"), config)).withColumn("_groups", chunk_groups(F.col("_units"), config))
+    said = quality.with_signals(df.filter(F.col("text").isNotNull() & ~quality.low_signal_path(F.col("section_path"))), "text")
+    kept = said.filter((F.col("_flat") != "") & ~F.col("_low_signal")).select(*carried, F.col("_flat").alias("_text"))
+    units = once(once(kept, _units=flat_units(F.col("_text"), config)), _groups=chunk_groups(F.col("_units"), config))
     rows = units.select(*carried, T.flat_word_count(F.col("_text")).alias("source_doc_word_count"), "_units", F.posexplode("_groups").alias("_at", "_group"))
     own = F.slice("_units", F.col("_group.first") + 1, F.col("_group.end") - F.col("_group.first"))
-    rows = rows.withColumn("_own", own).withColumn("chunk_index", (F.col("_at") + 1).cast("long"))
-    rows = rows.withColumn("text", T.enrich_short_text(F.col("section_path"), F.array_join(F.transform("_own", lambda u: u["text"]), " ")))
-    rows = rows.filter(~quality.low_signal_chunk(F.col("text")))
+    rows = once(rows.withColumn("chunk_index", (F.col("_at") + 1).cast("long")).drop("_at"), _own=own).drop("_units")
+    rows = once(rows, text=T.enrich_flat_text(F.col("section_path"), F.array_join(F.transform("_own", lambda u: u["text"]), " ")))
+    rows = quality.with_signals(rows, "text", flat=True).filter(~F.col("_low_signal"))
     return rows.select(
         T.chunk_id(F.col("doc_id").cast("string"), F.col("chunk_index")).alias("chunk_id"), *carried, "chunk_index",
         F.col("_group.first").cast("long").alias("chunk_unit_start"), F.col("_group.end").cast("long").alias("chunk_unit_end"),

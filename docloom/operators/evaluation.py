@@ -11,13 +11,15 @@ from ..functions.vectors import clamp01, dot
 
 JUDGED = ("context_relevance", "answer_relevance", "faithfulness", "context_precision", "context_recall")
 BERTSCORE = ("bertscore_p", "bertscore_r", "bertscore_f1")
+# Labels of failures
 FAILURE_LABELS = ("retrieval_miss", "source_imbalance", "incomplete_answer", "hallucinated_or_weakly_grounded_claim", "outdated_or_mismatched_context")
 
 
 def blueprint(topics: DataFrame) -> DataFrame:
     """Ten blank questions for each topic (column topic), with ids in topic order."""
     pattern = F.array(*map(F.lit, C.DIFFICULTY_PATTERN))
-    numbered = topics.select("topic").distinct().withColumn("_t", F.row_number().over(Window.orderBy("topic")))  # topics are few
+    names = topics.agg(F.array_sort(F.collect_set("topic")).alias("_names"))  # a topic is a heading of a benchmark that people write
+    numbered = names.select(F.posexplode("_names").alias("_t", "topic")).withColumn("_t", F.col("_t") + 1)
     slots = numbered.select("topic", "_t", F.posexplode(pattern).alias("_s", "difficulty"))
     number = ((F.col("_t") - 1) * len(C.DIFFICULTY_PATTERN) + F.col("_s") + 1).cast("string")
     pad = lambda c, n: F.lpad(c, n, "0")
@@ -34,7 +36,9 @@ def failure_template(spark, n: int = 12) -> DataFrame:
 def metric_placeholder(queries: DataFrame, variants: DataFrame) -> DataFrame:
     """A row of null metrics for each question and variant."""
     blanks = [F.lit(None).cast("double").alias(c) for c in (*JUDGED, *BERTSCORE)]
-    return queries.select("query_id").crossJoin(F.broadcast(variants.select("variant").limit(1000))).select("query_id", "variant", *blanks)
+    # one row that holds all variants: a generator instead of a join, however many there are
+    named = variants.agg(F.collect_list("variant").alias("_v"))
+    return queries.select("query_id").crossJoin(F.broadcast(named)).select("query_id", F.explode("_v").alias("variant"), *blanks)
 
 
 def merge_metrics(base: DataFrame, *frames: DataFrame) -> DataFrame:
@@ -48,10 +52,27 @@ def merge_metrics(base: DataFrame, *frames: DataFrame) -> DataFrame:
     return merged
 
 
-def evaluation_cases(answers: DataFrame, queries: DataFrame, retrieved: DataFrame) -> DataFrame:
+def checked_labels(df: DataFrame, column: str = "failure_label") -> DataFrame:
+    """The rows, an error for a label that is none of FAILURE_LABELS; blanks are rows yet to be labelled."""
+    known = F.coalesce(F.col(column), F.lit("")).isin("", *FAILURE_LABELS)
+    return df.withColumn(column, F.when(known, F.col(column)).otherwise(F.raise_error(F.concat(F.lit("unknown failure label: "), column))))
+
+
+def asserted(df: DataFrame, there: Column, what: str, *keys: str) -> DataFrame:
+    """The rows, an error for one in which ``there`` is false: a look-up that found nothing."""
+    said = F.concat(F.lit(f"{what} is missing for "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))
+    return df.withColumn(keys[0], F.when(there, F.col(keys[0])).otherwise(F.raise_error(said)))
+
+
+def retrieval_variant(variant: Column) -> Column:
+    """The retrieval variant of a system: its name without the prefix of its model's initials."""
+    return F.regexp_replace(variant, "^[A-Z]+_(?=V)", "")
+
+
+def evaluation_cases(answers: DataFrame, queries: DataFrame, retrieved: DataFrame, strict: bool = False) -> DataFrame:
     """Each answer with its question, reference and what was retrieved for it, in rank order.
 
-    Answers whose question or retrieval is unknown are left out.
+    Answers whose question or retrieval is unknown are left out; an error if strict.
     """
     ranked = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "source_id", "section_path_text", "chunk_text")))
     context = retrieved.groupBy("query_id", "variant").agg(ranked.alias("_c")).select(
@@ -59,7 +80,12 @@ def evaluation_cases(answers: DataFrame, queries: DataFrame, retrieved: DataFram
         T.evaluation_context(F.col("_c")).alias("retrieved_context_text"), F.transform("_c", lambda c: c["chunk_text"]).alias("contexts"),
     )
     about = queries.select("query_id", "topic", "difficulty", "query_text", "reference_answer")
-    joined = answers.join(about, "query_id").join(context, ["query_id", "variant"])
+    if strict:
+        known = about.withColumn("_asked", F.lit(True))
+        joined = asserted(answers.join(known, "query_id", "left"), F.col("_asked").isNotNull(), "the question", "query_id", "variant")
+        joined = asserted(joined.join(context.withColumn("_told", F.lit(True)), ["query_id", "variant"], "left"), F.col("_told").isNotNull(), "the retrieval", "query_id", "variant")
+    else:
+        joined = answers.join(about, "query_id").join(context, ["query_id", "variant"])
     return joined.select("query_id", "variant", "model_name", "topic", "difficulty", "query_text", "reference_answer", "answer_text", "answer_text_plain", "citations", "retrieved_chunk_ids", "retrieved_source_ids", "retrieved_context_text", "contexts")
 
 

@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .plan import lookup
 
 
 def generation_cases(retrieved: DataFrame, variants: DataFrame) -> DataFrame:
     """One prompt for each question and variant: its chunks in rank order, ids and model."""
     item = F.struct("rank", "chunk_id", "source_id", "section_path_text", "chunk_text")
     keys = ["query_id", "variant", "query_text", "topic", "difficulty"]
-    grouped = retrieved.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_c")).join(F.broadcast(variants.select("variant", "model_name").limit(1000)), "variant")
+    grouped = lookup(retrieved.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_c")), variants.select("variant", "model_name"), ["variant"], "query_id")
     return grouped.select("query_id", "variant", "model_name", "topic", "difficulty", "query_text", F.transform("_c", lambda c: c["chunk_id"]).alias("chunk_ids"), F.transform("_c", lambda c: c["source_id"]).alias("source_ids"), T.prompt(F.col("query_text"), F.col("_c")).alias("prompt_text"))
 
 

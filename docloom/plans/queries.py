@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import quality
 from ..functions import text as T
-from ..functions.vectors import dot
 from ..operators import chunking, evaluation, generation, retrieval, sampling, summaries
+from ..operators.plan import once
 from ..operators.embedding import HashingEmbedder, embedding_records, embedding_summary
 from ..sources import feed, html, pages
 from ..sources.tables import vector_table
@@ -93,7 +93,7 @@ with met as (
 def _search(spark: SparkSession, folder: str, k: int) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    found = retrieval.top_k(asked, vectors, k, item_id="vec_id", exclude=F.col("query_id") == F.col("vec_id"), score=F.round(dot(F.col("query_embedding"), F.col("embedding")), 6))
+    found = retrieval.top_k(asked, vectors, k, item_id="vec_id", same=False, digits=6)
     return found.select("query_id", "vec_id", "label", F.col("similarity_score").alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -134,7 +134,7 @@ def mmr_top10(spark, folder):
     """Ten candidates of each question in the order of maximal marginal relevance."""
     vectors = table(spark, folder, "embeddings")
     asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    ten = retrieval.top_k(asked, vectors, 10, item_id="vec_id", exclude=F.col("query_id") == F.col("vec_id"))
+    ten = retrieval.top_k(asked, vectors, 10, item_id="vec_id", same=False)
     listed = ten.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "similarity_score", "vec_id", "embedding"))).alias("_c"))
     ordered = listed.select("query_id", F.posexplode(retrieval.mmr_order(F.col("_c"), 10, 0.7)).alias("_at", "_i"))
     return ordered.select("query_id", (F.col("_at") + 1).cast("long").alias("mmr_rank"), "_i.vec_id", F.round("_i.similarity_score", 6).alias("similarity"))
@@ -166,11 +166,11 @@ select doc_id, topic, round(least({C.TOPIC_HIT_BONUS} * hits, {C.TOPIC_BONUS_CAP
 def topic_bonus(spark, folder):
     """The bonus of each document for each topic that it touches."""
     docs = table(spark, folder, "documents").filter("text is not null").select("doc_id", "source_id", "section_path", "text")
-    topics = F.explode(F.array(*map(F.lit, C.TOPIC_KEYWORDS)))
-    path = F.nullif(T.join_path(F.col("section_path")), F.lit(None).cast("string"))
-    path = F.when(F.col("section_path").isNotNull(), path)
-    rows = docs.withColumn("topic", topics).select("doc_id", "topic", F.round(retrieval.topic_bonus(F.col("topic"), F.col("source_id"), path, F.col("text")), 6).alias("bonus"))
-    return rows.filter("bonus > 0")
+    path = F.when(F.col("section_path").isNotNull(), T.join_path(F.col("section_path")))
+    placed = once(docs, _place=retrieval.topic_place(F.col("source_id"), path, F.col("text"))).select("doc_id", "_place")
+    hits = F.array(*(F.struct(F.lit(t).alias("topic"), retrieval.topic_hits(F.col("_place"), t).alias("hits")) for t in C.TOPIC_KEYWORDS))
+    rows = placed.select("doc_id", F.inline(hits)).filter("hits > 0")
+    return rows.select("doc_id", "topic", F.round(retrieval.bonus_of(F.col("hits")), 6).alias("bonus"))
 
 
 @query(
@@ -382,8 +382,9 @@ _FLAT = f"with f as (select *, {_ws('text')} as flat from documents where text i
 (regexp_matches(coalesce(array_to_string(section_path, ' > '), ''), {_q(C.LOW_SIGNAL_HEADING)}) or regexp_matches(text, {_q(C.LOW_SIGNAL_TEXT)})) as low_signal_section from f""")
 def low_signal(spark, folder):
     """What the heuristics say of each document."""
-    docs = table(spark, folder, "documents").filter("text is not null").withColumn("_flat", T.collapse_whitespace(F.col("text")))
-    return docs.select("doc_id", quality.url_heavy(F.col("_flat")).alias("url_heavy"), quality.index_like(F.col("_flat")).alias("index_like"), quality.low_signal_chunk(F.col("_flat")).alias("low_signal_chunk"), quality.low_signal_document(F.col("section_path"), F.col("text")).alias("low_signal_document"), quality.low_signal_section(F.col("section_path"), F.col("text")).alias("low_signal_section"))
+    docs = table(spark, folder, "documents").filter("text is not null").select("doc_id", "text", "section_path")
+    told = quality.with_signals(once(docs, _path=quality.low_signal_path(F.col("section_path")), low_signal_section=quality.low_signal_section(F.col("section_path"), F.col("text"))), "text")
+    return told.select("doc_id", F.col("_url_heavy").alias("url_heavy"), F.col("_index_like").alias("index_like"), F.col("_low_signal").alias("low_signal_chunk"), (F.col("_path") | F.col("_low_signal")).alias("low_signal_document"), "low_signal_section")
 
 
 _LINES = f"lines as (select source_id, doc_id, unnest(string_split(text, chr(10))) as raw from documents where text is not null and source_id is not null), l as (select source_id, doc_id, {_ws('raw')} as line from lines where {_ws('raw')} <> '')"
@@ -392,7 +393,7 @@ _LINES = f"lines as (select source_id, doc_id, unnest(string_split(text, chr(10)
 def _source_lines(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").filter("text is not null and source_id is not null")
     lines = docs.select(F.col("source_id").alias("document"), F.col("doc_id").alias("page_number"), F.explode(F.split("text", "\n", -1)).alias("_l"))
-    return lines.select("document", "page_number", T.collapse_whitespace(F.col("_l")).alias("line")).filter("line <> ''")
+    return once(lines, line=T.collapse_whitespace(F.col("_l"))).drop("_l").filter("line <> ''")
 
 
 @query(f"with {_LINES} select source_id as document, line, count(distinct doc_id) as repeats from l group by all")
@@ -625,8 +626,8 @@ _GROUPED = f"""with g as (select label, list(embedding order by vec_id) as l fro
 def proxy_context_relevance(spark, folder):
     """The share of a group's vectors near each question."""
     vectors = table(spark, folder, "embeddings")
-    groups = vectors.groupBy("label").agg(F.collect_list("embedding").alias("_l"))
-    return vectors.filter("vec_id % 20 = 0").join(groups, "label").select("vec_id", evaluation.context_relevance(F.col("embedding"), F.col("_l")).alias("context_relevance"))
+    near = retrieval.group_similarities(vectors.filter("vec_id % 20 = 0"), vectors, "label", "vec_id", C.CONTEXT_THRESHOLD)
+    return near.select("vec_id", F.round(F.col("near") / F.col("total"), 4).alias("context_relevance"))
 
 
 @query(
@@ -636,9 +637,8 @@ select label::BIGINT as label, round(count(*) filter (best >= {C.FAITHFUL_THRESH
 def proxy_faithfulness(spark, folder):
     """The share of a group's questions that one of its other vectors is near to."""
     vectors = table(spark, folder, "embeddings")
-    asked = vectors.filter("vec_id % 20 = 0").groupBy("label").agg(F.collect_list("embedding").alias("_a"))
-    told = vectors.filter("vec_id % 20 <> 0").groupBy("label").agg(F.collect_list("embedding").alias("_c"))
-    return asked.join(told, "label").select(F.col("label").cast("long").alias("label"), evaluation.faithfulness(F.col("_a"), F.col("_c")).alias("faithfulness"))
+    near = retrieval.group_similarities(vectors.filter("vec_id % 20 = 0"), vectors.filter("vec_id % 20 <> 0"), "label", "vec_id", C.FAITHFUL_THRESHOLD)
+    return near.groupBy(F.col("label").cast("long").alias("label")).agg(F.round(F.avg((F.col("best") >= C.FAITHFUL_THRESHOLD).cast("double")), 4).alias("faithfulness"))
 
 
 @query(
