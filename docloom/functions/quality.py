@@ -102,7 +102,8 @@ def references_page(lines: Column, text: Column) -> Column:
 
 def abbreviations_page(lines: Column, text: Column) -> Column:
     shouted = F.filter(F.split(collapse_whitespace(text), " ", -1), lambda t: (t == F.upper(t)) & (t != F.lower(t)) & F.length(t).between(2, 8))
-    return _head(lines, 4).rlike(C.ABBREVIATIONS) & (F.size(shouted) >= 12)
+    headed = _head(lines, 4).rlike(C.ABBREVIATIONS)
+    return F.when(headed, F.size(shouted) >= 12).otherwise(False)  # the heading first, it is rare
 
 
 def publisher_matter(page: Column, text: Column) -> Column:

@@ -1,12 +1,13 @@
 """Sections of HTML pages.
 
 Python runs here only: markup is parsed with the standard library, batch by batch,
-into headings and text blocks in document order; cleaning, low-signal rules and ids
-are native expressions.
+into headings and text blocks in document order, cleaned and gathered into sections
+in the same pass; low-signal rules and ids are native expressions.
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -138,15 +139,55 @@ def page_blocks(html: str) -> tuple[str, str | None, list[tuple[int, str]]]:
     return title, updated, blocks
 
 
-_PAGE = "struct<title:string,updated_at:string,blocks:array<struct<level:int,text:string>>>"
+def _space_class() -> str:
+    """The class of white space in this language's spelling."""
+    return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", C.SPACE)
+
+
+_SPACE = _space_class()
+_ANCHOR, _DASHES, _RUN = re.compile(f"{_SPACE}*¶{_SPACE}*"), re.compile(f"{_SPACE}*--+{_SPACE}*\\Z"), re.compile(f"{_SPACE}+")
+_LOOSE = re.compile(r"[ \t\n\x0b\f\r]+([.,;:!?])")
+
+
+def clean_text(text: str) -> str:
+    """What functions.text.clean_html_text makes of a text."""
+    opened = _ANCHOR.sub(" ", text) if "¶" in text else text
+    cut = _DASHES.sub("", opened) if "--" in opened else opened
+    return _LOOSE.sub(r"\1", _RUN.sub(" ", cut).strip(" "))
+
+
+def page_sections(html: str) -> tuple[str, str | None, list[tuple[list[str], str]]]:
+    """Title, date of the last update and the sections of a page: (path of headings, text), one for each stretch between headings."""
+    title, updated, blocks = page_blocks(html)
+    path: list[tuple[int, str]] = []
+    texts: list[str] = []
+    out: list[tuple[list[str], str]] = []
+    for level, raw in blocks:
+        said = clean_text(raw)
+        if not said:
+            continue
+        if level:
+            out.append(([h for _, h in path], clean_text(" ".join(texts))))
+            path = [*((k, h) for k, h in path if k < level), (level, said)]
+            texts = []
+        elif not texts or texts[-1] != said:
+            texts.append(said)
+    out.append(([h for _, h in path], clean_text(" ".join(texts))))
+    return clean_text(title), updated, out
+
+
+_PAGE = "struct<title:string,updated_at:string,sections:array<struct<path:array<string>,text:string>>>"
+_SECTION = pa.struct([("path", pa.list_(pa.string())), ("text", pa.string())])
 
 
 def _parsed(pages: pa.Array) -> pa.Array:
-    out = []
+    titles, dates, found = [], [], []
     for html in pages.to_pylist():
-        title, updated, blocks = page_blocks(html or "")
-        out.append({"title": title, "updated_at": updated, "blocks": [{"level": k, "text": t} for k, t in blocks]})
-    return pa.array(out, pa.struct([("title", pa.string()), ("updated_at", pa.string()), ("blocks", pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string())])))]))
+        title, updated, sections_ = page_sections(html or "")
+        titles.append(title)
+        dates.append(updated)
+        found.append([{"path": p, "text": t} for p, t in sections_ if len(t) >= C.MIN_SECTION_CHARS])
+    return pa.StructArray.from_arrays([pa.array(titles, pa.string()), pa.array(dates, pa.string()), pa.array(found, pa.list_(_SECTION))], ["title", "updated_at", "sections"])
 
 
 def sections(pages: DataFrame) -> DataFrame:
@@ -159,25 +200,7 @@ def sections(pages: DataFrame) -> DataFrame:
     """
     parsed_page = F.arrow_udf(_parsed, _PAGE)
     parsed = pages.filter(F.col("html").isNotNull()).select("source_id", "source_url", "trust_level", "topic_tags", "document_key", parsed_page("html").alias("_p"))
-    cleaned = F.filter(F.transform("_p.blocks", lambda b: F.struct(b["level"].alias("level"), T.clean_html_text(b["text"]).alias("text"))), lambda b: b["text"] != "")
-    section = "struct<path:array<struct<level:int,text:string>>,texts:array<string>>"
-    state = f"struct<path:array<struct<level:int,text:string>>,texts:array<string>,done:array<{section}>>"
-    empty = F.struct(F.array().cast("array<struct<level:int,text:string>>").alias("path"), F.array().cast("array<string>").alias("texts"), F.array().cast(f"array<{section}>").alias("done")).cast(state)
-
-    def flushed(s):
-        return F.concat(s["done"], F.array(F.struct(s["path"].alias("path"), s["texts"].alias("texts")).cast(section)))
-
-    def add(s, b):
-        above = F.concat(F.filter(s["path"], lambda h: h["level"] < b["level"]), F.array(b))
-        heading = F.struct(above.alias("path"), F.array().cast("array<string>").alias("texts"), flushed(s).alias("done")).cast(state)
-        again = F.try_element_at(s["texts"], F.lit(-1)).eqNullSafe(b["text"])
-        text = F.struct(s["path"].alias("path"), F.when(again, s["texts"]).otherwise(F.concat(s["texts"], F.array(b["text"]))).alias("texts"), s["done"].alias("done")).cast(state)
-        return F.when(b["level"] > 0, heading).otherwise(text)
-
-    folded = parsed.withColumn("_b", cleaned).select("*", F.aggregate("_b", empty, add, flushed).alias("_s"))
-    texts = F.transform("_s", lambda s: F.struct(F.transform(s["path"], lambda h: h["text"]).alias("path"), T.clean_html_text(F.array_join(s["texts"], " ")).alias("text")))
-    long = F.filter(texts, lambda s: F.length(s["text"]) >= C.MIN_SECTION_CHARS)
-    rows = folded.withColumn("_title", T.clean_html_text(F.col("_p.title"))).select("*", F.posexplode(long).alias("_at", "_row"))
+    rows = parsed.withColumn("_title", F.col("_p.title")).select("*", F.posexplode("_p.sections").alias("_at", "_row"))
     path = F.when(F.size("_row.path") > 0, F.col("_row.path")).otherwise(F.array("_title"))
     rows = rows.withColumn("section_path", path).withColumn("text", F.col("_row.text")).filter(~quality.low_signal_section(F.col("section_path"), F.col("text")))
     key = F.when(F.col("document_key").isNotNull(), T.slugify(F.col("document_key"))).otherwise(T.url_slug(F.col("source_url")))
