@@ -53,6 +53,11 @@ _PROSE, _ENTRY, _CELLS, _JUNK, _LOOSE = 0, 1, 2, 3, 4
 _MARKED = re.compile(r"[<>{}&!]|\(\)")
 
 
+def damaged(text: str) -> bool:
+    """Whether a text has marks of a wrong encoding."""
+    return _DAMAGE.search(text) is not None
+
+
 def _cells(line: str) -> tuple[str, int] | None:
     """The separator of a line's cells and their number, if it has cells."""
     n = line.count("\t")

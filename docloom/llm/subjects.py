@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._texts import U64, Words, chunks, hash_windows, hash_words
-from .quality import forms_of, words_of
+from .quality import damaged, forms_of, words_of
 
 
 CHUNK = 1 << 17  # characters that are judged at once, so that their counts stay in the cache
@@ -63,7 +63,7 @@ class SubjectConfig:
     solving: int = 2
     prior: float = 0.1
     owed: float = 1.2
-    prose_words: float = 0.2
+    prose_words: float = 0.18
     different_words: float = 0.3
 
 
@@ -186,11 +186,10 @@ class SubjectModel:
         return out
 
     def surely_prose(self, words: Words, of: np.ndarray, texts: list[str | None]) -> np.ndarray:
-        """Texts that cannot be junk: in ASCII, full of common words and of different words.
+        """Texts that cannot be junk: undamaged, full of common words and of different words.
 
         Junk by its lines has hardly a common word in more than half of its
-        characters, junk by repetition few different words, and damage shows in
-        signs beyond ASCII.
+        characters, and junk by repetition few different words.
         """
         n = len(texts)
         text = of[words.document_of()]
@@ -200,8 +199,8 @@ class SubjectModel:
         key = np.sort((text.astype(np.uint64) << U64(44)) | (words.hashes >> U64(20)))
         new = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
         different = np.bincount((new >> U64(44)).astype(np.int64), minlength=n) / count
-        ascii_ = np.array([t is not None and t.isascii() for t in texts], dtype=bool)
-        return ascii_ & (common >= self.config.prose_words) & (different >= self.config.different_words)
+        whole = np.array([t is not None and (t.isascii() or not damaged(t)) for t in texts], dtype=bool)
+        return whole & (common >= self.config.prose_words) & (different >= self.config.different_words)
 
     def owed(self, words: Words, of: np.ndarray, n: int) -> np.ndarray:
         """What each unit owes to each subject, in terms, under the W of its text, one of n; of: the text of each unit."""
