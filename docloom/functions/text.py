@@ -219,15 +219,55 @@ def enforced_answer(answer: Column, allowed: Column) -> Column:
     return F.concat(strip_citations(answer), F.lit("\n\n["), F.array_join(enforced_citations(answer, allowed), ", "), F.lit("]"))
 
 
+_QUOTED = r"'(?:[^'\\]|\\.)*'|" + r'"(?:[^"\\]|\\.)*"'
+_ITEM = rf"(?:{_QUOTED}|[+-]?\d+(?:\.\d+)?|True|False|None)"
+_LITERAL = rf"(?s)^\[\s*(?:{_ITEM}(?:\s*,\s*{_ITEM})*\s*,?\s*)?\]$"
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def _json_list(flat: Column) -> Column:
+    """The entries of a JSON list as text, a null one as None; null for other text."""
+    items = F.when(flat.startswith("["), F.from_json(flat, "array<string>", {"allowSingleQuotes": "false"}))
+    return F.transform(items, lambda x: F.coalesce(x, F.lit("None")))
+
+
+def _literal_list(flat: Column) -> Column:
+    """The entries of a list of plain literals in Python's notation; null for other text."""
+
+    def said(item: Column) -> Column:
+        inner = F.regexp_replace(F.substring(item, F.lit(2), F.length(item) - 2), r"\\(.)", "$1")
+        return F.when(F.left(item, F.lit(1)).isin("'", '"'), inner).otherwise(item)
+
+    return F.when(flat.rlike(_LITERAL), F.transform(F.regexp_extract_all(flat, F.lit(_ITEM), F.lit(0)), said))
+
+
+def _bare_list(flat: Column) -> Column:
+    """The entries between brackets and commas, without quotation marks at their ends; null for other text."""
+    inner = F.regexp_extract(flat, r"(?s)^\[(.*)\]$", 1)
+    entries = F.filter(F.transform(F.split(inner, ",", -1), _stripped), lambda x: x != "")
+    return F.when(flat.rlike(r"(?s)^\[.*\]$"), F.transform(entries, lambda x: F.regexp_replace(x, "^['\"]+|['\"]+$", "")))
+
+
 def parse_list(text: Column) -> Column:
-    """The entries of a list written as JSON, as a Python literal or in brackets; other text is one entry, none is none."""
-    flat = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
-    json = F.from_json(flat, "array<string>")
-    inner = F.regexp_extract(flat, r"(?s)^[\[(](.*)[\])]$", 1)
-    bare = F.transform(F.split(inner, ",", -1), lambda x: F.regexp_replace(x, f"^[{SPACE[1:-1]}'\"]+|[{SPACE[1:-1]}'\"]+$", ""))
-    listed = flat.rlike(r"(?s)^[\[(].*[\])]$")
-    nothing = flat.isNull() | F.lower(flat).isin("", "nan", "none", "null")
-    return F.when(nothing, _empty()).when(listed & json.isNotNull(), F.array_compact(json)).when(listed, F.filter(bare, lambda x: x != "")).otherwise(F.array(flat))
+    """The entries of a list written as JSON, as a Python literal or bare in brackets; other text is one entry; null, blank and nan are none."""
+    flat = _stripped(text)
+    nothing = flat.isNull() | F.lower(flat).isin("", "nan")
+    return F.when(nothing, _empty()).otherwise(F.coalesce(_json_list(flat), _literal_list(flat), _bare_list(flat), F.array(flat)))
+
+
+def parse_json_list(text: Column) -> Column:
+    """The entries of a list written as JSON; other text is one entry; null, blank and nan are none."""
+    flat = _stripped(text)
+    return F.when(flat.isNull() | F.lower(flat).isin("", "nan"), _empty()).otherwise(F.coalesce(_json_list(flat), F.array(flat)))
+
+
+def parse_literal_list(text: Column) -> Column:
+    """The entries of a list written as JSON or as a Python literal; other text, nan too, is one entry; null and blank are none."""
+    flat = _stripped(text)
+    return F.when(flat.isNull() | (flat == ""), _empty()).otherwise(F.coalesce(_json_list(flat), _literal_list(flat), F.array(flat)))
 
 
 def answer_key(answer: Column) -> Column:
@@ -260,4 +300,14 @@ def chunk_id(doc_id: Column, index: Column) -> Column:
 
 
 def percent(share: Column, digits: int = 2) -> Column:
-    return F.concat(F.format_number(share * 100, digits), F.lit("%"))
+    return F.concat(F.format_string(f"%.{digits}f", share * 100), F.lit("%"))
+
+
+def fixed(number: Column, digits: int = 4) -> Column:
+    """A number with so many digits after the point, a null as nothing."""
+    return F.when(number.isNull(), F.lit("")).otherwise(F.format_string(f"%.{digits}f", number.cast("double")))
+
+
+def page_label(page: Column) -> Column:
+    """A page number as text, nothing for none."""
+    return F.coalesce(page.cast("long").cast("string"), F.lit(""))

@@ -27,6 +27,26 @@ def blueprint(topics: DataFrame) -> DataFrame:
     return slots.select(F.concat(F.lit("Q"), F.when(F.length(number) < 3, pad(number, 3)).otherwise(number)).alias("query_id"), "topic", "difficulty", F.concat("topic", F.lit("__"), pad((F.col("_s") + 1).cast("string"), 2)).alias("topic_slot"), *blanks)
 
 
+def reviewed_benchmark(bank: DataFrame, per_topic: int = len(C.DIFFICULTY_PATTERN)) -> DataFrame:
+    """The questions of a bank (topic, slot from 1, query_text, reference_answer) as a benchmark with ids, difficulties and review marks.
+
+    Every topic needs exactly the slots 1 to per_topic, else the result is an error.
+    """
+    pattern = F.array(*map(F.lit, C.DIFFICULTY_PATTERN))
+    entry = F.struct("slot", "query_text", "reference_answer")
+    topics = bank.groupBy("topic").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    whole = F.transform("_e", lambda e: e["slot"].cast("int")) == F.sequence(F.lit(1), F.lit(per_topic))
+    said = F.concat(F.lit("not the required entries in topic "), "topic")
+    checked = topics.withColumn("_e", F.when(whole, F.col("_e")).otherwise(F.raise_error(said)))
+    places = checked.agg(F.array_sort(F.collect_list(F.struct("topic", "_e"))).alias("_t")).select(F.posexplode("_t").alias("_i", "_t"))  # topics are headings that people write
+    rows = places.select("_i", "_t.topic", F.posexplode("_t._e").alias("_s", "_q"))
+    number = (F.col("_i") * per_topic + F.col("_s") + 1).cast("string")
+    return rows.select(
+        F.concat(F.lit("Q"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)).alias("query_id"), "topic", F.get(pattern, F.col("_s")).alias("difficulty"), F.concat("topic", F.lit("__"), F.lpad((F.col("_s") + 1).cast("string"), 2, "0")).alias("topic_slot"),
+        "_q.query_text", "_q.reference_answer", F.lit("reviewed_seed").alias("review_status"), F.lit("structured_seed_then_manual_refinement").alias("draft_source"), F.lit("").alias("notes"),
+    )
+
+
 def failure_template(spark, n: int = 12) -> DataFrame:
     """n blank rows for a failure analysis."""
     number = F.lpad(F.col("id").cast("string"), 2, "0")
@@ -195,7 +215,12 @@ def deep_dive(df: DataFrame, contexts: str, sources: str, slots: int = 3) -> Dat
     return df.select("*", *(slot(contexts, i).alias(f"context_{i + 1}") for i in range(slots)), *(slot(sources, i).alias(f"source_{i + 1}") for i in range(slots)))
 
 
+def order_of(column: Column, order: list[str]) -> Column:
+    """A value's place in a given order, the one after the last for unknown values."""
+    place = F.array_position(F.array(*map(F.lit, order)), column)
+    return F.when(place == 0, len(order) + 1).otherwise(place)
+
+
 def with_order(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """Rows sorted by a column's place in a given order, unknown values last."""
-    place = F.array_position(F.array(*map(F.lit, order)), F.col(column))
-    return df.orderBy(F.when(place == 0, len(order) + 1).otherwise(place), column)
+    return df.orderBy(order_of(F.col(column), order), column)

@@ -10,11 +10,14 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import text as T
+from ..sources.files import exists
 from .plan import lookup
+from .sampling import keep_first, pending
 
 
 def generation_cases(retrieved: DataFrame, variants: DataFrame) -> DataFrame:
@@ -62,6 +65,31 @@ class ModelGenerator(Generator):
         return cases.repartition("model_name", "query_id").withColumn("answer_text", answer("prompt_text"))
 
 
+def model_name(variant: Column) -> Column:
+    """The tier of a variant's model; an unknown variant is an error."""
+    tiers = F.create_map(*(x for v, _, tier in C.VARIANTS for x in (F.lit(v), F.lit(tier))))
+    return F.coalesce(F.try_element_at(tiers, variant), F.raise_error(F.concat(F.lit("unknown variant: "), F.coalesce(variant, F.lit("null")))))
+
+
+def model_id(name: Column, ids: dict[str, str], strict: bool = True) -> Column:
+    """The id under which a model is loaded; an unknown name is an error, or stands for itself if not strict."""
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in ids.items() for x in pair)), name) if ids else F.lit(None).cast("string")
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("unknown model: "), name)) if strict else name)
+
+
+def run_generation(cases: DataFrame, generator: Generator, path: str) -> DataFrame:
+    """Answers the cases that the table at path lacks, appends them there partition by partition, and returns all answers.
+
+    A run that breaks off loses only the partitions that were not written; the next
+    one takes up what is left. A case is known by query_id and variant.
+    """
+    spark = cases.sparkSession
+    keys = ["query_id", "variant"]
+    left = pending(cases, spark.read.parquet(path), keys) if exists(spark, path) else cases
+    with_citations(generator.transform(left)).write.mode("append").parquet(path)
+    return keep_first(spark.read.parquet(path), keys, ["answer_text"])
+
+
 def with_citations(answers: DataFrame) -> DataFrame:
     """Answers (answer_text, chunk_ids) with their citations repaired: answer_text, answer_text_plain, citations."""
     return answers.select(*(c for c in answers.columns if c != "answer_text"), T.enforced_answer(F.col("answer_text"), F.col("chunk_ids")).alias("answer_text"), T.strip_citations(F.col("answer_text")).alias("answer_text_plain"), T.enforced_citations(F.col("answer_text"), F.col("chunk_ids")).alias("citations"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import exists
 from .embedding import hashed_vector
 from .sampling import complete_rows, pending
 
@@ -89,9 +90,7 @@ def run_judge(cases: DataFrame, scorer: Scorer, keys: list[str], fields: list[st
     spark = cases.sparkSession
     kinds = dict(cases.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{m} double" for m in scorer.metrics), f"{error} string", "ordinal bigint"])
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    done = spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    done = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
     run = (done.agg(F.max("ordinal")).first()[0] or 0) + 1
     new = judge_pending(cases, done, scorer, keys, fields, error).withColumn("ordinal", F.lit(run).cast("long"))
     new.write.mode("append").parquet(path)

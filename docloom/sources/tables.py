@@ -57,5 +57,18 @@ def vector_table(records: DataFrame) -> DataFrame:
 
 
 def text_dump(chunks: DataFrame, path: str) -> None:
-    """All chunk texts in order of their ids, a blank line after each, one file a partition."""
-    chunks.orderBy("chunk_id").select(F.concat("text", F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+    """All chunk texts, a blank line after each, one file a partition; within a file by id.
+
+    The rows stay where they are: a dump is read as a whole, its files in any order.
+    """
+    chunks.sortWithinPartitions("chunk_id").select(F.concat("text", F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+
+
+def chunk_lookup(records: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The vectors' records with their chunk's text and place, by chunk_id; null where there is no such chunk.
+
+    What the records have themselves wins; a chunk_id that occurs again among the
+    chunks counts once.
+    """
+    extra = [c for c in chunks.columns if c not in records.columns]
+    return records.join(chunks.select("chunk_id", *extra).dropDuplicates(["chunk_id"]), "chunk_id", "left")
