@@ -296,7 +296,7 @@ def collection_name(topic: Column, snapshot: Column) -> Column:
 
 
 def chunk_id(doc_id: Column, index: Column) -> Column:
-    return F.concat(doc_id, F.lit("__chunk_"), F.lpad(index.cast("string"), 4, "0"))
+    return F.concat(doc_id, F.lit("__chunk_"), F.format_string("%04d", index.cast("long")))
 
 
 def percent(share: Column, digits: int = 2) -> Column:

@@ -9,7 +9,7 @@ re-rankings work on arrays of at most fetch_k candidates, within one row a quest
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -250,9 +250,16 @@ def cap_per_source(df: DataFrame, order: list, k: int | Column, cap: int | Colum
 _ITEM = ("chunk_id", "source_id", "section_path_text", "source_url", "word_count", "text", "embedding")
 
 
-def candidates(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """query_id, topic, similarity_score, rank and the corpus columns of the k best items of each question."""
+def candidates(queries: DataFrame, corpus: DataFrame, k: int, own: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """query_id, topic, similarity_score, rank and the corpus columns of the k best items of each question.
+
+    own: tells the one item that is the question itself and does not count.
+    """
     asked = queries.select("query_id", "topic", "query_embedding")
+    if own is not None:
+        more = top_k(asked, corpus.select(*_ITEM), k + 1).filter(~own(F.col("query_id"), F.col("chunk_id")))
+        order = Window.partitionBy("query_id").orderBy("rank")
+        return more.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "topic", "similarity_score", "rank", *_ITEM)
     return top_k(asked, corpus.select(*_ITEM), k).select("query_id", "topic", "similarity_score", "rank", *_ITEM)
 
 
@@ -298,13 +305,14 @@ def retrieve(queries: DataFrame, corpus: DataFrame, mode: RetrievalMode) -> Data
     return rerank(candidates(queries, corpus, mode.fetch_k), mode)
 
 
-def run_variants(queries: DataFrame, corpus: DataFrame, variants: DataFrame) -> DataFrame:
+def run_variants(queries: DataFrame, corpus: DataFrame, variants: DataFrame, own: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Each mode once, its rows handed to the variants that use it; queries have query_embedding and enriched_embedding.
 
-    Both vectors of every question ask in one pass over the corpus.
+    Both vectors of every question ask in one pass over the corpus. own: tells an
+    item that is the question itself, by query_id and chunk_id.
     """
     asks = [queries.select(F.concat(F.lit(f"{int(e)}:"), "query_id").alias("query_id"), "topic", F.col(c).alias("query_embedding")) for e, c in ((False, "query_embedding"), (True, "enriched_embedding"))]
-    both = candidates(asks[0].unionByName(asks[1]), corpus, max(m.fetch_k for m in MODES.values()))
+    both = candidates(asks[0].unionByName(asks[1]), corpus, max(m.fetch_k for m in MODES.values()), own and (lambda query, chunk: own(F.substring(query, 3, 1 << 30), chunk)))
     marked = both.withColumn("_enriched", F.col("query_id").startswith("1:")).withColumn("query_id", F.substring("query_id", 3, 1 << 30))
     rows = rerank(marked, *MODES.values(), enriched="_enriched")
     known = F.array(*map(F.lit, MODES))

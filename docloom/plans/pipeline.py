@@ -17,7 +17,7 @@ from ..operators.embedding import embedding_records
 from ..operators.plan import once
 from ..sources import catalog, dispatch, pages, raw
 from ..sources.tables import chunk_lookup as _chunk_lookup
-from .queries import _LAST, _SAID, _answers, _hits, _last_answers, _q, _retrieved, _slug, _words, _ws, query, table
+from .queries import _LAST, _SAID, _answers, _hits, _last_answers, _q, _retrieved, _slug, _words, _ws, html_sections, printed_pages, query, table
 
 # --- lists and formats -----------------------------------------------------------------
 
@@ -169,6 +169,30 @@ def page_titles(spark, folder):
     return table(spark, folder, "documents").select("doc_id", pages.page_title(F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("title")), F.col("source_url")).alias("title"))
 
 
+_SLUGS = "list_transform({0}, lambda x: " + _slug("x") + ")"
+query(
+    f"""with i as (select coalesce(source_id, 'unknown') as source_id, page_key, source_url, {_clean_sql("coalesce(title, 'Page')")} as title, {_ITEMS.replace("text", "coalesce(text, '')")} as l from documents),
+p as (select *, case when title = '' then 'x' else title end as named, {_clean_sql("array_to_string(list_filter(l, lambda x, i: i = 1 or x <> l[i - 1]), ' ')")} as text from i),
+k as (select *, {_slug("page_key")} as key from p where length(text) >= {C.MIN_SECTION_CHARS} and not regexp_matches(named, {_q(C.LOW_SIGNAL_HEADING)}) and not regexp_matches(text, {_q(C.LOW_SIGNAL_TEXT)}))
+select {_slug("source_id")} || '__' || key || '__' || {_slug("named")} || '__0001' as doc_id, source_id, key as page_key, named as title, [named] as section_path, text from k"""
+)(html_sections)
+
+
+_BOILER = f"""(regexp_matches(line, {_q(C.PAGE_ONLY)}) or regexp_matches(line, {_q(C.PUNCT_ONLY)}) or regexp_matches(line, {_q(C.DOT_LEADER)}) or regexp_matches(lower(line), {_q(C.REPORT_HEADER)})
+or (regexp_matches(lower(line), {_q(C.AGENCY)}) and repeats >= greatest(3, pages // 12)) or (length(line) between 1 and 14 and repeats >= greatest(3, pages // 10)) or (length(line) <= 120 and repeats >= greatest(5, pages // 8)))"""
+_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+query(
+    f"""with d as (select doc_id as page, source_id, source, text as raw from documents where source_id is not null), t as (select source_id, count(distinct page) as pages from d group by source_id),
+s as (select page, source_id, string_split(regexp_replace(raw, {_q(_BREAKS)}, chr(1), 'g'), chr(1)) as x from d where raw is not null),
+l as (select page, source_id, no, {_page_sql("replace(line, chr(0), ' ')")} as line from (select page, source_id, unnest(range(1, len(x) + 1)) as no, unnest(x) as line from s)),
+n as (select source_id, line, count(distinct page) as repeats from l where line <> '' group by all), gone as (select source_id, line from n join t using (source_id) where {_BOILER}),
+kept as (select l.* from l where line <> '' and not exists (select 1 from gone g where g.source_id = l.source_id and g.line = l.line)),
+w as (select source_id, page, list(line order by no) as l from kept group by all), j as (select *, {_page_sql("array_to_string(l, ' ')")} as t from w), m as (select *, lower(t) as w from j where length(t) >= {C.MIN_PAGE_CHARS}),
+a as (select source_id, min(source) as title from d group by source_id)
+select {_slug("m.source_id")} || '__' || {_slug("'docs_example_' || m.source_id").replace("docs_example_", "")} || '__page_' || printf('%04d', page) as doc_id, m.source_id, page::BIGINT as page_number, title, [title, 'Page ' || page] as section_path, t as text from m join a on a.source_id = m.source_id where not {_MATTER}"""
+)(printed_pages)
+
+
 # --- sources ---------------------------------------------------------------------------
 
 _LONG = " is described here at some length for readers."

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import quality
 from ..functions import text as T
+from ..functions.vectors import norm
 from ..operators import chunking, evaluation, generation, retrieval, sampling, summaries
 from ..operators.plan import once
 from ..operators.embedding import HashingEmbedder, embedding_records, embedding_summary
@@ -129,7 +130,19 @@ def source_bonus_rerank(spark, folder):
     return kept.select("query_id", "vec_id", "similarity", "rerank", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+def _mmr(ranked: str, name: str, fetch: int, weight: float) -> str:
+    """CTEs that order candidates (query_id, vec_id, sim, rank) by maximal marginal relevance: name(query_id, place, vec_id)."""
+    return f"""{name}_c as (select query_id, list(vec_id order by rank) as ids, list(sim order by rank) as sims, list(e order by rank) as es from (select r.*, embedding::DOUBLE[] as e from {ranked} r join embeddings v using (vec_id) where rank <= {fetch}) group by query_id),
+{name}_s as (select query_id, ids, sims, es, []::BIGINT[] as taken from {name}_c union all
+  select query_id, ids, sims, es, list_append(taken, list_position(v, list_max(v))::BIGINT) from (select *, list_transform(range(1, len(ids) + 1), lambda i: case when list_contains(taken, i) then -1e9 when len(taken) = 0 then sims[i] else {weight} * sims[i] - (1 - {weight}::DOUBLE) * list_max(list_transform(taken, lambda t: list_dot_product(es[i], es[t]))) end) as v from {name}_s where len(taken) < len(ids))),
+{name} as (select query_id, unnest(range(1, len(taken) + 1)) as place, unnest(list_transform(taken, lambda t: ids[t])) as vec_id, unnest(list_transform(taken, lambda t: sims[t])) as sim from {name}_s where len(taken) = len(ids))"""
+
+
+_EXACT = f"""met as (select q.vec_id as query_id, c.vec_id, c.label, {_dot('q.embedding', 'c.embedding')} as sim from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+ranked as (select *, row_number() over (partition by query_id order by round(sim, 12) desc, vec_id) as rank from met)"""
+
+
+@query(f"with recursive {_EXACT}, {_mmr('ranked', 'm', 10, 0.7)} select query_id, place::BIGINT as mmr_rank, vec_id, round(sim, 6) as similarity from m")
 def mmr_top10(spark, folder):
     """Ten candidates of each question in the order of maximal marginal relevance."""
     vectors = table(spark, folder, "embeddings")
@@ -183,31 +196,49 @@ def intent_query_text(spark, folder):
     return table(spark, folder, "evaluation_queries_blueprint").select("query_id", T.enriched_query(F.col("topic"), F.col("difficulty"), F.col("query_text")).alias("enriched"))
 
 
+_MODE_NAMES = {"baseline": "baseline_dense_top3", "improved": "improved_dense_mmr_top3", "intent_enriched": "intent_enriched_dense_mmr_top3"}
+
+
 def _hashed_corpus(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     records = embedding_records(chunking.chunk_documents(docs))
     return HashingEmbedder(64).transform(records, "retrieval_text").filter("embedding is not null")
 
 
+@query(f"""with recursive {_EXACT}, {_mmr('ranked', 'a', 10, 0.7)}, {_mmr('ranked', 'b', 12, 0.75)},
+every as (select 'baseline_dense_top3' as mode, query_id, vec_id, sim, rank as place, 3 as cap from ranked where rank <= 3 union all select 'improved_dense_mmr_top3', query_id, vec_id, sim, place, 2 from a union all select 'intent_enriched_dense_mmr_top3', query_id, vec_id, sim, place, 3 from b),
+placed as (select e.*, v.label, row_number() over (partition by mode, query_id order by round(sim, 12) desc, place) as p from every e join embeddings v using (vec_id)),
+capped as (select *, (row_number() over (partition by mode, query_id, label order by p) > cap)::INT as over from placed),
+final as (select *, row_number() over (partition by mode, query_id order by over, p) as rank from capped)
+select v as variant, mode as retrieval_mode, query_id::VARCHAR as query_id, rank, vec_id::VARCHAR as chunk_id, label::VARCHAR as source_id, round(sim, 6) as similarity_score, round(sim, 6) as rerank_score from final join (values ('V1', 'baseline_dense_top3'), ('V2', 'improved_dense_mmr_top3'), ('V3', 'intent_enriched_dense_mmr_top3'), ('V4', 'baseline_dense_top3'), ('V5', 'improved_dense_mmr_top3'), ('V6', 'intent_enriched_dense_mmr_top3')) x(v, m) on mode = m where rank <= 3""")
+def retrieval_modes(spark, folder):
+    """All modes and variants over the stored vectors; each question's own vector is left out of its corpus by a corpus of the others."""
+    vectors = table(spark, folder, "embeddings")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.lit("none").alias("topic"), F.lit("basic").alias("difficulty"), F.lit("x").alias("query_text"), F.col("embedding").alias("query_embedding"), F.col("embedding").alias("enriched_embedding"))
+    nothing = F.lit("").alias
+    corpus = vectors.select(F.format_string("%012d", F.col("vec_id")).alias("chunk_id"), F.col("label").cast("string").alias("source_id"), nothing("section_path_text"), nothing("source_url"), F.lit(1).alias("word_count"), nothing("text"), "embedding")
+    variants = spark.createDataFrame([(v, _MODE_NAMES[m], tier) for v, m, tier in C.VARIANTS], "variant string, retrieval_mode string, model_name string")
+    found = retrieval.run_variants(asked, corpus, variants, own=lambda query, chunk: query.cast("long") == chunk.cast("long"))
+    return found.select("variant", "retrieval_mode", "query_id", F.col("rank").cast("long").alias("rank"), F.col("chunk_id").cast("long").cast("string").alias("chunk_id"), "source_id", *(F.round(c, 6).alias(c) for c in ("similarity_score", "rerank_score")))
+
+
 @query()
 def retrieval_variants(spark, folder):
     """All modes and variants, end to end: chunks of all documents, hashed vectors, every question whose number is divisible by 20."""
     asked = table(spark, folder, "evaluation_queries_blueprint").filter("cast(substring(query_id, 2) as int) % 20 = 0")
     embedder = HashingEmbedder(64)
     asked = asked.withColumn("query_embedding", embedder.column(F.col("query_text"))).withColumn("enriched_embedding", embedder.column(T.enriched_query(F.col("topic"), F.col("difficulty"), F.col("query_text"))))
-    modes = {"baseline": "baseline_dense_top3", "improved": "improved_dense_mmr_top3", "intent_enriched": "intent_enriched_dense_mmr_top3"}
-    variants = spark.createDataFrame([(v, modes[m], tier) for v, m, tier in C.VARIANTS], "variant string, retrieval_mode string, model_name string")
+    variants = spark.createDataFrame([(v, _MODE_NAMES[m], tier) for v, m, tier in C.VARIANTS], "variant string, retrieval_mode string, model_name string")
     found = retrieval.run_variants(asked, _hashed_corpus(spark, folder), variants)
     return found.select("query_id", "variant", "retrieval_mode", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("similarity_score", 6).alias("similarity_score"), F.round("rerank_score", 6).alias("rerank_score"))
 
 
-@query()
 def vector_store(spark, folder):
-    """The vector table of all chunks."""
-    return vector_table(_hashed_corpus(spark, folder))
+    """The vector table of all chunks; every vector has length one."""
+    rows = vector_table(_hashed_corpus(spark, folder))
+    return rows.select("chunk_id", "doc_id", "source_id", "page_key", "title", "section_path_text", "page_number", "chunk_index", "word_count", "document", F.size("embedding").alias("dimension"), F.round(norm(F.col("embedding")), 4).alias("length"))
 
 
-@query()
 def embedding_run(spark, folder):
     """One row that describes the embedding of the corpus."""
     return embedding_summary(_hashed_corpus(spark, folder), "hashing-64", 32)
@@ -312,9 +343,7 @@ def semantic_units(spark, folder):
     return rows.select("doc_id", "no", "_u.text", F.col("_u.words").cast("long").alias("words"), "_u.strategy")
 
 
-@query(
-    f"""with recursive {_UNITS},
-pack as (
+_PACK = """pack as (
   select doc_id, 1 as no, words, 1 as chunk from units where no = 1
   union all
   select p.doc_id, p.no + 1, case when j then p.words + u.words else u.words end, case when j then p.chunk else p.chunk + 1 end
@@ -323,7 +352,12 @@ pack as (
 ),
 pg as (select p.doc_id, p.chunk, min(p.no) - 1 as first, max(p.no) as "end", sum(u.words) as words from pack p join units u on u.doc_id = p.doc_id and u.no = p.no group by p.doc_id, p.chunk),
 m as (select *, max(chunk) over (partition by doc_id) as last from pg),
-r as (select *, case when chunk = last and chunk > 1 and words < 40 then chunk - 1 else chunk end as own from m)
+r as (select *, case when chunk = last and chunk > 1 and words < 40 then chunk - 1 else chunk end as own from m)"""
+
+
+@query(
+    f"""with recursive {_UNITS},
+{_PACK}
 select doc_id, own as no, min(first)::BIGINT as first, max("end")::BIGINT as "end", sum(words)::BIGINT as words from r group by doc_id, own"""
 )
 def semantic_chunks(spark, folder):
@@ -332,12 +366,6 @@ def semantic_chunks(spark, folder):
     return rows.select("doc_id", F.col("no").cast("int").alias("no"), *(F.col(f"_g.{c}").cast("long").alias(c) for c in ("first", "end", "words")))
 
 
-@query()
-def document_chunks(spark, folder):
-    """The chunk records of all documents."""
-    return chunking.chunk_documents(table(spark, folder, "documents"))
-
-
 _SAID = f"list_filter(list_transform(coalesce(section_path, []), lambda p: {_ws('p')}), lambda p: p <> '')"
 _FIRST = f"list_filter({_SAID}, lambda p, i: list_position(list_transform({_SAID}, lambda q: lower(q)), lower(p)) = i)"
 _PREFIX = f"(case when len({_FIRST}) > 0 then 'Section: ' || array_to_string({_FIRST}[greatest(len({_FIRST}) - 1, 1):], ' > ') || '. ' else '' end)"
@@ -375,6 +403,31 @@ def _hits(x: str, pattern: str) -> str:
 _HEAVY = f"({_hits('flat', C.URL)} >= 2 and ({_hits('flat', C.URL)} >= 5 or {_words('flat')} <= 80))"
 _INDEX = f"({_hits('flat', C.PAGE_REFERENCE)} >= 8 and (contains(lower(flat), 'index') or contains(lower(flat), 'see also')))"
 _LOW = f"(({_words('flat')} <= 15 and regexp_matches(flat, {_q(C.REPORT_HEADER)})) or {_HEAVY} or {_INDEX} or regexp_matches(lower(flat), {_q(C.BACK_MATTER)}))"
+# the chunk records: documents of low signal go first, then units are packed, enriched and judged
+_CHUNKS = f"""
+docs as (select doc_id, section_path, title, source_id, page_key, page_number, {_ws('text')} as flat from documents where text is not null),
+keep as (select * from docs where flat <> '' and not regexp_matches(coalesce(array_to_string(section_path, ' > '), ''), {_q(C.LOW_SIGNAL_SECTION)}) and not {_LOW}),
+{_UNITS},
+{_PACK},
+body as (select r.doc_id, own as no, min(first) as first, max("end") as "end" from r join keep k on r.doc_id = k.doc_id group by r.doc_id, own),
+said as (select b.doc_id, b.no, b.first, b."end", string_agg(u.text, ' ' order by u.no) as plain, list_sort(list_distinct(list(u.strategy))) as strategies, count(*) as units from body b join units u on u.doc_id = b.doc_id and u.no > b.first and u.no <= b."end" group by all),
+rich as (select s.*, k.section_path, k.title, k.source_id, k.page_key, k.page_number, k.flat as whole, {_PREFIX} as prefix from said s join keep k on s.doc_id = k.doc_id),
+texts as (select *, case when {_words('plain')} >= 45 or prefix = '' or starts_with(lower(plain), trim(replace(lower(prefix), 'section: ', ''))) then plain else prefix || plain end as flat from rich),
+chunks as (select *, doc_id || '__chunk_' || printf('%04d', no) as chunk_id from texts where not {_LOW})
+"""
+
+
+
+
+@query(
+    f"""with recursive {_CHUNKS} select chunk_id, doc_id, no::BIGINT as chunk_index, first::BIGINT as chunk_unit_start, "end"::BIGINT as chunk_unit_end, units as sentence_count, strategies as chunk_strategies, ({_words('whole')})::BIGINT as source_doc_word_count, ({_words('flat')})::BIGINT as word_count, length(flat) as char_count, flat as text from chunks"""
+)
+def document_chunks(spark, folder):
+    """The chunk records of all documents."""
+    rows = chunking.chunk_documents(table(spark, folder, "documents"))
+    return rows.select("chunk_id", "doc_id", "chunk_index", "chunk_unit_start", "chunk_unit_end", "sentence_count", "chunk_strategies", "source_doc_word_count", "word_count", F.col("char_count"), "text")
+
+
 _FLAT = f"with f as (select *, {_ws('text')} as flat from documents where text is not null)"
 
 
@@ -415,20 +468,20 @@ def boilerplate_lines(spark, folder):
     return counted.filter(quality.boilerplate_line(F.col("line"), F.col("repeats"), F.col("_pages"))).select("document", "line", "repeats")
 
 
-@query()
 def printed_pages(spark, folder):
     """Documents of printed pages, from the text of all documents of a source as its pages."""
     docs = table(spark, folder, "documents").filter("source_id is not null")
-    return pages.page_documents(docs.select(F.col("source_id").alias("document"), F.col("source").alias("title"), "source_id", F.concat(F.lit("https://docs.example/"), "source_id").alias("source_url"), "trust_level", F.array().cast("array<string>").alias("topic_tags"), F.lit(None).cast("string").alias("document_key"), F.col("doc_id").alias("page_number"), F.col("text").alias("raw_text")))
+    rows = pages.page_documents(docs.select(F.col("source_id").alias("document"), F.col("source").alias("title"), "source_id", F.concat(F.lit("https://docs.example/"), "source_id").alias("source_url"), "trust_level", F.array().cast("array<string>").alias("topic_tags"), F.lit(None).cast("string").alias("document_key"), F.col("doc_id").alias("page_number"), F.col("text").alias("raw_text")))
+    return rows.select("doc_id", "source_id", "page_number", "title", "section_path", "text")
 
 
-@query()
 def html_sections(spark, folder):
     """Sections of pages made of all documents: a heading and a paragraph for each line."""
     escaped = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     page = F.concat(F.lit("<html><head><title>x</title></head><body><nav>menu</nav><main><h1>"), F.coalesce("title", F.lit("Page")), F.lit("</h1><p>"), F.replace(escaped, F.lit("\n"), F.lit("</p><p>")), F.lit("</p></main></body></html>"))
     docs = table(spark, folder, "documents")
-    return html.sections(docs.select(F.coalesce("source_id", F.lit("unknown")).alias("source_id"), "source_url", "trust_level", F.array().cast("array<string>").alias("topic_tags"), F.col("page_key").alias("document_key"), page.alias("html")))
+    rows = html.sections(docs.select(F.coalesce("source_id", F.lit("unknown")).alias("source_id"), "source_url", "trust_level", F.array().cast("array<string>").alias("topic_tags"), F.col("page_key").alias("document_key"), page.alias("html")))
+    return rows.select("doc_id", "source_id", "page_key", "title", "section_path", "text")
 
 
 @query(
@@ -442,6 +495,13 @@ def feed_items(spark, folder):
     return feed.feed_items(rows).select("doc_id", "external_id", "text")
 
 
+_VECTORS = f"""with recursive {_CHUNKS}, v as (select *, coalesce(array_to_string({_SAID}, ' > '), '') as section_path_text from chunks),
+n as (select *, concat_ws(' ', {_ws('title')}, section_path_text, flat) as embedded from v)"""
+query(
+    f"""{_VECTORS} select chunk_id, doc_id::VARCHAR as doc_id, coalesce(source_id, '') as source_id, coalesce(page_key, '') as page_key, coalesce(title, '') as title, section_path_text, page_number, no::BIGINT as chunk_index, ({_words('flat')})::BIGINT as word_count, flat as document, 64 as dimension, 1.0::DOUBLE as length from n"""
+)(vector_store)
+query(f"{_VECTORS} select 'hashing-64' as model_name, 32::BIGINT as batch_size, count(*) as num_vectors, 64::BIGINT as vector_dim from n")(embedding_run)
+
 # --- answers ---------------------------------------------------------------------------
 
 
@@ -544,7 +604,10 @@ def generation_prompts(spark, folder):
     return cases.select("query_id", "variant", "chunk_ids", "prompt_text")
 
 
-@query()
+@query(
+    f"""with {_RETRIEVED}, g as (select r.query_id, r.variant, list(chunk_id order by rank) as ids from r join evaluation_queries_blueprint q on r.query_id = q.query_id group by all), m(variant, model_name) as (values {", ".join(f"({_q(v)}, {_q(t)})" for v, _, t in C.VARIANTS)})
+select query_id, g.variant, model_name, array_to_string(ids[1:2], ' ') || chr(10) || chr(10) || '[' || array_to_string(ids, ', ') || ']' as answer_text, array_to_string(ids[1:2], ' ') as answer_text_plain, ids as citations from g join m on g.variant = m.variant"""
+)
 def generated_answers(spark, folder):
     """Extractive answers to all prompts, with repaired citations."""
     questions = table(spark, folder, "evaluation_queries_blueprint").select("query_id", "query_text", "topic", "difficulty")
@@ -554,7 +617,14 @@ def generated_answers(spark, folder):
     return made.select("query_id", "variant", "model_name", "answer_text", "answer_text_plain", "citations")
 
 
-@query()
+_TOKEN_SQL = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query(
+    f"""with {_LAST}, t as (select a.query_id, a.variant, {_TOKEN_SQL.format(_ws("regexp_replace(coalesce(answer_text_plain, ''), '" + chr(92) + "[[^" + chr(92) + "]]+" + chr(92) + "]', '', 'g')"))} as a, {_TOKEN_SQL.format(_ws("regexp_replace(coalesce(reference_answer, ''), '" + chr(92) + "[[^" + chr(92) + "]]+" + chr(92) + "]', '', 'g')"))} as r from a join evaluation_queries_blueprint q on a.query_id = q.query_id),
+s as (select query_id, variant, case when len(a) = 0 then 0.0 else len(list_filter(a, lambda w: list_contains(r, w))) / len(a) end as p, case when len(r) = 0 then 0.0 else len(list_filter(r, lambda w: list_contains(a, w))) / len(r) end as c from t)
+select query_id, variant, round(p, 6) as bertscore_p, round(c, 6) as bertscore_r, round(case when p + c = 0 then 0.0 else 2 * p * c / (p + c) end, 6) as bertscore_f1 from s"""
+)
 def token_match_scores(spark, folder):
     """Precision, recall and F1 of all answers against the references by matching words."""
     cases = _last_answers(spark, folder).join(table(spark, folder, "evaluation_queries_blueprint").select("query_id", "reference_answer"), "query_id")

@@ -204,7 +204,7 @@ def sections(pages: DataFrame) -> DataFrame:
     path = F.when(F.size("_row.path") > 0, F.col("_row.path")).otherwise(F.array("_title"))
     rows = rows.withColumn("section_path", path).withColumn("text", F.col("_row.text")).filter(~quality.low_signal_section(F.col("section_path"), F.col("text")))
     key = F.when(F.col("document_key").isNotNull(), T.slugify(F.col("document_key"))).otherwise(T.url_slug(F.col("source_url")))
-    number = F.lpad((F.col("_at") + 1).cast("string"), 4, "0")
+    number = F.format_string("%04d", F.col("_at") + 1)
     name = F.concat_ws("__", T.slugify(F.col("source_id")), "page_key", F.array_join(F.transform("section_path", T.slugify), "__"), number)
     nothing = F.lit(None).cast("string")
     return rows.withColumn("page_key", key).select(

@@ -53,12 +53,13 @@ def page_documents(pages: DataFrame, min_chars: int = C.MIN_PAGE_CHARS) -> DataF
     texts = once(whole, text=T.clean_page_text(F.array_join("_lines", " "))).filter(F.length("text") >= min_chars)
     judged = once(texts, _matter=F.coalesce(quality.front_or_back_matter(F.col("page_number"), F.col("_lines"), F.col("text")), F.lit(False)))
     texts = judged.filter(~F.col("_matter")).drop("_matter")
-    about = pages.select("document", "title", "source_id", "source_url", "trust_level", "topic_tags", "document_key").dropDuplicates(["document"])
+    # a document has one set of fields; if its pages say different things, the smallest
+    about = pages.groupBy("document").agg(F.min(F.struct("title", "source_id", "source_url", "trust_level", "topic_tags", "document_key")).alias("_a")).select("document", "_a.*")
     rows = lookup(texts, about, ["document"], "page_number")
     key = F.when(F.col("document_key").isNotNull(), T.slugify(F.col("document_key"))).otherwise(T.url_slug(F.col("source_url")))
     nothing = F.lit(None).cast("string")
     page = F.col("page_number").cast("string")
     return rows.withColumn("page_key", key).select(
-        F.concat(T.slugify(F.col("source_id")), F.lit("__"), "page_key", F.lit("__page_"), F.lpad(page, 4, "0")).alias("doc_id"), nothing.alias("snapshot_id"), "source_id", "page_key", F.lit("pdf_page").alias("doc_kind"), nothing.alias("external_id"),
+        F.concat(T.slugify(F.col("source_id")), F.lit("__"), "page_key", F.lit("__page_"), F.format_string("%04d", F.col("page_number").cast("long"))).alias("doc_id"), nothing.alias("snapshot_id"), "source_id", "page_key", F.lit("pdf_page").alias("doc_kind"), nothing.alias("external_id"),
         "title", F.array(F.col("title"), F.concat(F.lit("Page "), page)).alias("section_path"), "source_url", nothing.alias("published_at"), nothing.alias("updated_at"), F.col("page_number").cast("long").alias("page_number"), "trust_level", "topic_tags", "text",
     )

@@ -51,7 +51,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def vector_table(records: DataFrame) -> DataFrame:
     """What a vector store keeps of each record: flat fields, nulls made empty, the page number as it is."""
-    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("doc_id", "source_id", "page_key", "title", "section_path_text", "source_url", "trust_level", "topic_tags_text")]
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("doc_id", "source_id", "page_key", "title", "section_path_text", "source_url", "trust_level", "topic_tags_text")]
     numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chunk_index", "word_count", "char_count")]
     return records.select("chunk_id", *text, *numbers, "page_number", F.col("text").alias("document"), "embedding")
 
