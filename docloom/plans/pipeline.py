@@ -189,7 +189,7 @@ n as (select source_id, line, count(distinct page) as repeats from l where line
 kept as (select l.* from l where line <> '' and not exists (select 1 from gone g where g.source_id = l.source_id and g.line = l.line)),
 w as (select source_id, page, list(line order by no) as l from kept group by all), j as (select *, {_page_sql("array_to_string(l, ' ')")} as t from w), m as (select *, lower(t) as w from j where length(t) >= {C.MIN_PAGE_CHARS}),
 a as (select source_id, min(source) as title from d group by source_id)
-select {_slug("m.source_id")} || '__' || {_slug("'docs_example_' || m.source_id").replace("docs_example_", "")} || '__page_' || printf('%04d', page) as doc_id, m.source_id, page::BIGINT as page_number, title, [title, 'Page ' || page] as section_path, t as text from m join a on a.source_id = m.source_id where not {_MATTER}"""
+select {_slug("m.source_id")} || '__' || {_slug("m.source_id")} || '__page_' || printf('%04d', page) as doc_id, m.source_id, page::BIGINT as page_number, title, [title, 'Page ' || page] as section_path, t as text from m join a on a.source_id = m.source_id where not {_MATTER}"""
 )(printed_pages)
 
 
