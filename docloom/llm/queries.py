@@ -97,12 +97,12 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 most similar vectors of each vector, from cosine 0.85 on."""
-    return vectors.nearest(_vectors(spark, folder))
+    return vectors.nearest(_vectors(spark, folder)).select("vec_id", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """vec_a, vec_b of the pairs in which either is among the other's 5 most similar."""
-    return vectors.mutual_pairs(p6_neighbours(spark, folder)).select("vec_a", "vec_b")
+    return vectors.mutual_pairs(vectors.nearest(_vectors(spark, folder))).select("vec_a", "vec_b")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
