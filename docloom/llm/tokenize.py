@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +121,20 @@ def encoder(path: str) -> BytePairEncoder:
     return BytePairEncoder(path)
 
 
+def _ship(df: DataFrame, vocabulary: str) -> str:
+    """Sends the vocabulary's file to the executors, which need not have it; its name there."""
+    context = df.sparkSession.sparkContext
+    if os.path.exists(vocabulary):
+        context.addFile(vocabulary)
+    return os.path.basename(vocabulary)
+
+
+def _held(name: str, vocabulary: str) -> BytePairEncoder:
+    """The encoder of a shipped file, or of the path itself where that is on every machine."""
+    shipped = SparkFiles.get(name)
+    return encoder(shipped if os.path.exists(shipped) else vocabulary)
+
+
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """id_col and ``ids`` (array of int) of every row.
 
@@ -126,10 +142,11 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stand. Strings that look like special tokens are ordinary text. A row that
     occurs twice comes out twice. Texts of any length are encoded whole.
     """
+    name = _ship(df, vocabulary)
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        e = encoder(vocabulary)
+        e = _held(name, vocabulary)
         values: list[int] = []
         ends = [0]
         for t in texts.to_pylist():
@@ -142,10 +159,11 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """id_col and ``text`` of every row of ids; null and empty lists give an empty text."""
+    name = _ship(df, vocabulary)
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        e = encoder(vocabulary)
+        e = _held(name, vocabulary)
         return pa.array([e.decode(x or []) for x in ids.to_pylist()], pa.string())
 
     return df.select(F.col(id_col), F.col(ids_col).alias("_ids")).select(F.col(id_col), text("_ids").alias("text"))

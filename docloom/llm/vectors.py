@@ -13,6 +13,7 @@ be among anyone's nearest, and the others' nearest are those.
 
 from __future__ import annotations
 
+import math
 import pickle
 from dataclasses import dataclass
 
@@ -24,14 +25,19 @@ from pyspark.sql import functions as F
 from ._plan import broadcast_if_small, cut
 
 
+MOST = 256  # parts of a level
+
+
 @dataclass(frozen=True)
 class NeighbourConfig:
     """k nearest by cosine, of least_cosine at least.
 
     sample: vectors of a dimension that a partition is learned on, at most;
-    per_part: vectors that a part should hold, which sets the number of parts;
-    fan: parts that one classifier tells apart, at most; with more parts than that
-    they are cut in a second level, of fan times fan. probes: parts searched for
+    per_part: vectors that a part should hold, which sets the number of parts; fan:
+    of parts up to which one classifier tells them all apart. With more there are
+    two levels, the first of the root of their number, MOST parts each at most (so
+    parts grow beyond their size only from MOST * MOST * per_part vectors of a
+    dimension on, and are worked through in blocks then). probes: parts searched for
     each vector, at most (twice as many with two levels), of those that have the
     share ``ratio`` at least of the best one's probability. block: vectors of one
     side that a task compares at once.
@@ -41,7 +47,7 @@ class NeighbourConfig:
     least_cosine: float = 0.85
     sample: int = 8192
     per_part: int = 2000
-    fan: int = 256
+    fan: int = 64
     probes: int = 8
     ratio: float = 0.15
     graph: int = 10
@@ -139,8 +145,8 @@ class Router:
 class Partition:
     """Routers of one dimension: the first level's, and those of its parts that are cut again."""
 
-    def __init__(self, first: Router | None, fan: int, second: dict[int, Router] | None = None):
-        self.first, self.fan, self.second = first, fan, second or {}
+    def __init__(self, first: Router | None, second: dict[int, Router] | None = None):
+        self.first, self.second = first, second or {}
 
     def top(self, x: np.ndarray) -> np.ndarray:
         """The most probable part of each vector on the first level."""
@@ -162,13 +168,13 @@ class Partition:
             row, col = np.nonzero(near == part)
             router = self.second.get(int(part))
             if router is None:
-                inner[row, col, 0], names[row, col, 0] = p[row, part], part * self.fan
+                inner[row, col, 0], names[row, col, 0] = p[row, part], part * MOST
                 continue
             q = router.probable(x[row])
             best = np.argsort(-q, axis=1, kind="stable")[:, : 2 * config.probes]
             wide = best.shape[1]
             inner[row, col, :wide] = np.take_along_axis(q, best, axis=1) * p[row, part][:, None]
-            names[row, col, :wide] = part * self.fan + best
+            names[row, col, :wide] = part * MOST + best
         filed = names[:, 0, 0]
         flat, leaf = inner.reshape(n, -1), names.reshape(n, -1)
         order = np.argsort(-flat, axis=1, kind="stable")[:, : 2 * config.probes]
@@ -267,10 +273,11 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
 def _filed(units: DataFrame, sizes: dict[int, int], config: NeighbourConfig) -> DataFrame:
     """units with _parts, the parts that each is searched in, first the one it is filed under."""
-    first = {d: Partition(_router(units.filter(F.col("_dim") == d), n, config), config.fan) for d, n in sizes.items()}
-    if any(n / config.per_part > config.fan for n in sizes.values()):
-        second = _second_level(units, first, config)
-        first = {d: Partition(p.first, config.fan, second.get(d)) for d, p in first.items()}
+    first = {d: Partition(_router(units.filter(F.col("_dim") == d), n, config)) for d, n in sizes.items()}
+    deep = [d for d, n in sizes.items() if round(n / config.per_part) > config.fan]
+    if deep:
+        second = _second_level(units.filter(F.col("_dim").isin(deep)), first, config)
+        first = {d: Partition(p.first, second.get(d)) for d, p in first.items()}
     held = units.sparkSession.sparkContext.broadcast(first)
 
     @F.arrow_udf("array<int>")
@@ -287,9 +294,15 @@ def _filed(units: DataFrame, sizes: dict[int, int], config: NeighbourConfig) ->
     return cut(units.withColumn("_parts", route("_vector", "_dim")))
 
 
+def first_parts(n: int, config: NeighbourConfig) -> int:
+    """Parts of the first level for so many vectors."""
+    parts = max(1, round(n / config.per_part))
+    return min(parts if parts <= config.fan else math.ceil(math.sqrt(parts)), MOST, config.sample // 32)
+
+
 def _router(vectors: DataFrame, n: int, config: NeighbourConfig) -> Router | None:
     """The router of one dimension, learned on its sample: the vectors with the smallest hashes of their ids."""
-    parts = min(max(1, round(n / config.per_part)), config.fan, config.sample // 32)
+    parts = first_parts(n, config)
     if parts < 2:
         return None
     share = min(1.0, 1.5 * config.sample / n)
@@ -302,7 +315,7 @@ def _router(vectors: DataFrame, n: int, config: NeighbourConfig) -> Router | Non
 def _second_level(units: DataFrame, first: dict[int, Partition], config: NeighbourConfig) -> dict[int, dict[int, Router]]:
     """Routers of the parts that hold more than two parts' worth, each learned by a task on the part's sample.
 
-    fan of them a dimension at most come to the driver.
+    MOST of them a dimension at most come to the driver.
     """
     held = units.sparkSession.sparkContext.broadcast(first)
 
@@ -322,7 +335,7 @@ def _second_level(units: DataFrame, first: dict[int, Partition], config: Neighbo
     def train(key: tuple, rows: pa.Table) -> pa.Table:
         dim, size = key[0].as_py(), rows.column("_size")[0].as_py()
         x = _unit(rows.sort_by("_id").column("_vector").combine_chunks(), dim).astype(np.float32)
-        router = learn(x, min(round(size / config.per_part), config.fan, len(x) // 32), config)
+        router = learn(x, min(round(size / config.per_part), MOST, len(x) // 32), config)
         return pa.table({"_dim": pa.array([dim], pa.int64()), "_part": pa.array([key[1].as_py()], pa.int32()), "_router": pa.array([pickle.dumps(router)], pa.binary())})
 
     out: dict[int, dict[int, Router]] = {}
