@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,4 +26,5 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             z.write(path, os.path.join(root.name, path.relative_to(root)))
     context.addPyFile(str(archive))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from here while the driver lives
     _shipped.add(context.applicationId)

@@ -19,10 +19,14 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return reader.option("multiLine", "true").json(path)
 
 
+#: White space belongs to the values, and quotation marks in them are doubled.
+_CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A table with a header whose values may span lines."""
     reader = spark.read.schema(schema) if schema else spark.read.option("inferSchema", "true")
-    return reader.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    return reader.options(**_CSV, multiLine="true").csv(path)
 
 
 def read_chunks(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -46,7 +50,7 @@ def write_snapshot(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A table with a header; lists become JSON."""
     flat = [F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in df.dtypes]
-    df.select(*flat).write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+    df.select(*flat).write.mode(mode).options(**_CSV).csv(path)
 
 
 def vector_table(records: DataFrame) -> DataFrame:
