@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -196,8 +196,9 @@ def duplicate_rate(summary: DataFrame) -> DataFrame:
 
 def win_counts(df: DataFrame, case: str, system: str, score: str) -> DataFrame:
     """How often each system has a case's highest score; ties win all, systems without a win have 0."""
-    best = Window.partitionBy(case)
-    wins = df.filter(F.col(score).isNotNull()).withColumn("_best", F.max(score).over(best)).filter(F.col(score) == F.col("_best")).groupBy(system).agg(F.count(F.lit(1)).alias("win_count"))
+    best = df.filter(F.col(score).isNotNull()).groupBy(case).agg(F.max(score).alias("_best"))
+    won = df.join(best, case).filter(F.col(score) == F.col("_best"))
+    wins = won.groupBy(system).agg(F.count(F.lit(1)).alias("win_count"))
     return df.select(system).distinct().join(wins, system, "left").select(system, F.coalesce("win_count", F.lit(0)).alias("win_count"))
 
 

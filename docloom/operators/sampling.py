@@ -20,9 +20,13 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def _keep(df: DataFrame, keys: list[str], order: list, reverse: bool) -> DataFrame:
+    """By an aggregate instead of a window: rows are thinned before the shuffle, and a frequent key fills no task."""
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
-    window = Window.partitionBy(*keys).orderBy(*((c.desc() if reverse else c.asc()) for c in columns))
-    return df.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
+    place = F.struct(*(c.alias(f"_o{i}") for i, c in enumerate(columns)))
+    rest = [c for c in df.columns if c not in keys]
+    picked = (F.max_by if reverse else F.min_by)(F.struct(*(F.col(c) for c in rest)) if rest else F.lit(1), place)
+    kept = df.groupBy(*keys).agg(picked.alias("_row"))
+    return kept.select(*(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns))
 
 
 def shuffle_key(seed: int, *keys: str) -> Column:
