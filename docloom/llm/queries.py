@@ -50,6 +50,12 @@ def p3_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.describe(table(spark, folder, "documents"), table(spark, folder, "common_words"))
 
 
+def p3_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of words and repetition of every document, of those that SQL can tell too."""
+    told = p3_statistics(spark, folder).filter("words is not null")
+    return told.select("doc_id", "words", *(F.round(c, 6).alias(c) for c in ("mean_word_length", "repeated_line_share")))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, line_no of each line that recurs within its source."""
     return repeated.repeated_lines(table(spark, folder, "documents"))
@@ -136,5 +142,5 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_statistics, p4_found, p4_cleaned, p5_found, p5_ranking, p6_found, p6_neighbours, p7_found, p8_ids, p9_found, p9_near, p10_found, p10_composition)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_statistics, p3_repetition, p4_found, p4_cleaned, p5_found, p5_ranking, p6_found, p6_neighbours, p7_found, p8_ids, p9_found, p9_near, p10_found, p10_composition)
 }

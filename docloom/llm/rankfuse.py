@@ -20,13 +20,13 @@ def _ranks(scores: DataFrame) -> DataFrame:
     """
     values = scores.groupBy("_name", "_value").agg(F.count(F.lit(1)).alias("_n"))
     bounds = values.groupBy("_name").agg(F.percentile_approx("_value", [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("_bounds"))
-    values = values.join(bounds, "_name").withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_value")))).drop("_bounds")
+    values = values.join(F.broadcast(bounds), "_name").withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_value")))).drop("_bounds")
     sums = values.groupBy("_name", "_bucket").agg(F.sum("_n").alias("_in"))  # at most BUCKETS rows a score
     above = Window.partitionBy("_name").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_higher", F.coalesce(F.sum("_in").over(above), F.lit(0))).drop("_in")
     within = Window.partitionBy("_name", "_bucket").orderBy(F.desc("_value")).rowsBetween(Window.unboundedPreceding, -1)
     better = F.col("_higher") + F.coalesce(F.sum("_n").over(within), F.lit(0))
-    return values.join(sums, ["_name", "_bucket"]).select("_name", "_value", (better + (F.col("_n") + 1) / 2).alias("_rank"))
+    return values.join(F.broadcast(sums), ["_name", "_bucket"]).select("_name", "_value", (better + (F.col("_n") + 1) / 2).alias("_rank"))
 
 
 def borda_ranking(df: DataFrame, id_col: str, weights: dict[str, float]) -> DataFrame:

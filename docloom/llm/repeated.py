@@ -59,7 +59,7 @@ def frequent_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     totals = present.groupBy(F.col(source_col).alias("_source")).agg(F.count_distinct(F.col(page_col)).alias("_pages"))
     seen = _lines(df, id_col, text_col, source_col, page_col, config).groupBy("_source", "_h", "_g").agg(F.count_distinct("_page").alias("_n"))
     seen = seen.filter(F.col("_n") >= config.min_pages)
-    return seen.join(totals, "_source").filter(F.col("_n") * config.pages_per_hit >= F.col("_pages")).select("_h", "_g")
+    return join_small(seen, cut(totals), ["_source"], BROADCAST_ROWS, F.col("_h")).filter(F.col("_n") * config.pages_per_hit >= F.col("_pages")).select("_h", "_g")
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source_id", page_col: str = "page_key", config: RepeatConfig = RepeatConfig()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 _WORDS = r"regexp_extract_all(lower(text), '[a-z0-9]+')"
+_SPACES = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _RUNS = r"len(regexp_extract_all({0}, '[^ \t\r\n]+'))"
 
 
@@ -35,6 +36,11 @@ l as (select a, b from m join n x on x.doc_id = a join n y on y.doc_id = b where
 r as (select doc_id, doc_id as root from documents union select l.b, r.root from r join l on l.a = r.doc_id),
 c as (select doc_id, min(root) as class_id from r group by doc_id)
 select c.doc_id, class_id, (select count(*) from l where l.a = c.doc_id) as links from c""",
+    "p3_repetition": rf"""
+with w as (select doc_id, text, {_WORDS} as w from documents where text is not null),
+l as (select doc_id, w, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{_SPACES}+|{_SPACES}+$', '', 'g')), lambda x: x <> '') as l from w)
+select doc_id, len(w)::INT as words, round(case when len(w) = 0 then 0 else list_sum(list_transform(w, lambda x: length(x))) / len(w) end, 6) as mean_word_length,
+round(coalesce((list_sum(list_transform(l, lambda x: length(x))) - list_sum(list_transform(list_distinct(l), lambda x: length(x)))) / list_sum(list_transform(l, lambda x: length(x))), 0), 6) as repeated_line_share from l""",
     "p4_cleaned": r"""
 with d as (select doc_id, source_id, page_key, text from documents where text is not null and source_id is not null),
 t as (select source_id, count(distinct page_key) as pages from d group by source_id),
