@@ -36,6 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def arrow_once(kind: str):
+    """A decorator: a function over Arrow arrays whose values a plan works out once.
+
+    A filter on its result would otherwise be pushed below the projection that
+    computes it, and both would call it. It is said to be not deterministic, which
+    keeps it in its place; the functions here do give the same values each time.
+    """
+
+    def wrap(function):
+        return F.arrow_udf(function, kind).asNondeterministic()
+
+    return wrap
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """The same rows read back from the shared folder, with no lineage."""
     shared_dir(df.sparkSession)

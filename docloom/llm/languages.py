@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._plan import arrow_once
 from ._texts import U64, chunks, mix, powers
 
 BITS = 16  # of a feature's bucket
@@ -146,7 +147,7 @@ def learn(texts: DataFrame, text_col: str, words: list[tuple[str, str]]) -> Lang
         lookup[w] = (*lookup.get(w, ()), lang)
     held = texts.sparkSession.sparkContext.broadcast(lookup)
 
-    @F.arrow_udf("array<struct<lang:string,bucket:int>>")
+    @arrow_once("array<struct<lang:string,bucket:int>>")
     def counted(values: pa.Array) -> pa.Array:
         langs, buckets, sizes = [], [], [np.zeros(1, dtype=np.int64)]
         for begin in range(0, len(values), 1024):

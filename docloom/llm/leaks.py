@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import cut
+from ._plan import arrow_once, cut
 from ._texts import U64, Words, chunks, hash_windows, hash_words, mix
 
 WALK = 2  # steps of the walk per word
@@ -311,7 +311,7 @@ _built: dict[str, _Items] = {}
 def _search(base: DataFrame, held, config: LeakConfig) -> DataFrame:
     key = uuid4().hex  # workers outlive a query
 
-    @F.arrow_udf("array<bigint>")
+    @arrow_once("array<bigint>")
     def search(texts: pa.Array) -> pa.Array:
         if key not in _built:
             _built.clear()
@@ -351,13 +351,13 @@ def _joined(base: DataFrame, fields: DataFrame, config: LeakConfig) -> DataFrame
     items have, so only windows that share one are keyed and shuffled.
     """
 
-    @F.arrow_udf("array<bigint>")
+    @arrow_once("array<bigint>")
     def runs(texts: pa.Array) -> pa.Array:
         words = hash_words(texts.to_pylist())
         found, of = hash_windows(words, config.run)
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(texts) + 1)), pa.int32()), pa.array((found >> U64(64 - BITS)).view(np.int64)))
 
-    @F.arrow_udf(_KEYED)
+    @arrow_once(_KEYED)
     def item_keys(texts: pa.Array) -> pa.Array:
         windows, owner, _ = item_windows(texts.to_pylist(), config)
         return _keyed(windows, owner, len(texts), config)
@@ -366,7 +366,7 @@ def _joined(base: DataFrame, fields: DataFrame, config: LeakConfig) -> DataFrame
     maps = bit.groupBy(F.bitmap_bucket_number("_bit").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map")).collect()  # 2**BITS bits in all
     held, name = base.sparkSession.sparkContext.broadcast({r["_b"]: bytes(r["_map"]) for r in maps}), uuid4().hex
 
-    @F.arrow_udf(_KEYED)
+    @arrow_once(_KEYED)
     def document_keys(texts: pa.Array) -> pa.Array:
         known = _bitmap(name, held)
         out = []
@@ -376,7 +376,7 @@ def _joined(base: DataFrame, fields: DataFrame, config: LeakConfig) -> DataFrame
                 out.append(_keyed(*document_windows(values[a:b], known, config), b - a, config))
         return pa.concat_arrays(out) if out else _keyed(np.zeros((0, config.window + config.edits), dtype=np.uint64), np.zeros(0, dtype=np.int64), 0, config)
 
-    @F.arrow_udf("boolean")
+    @arrow_once("boolean")
     def close(mine: pa.Array, theirs: pa.Array) -> pa.Array:
         a, b = (x.flatten().to_numpy().view(np.uint64).reshape(len(x), -1) for x in (mine, theirs))
         return pa.array(within_edits(a, b, config.edits, 2 * config.edits)) if len(a) else pa.array([], pa.bool_())

@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import broadcast_if_small, cut
+from ._plan import arrow_once, broadcast_if_small, cut
 from ._texts import U64, chunks, hash_windows, hash_words, mix, sequence_hashes
 
 BROADCAST_ROWS = 1_000_000
@@ -102,7 +102,7 @@ def _signature_type() -> str:
 def sketch_documents(df: DataFrame, id_col: str, text_col: str, config: DuplicateConfig) -> DataFrame:
     """_id, words, fp1, fp2 (128 bits of hash of the word sequence), bands (a key each), sketch (half a byte a bin)."""
 
-    @F.arrow_udf(_signature_type())
+    @arrow_once(_signature_type())
     def sketch(texts: pa.Array) -> pa.Array:
         parts = []
         for begin in range(0, len(texts), 512):
@@ -150,7 +150,7 @@ def _likely(pairs: DataFrame, config: DuplicateConfig) -> DataFrame:
     """Pairs whose sketches agree about as much as the threshold asks."""
     least, bins = config.least, config.bins
 
-    @F.arrow_udf("boolean")
+    @arrow_once("boolean")
     def agree(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array(_agreeing(_sketches_of(x), _sketches_of(y), bins) >= least) if len(x) else pa.array([], pa.bool_())
 
@@ -205,7 +205,7 @@ def _likely_in_blocks(single: DataFrame, hot: DataFrame, config: DuplicateConfig
 def _shingle_sets(df: DataFrame, config: DuplicateConfig) -> DataFrame:
     """_id, _set (distinct shingle hashes) of each row of _id, _text."""
 
-    @F.arrow_udf("array<bigint>")
+    @arrow_once("array<bigint>")
     def sets(texts: pa.Array) -> pa.Array:
         values, sizes = [], [np.zeros(1, dtype=np.int64)]
         for begin in range(0, len(texts), 512):

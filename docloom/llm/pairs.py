@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import SALTS, small_enough
+from ._plan import SALTS, arrow_once, small_enough
 from .languages import Languages, learn
 
 DEFECTS = ("empty", "refusal", "copies_question", "truncated", "other_language")
@@ -437,7 +437,7 @@ def defective_pairs(answers: DataFrame, queries: DataFrame, common_words: DataFr
         raise ValueError(f"more than {MAX_WORDS} common words")
     held = answers.sparkSession.sparkContext.broadcast((learn(queries, query_col, words), frozenset(w.lower() for _, w in words)))
 
-    @F.arrow_udf("string")
+    @arrow_once("string")
     def defect(answer: pa.Array, query: pa.Array, cited: pa.Array) -> pa.Array:
         out: list[str | None] = []
         for at in range(0, len(answer), 512):

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._plan import arrow_once
 from ._texts import U64, Words, chunks, hash_windows, hash_words
 
 FORMS = ("prose", "list", "table", "junk")
@@ -268,7 +269,7 @@ def describe(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", tex
     held = df.sparkSession.sparkContext.broadcast(common)
     kind = "struct<" + STATISTICS.replace(", ", ",").replace(" ", ":") + ">"
 
-    @F.arrow_udf(kind)
+    @arrow_once(kind)
     def statistics(texts: pa.Array) -> pa.Array:
         known = held.value
         ascii_ = np.unique(hash_words([w for w in known if w.isascii() and w.isalnum()]).hashes)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._plan import cut, join_small, small_enough
+from ._plan import arrow_once, cut, join_small, small_enough
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def _looked_up(base: DataFrame, frequent: DataFrame, config: RepeatConfig) -> Da
     order = np.lexsort((g, h))
     held = base.sparkSession.sparkContext.broadcast((h[order], g[order]))
 
-    @F.arrow_udf("array<boolean>")
+    @arrow_once("array<boolean>")
     def kept(hashes: pa.Array, others: pa.Array) -> pa.Array:
         known_h, known_g = held.value
         asked_h, asked_g = (x.flatten().to_numpy(zero_copy_only=False) for x in (hashes, others))

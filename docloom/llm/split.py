@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._plan import arrow_once
 from ._texts import chunks
 
 #: What a cut costs: at a line end, a sentence end, a clause end, between any two words.
@@ -153,7 +154,7 @@ def split_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     kind = f"struct<oversized boolean, hard_cut int, path_words int, pieces array<struct<{_PIECE.replace(' ', ':').replace(',:', ',')}>>>"
 
-    @F.arrow_udf(kind)
+    @arrow_once(kind)
     def plan(texts: pa.Array, paths: pa.Array) -> pa.Array:
         over, hard, in_path, ends = [], [], [], [0]
         no, body, first, size, cut = [], [], [], [], []

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._plan import arrow_once
 from ._texts import U64, Words, chunks, hash_windows, hash_words
 from .quality import damaged, forms_of, words_of
 
@@ -295,7 +296,7 @@ def document_subjects(df: DataFrame, labels: DataFrame, subjects: DataFrame, com
     model = fit(areas, [(r["_text"], list(r["_labels"])) for r in sorted(texts, key=lambda r: (r["_id"], r["_text"]))], words_of(common_words), config)
     held = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("array<string>")
+    @arrow_once("array<string>")
     def mixture(values: pa.Array) -> pa.Array:
         out: list[list[str]] = []
         for begin in range(0, len(values), 1024):

@@ -20,6 +20,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._plan import arrow_once
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
@@ -144,7 +146,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     name = _ship(df, vocabulary)
 
-    @F.arrow_udf("array<int>")
+    @arrow_once("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         e = _held(name, vocabulary)
         values: list[int] = []
@@ -161,7 +163,7 @@ def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", v
     """id_col and ``text`` of every row of ids; null and empty lists give an empty text."""
     name = _ship(df, vocabulary)
 
-    @F.arrow_udf("string")
+    @arrow_once("string")
     def text(ids: pa.Array) -> pa.Array:
         e = _held(name, vocabulary)
         return pa.array([e.decode(x or []) for x in ids.to_pylist()], pa.string())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._plan import broadcast_if_small, cut
+from ._plan import arrow_once, broadcast_if_small, cut
 
 
 MOST = 256  # parts of a level
@@ -280,7 +280,7 @@ def _filed(units: DataFrame, sizes: dict[int, int], config: NeighbourConfig) ->
         first = {d: Partition(p.first, second.get(d)) for d, p in first.items()}
     held = units.sparkSession.sparkContext.broadcast(first)
 
-    @F.arrow_udf("array<int>")
+    @arrow_once("array<int>")
     def route(vectors: pa.Array, dims: pa.Array) -> pa.Array:
         out: list = [[0]] * len(vectors)
         wanted = dims.to_numpy(zero_copy_only=False)
@@ -319,7 +319,7 @@ def _second_level(units: DataFrame, first: dict[int, Partition], config: Neighbo
     """
     held = units.sparkSession.sparkContext.broadcast(first)
 
-    @F.arrow_udf("int")
+    @arrow_once("int")
     def top(vectors: pa.Array, dims: pa.Array) -> pa.Array:
         out, wanted = np.zeros(len(vectors), dtype=np.int32), dims.to_numpy(zero_copy_only=False)
         for d in np.unique(wanted):
