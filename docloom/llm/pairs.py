@@ -114,6 +114,18 @@ _REFUSALS_ES = [
 ]
 _GRAMMARS = ((_REFUSALS, _EN), (_REFUSALS_DE, _DE), (_REFUSALS_FR, _FR), (_REFUSALS_ES, _ES))
 _REFUSAL = re.compile("|".join(f"(?:{rule.format(**terms)})" for rules, terms in _GRAMMARS for rule in rules), re.I)
+#: Of which every rule needs one; searched for first, since most sentences have none.
+_TRIGGERS = (
+    "not", "n't", "no ", "no\t", "unable", "unsure", "have to", "must", "rather", "prefer", "refus", "declin", "lack", "possible", "appropriate", "sorry", "apolog", "unfortunately", "regrettably", "insufficient", "too little", "inadequate",
+    "fail", "never", "limits", "out of", "forbid", "prohibit", "outside", "beyond", "prevent", "keep", "stop", "nicht", "kein", "pas", "rien", "aucun", "unzureichend", "insuffisant", "insuficiente", "ninguna",
+)
+
+
+def _refuses(sentence: str) -> bool:
+    lowered = sentence.lower()
+    return any(t in lowered for t in _TRIGGERS) and _REFUSAL.search(sentence) is not None
+
+
 #: Sentences of the first person that do give an answer.
 _ANSWERS = re.compile(r"\b(?:than (?:this|that)|the following|otherwise|because|since it|namely|to say that)\b\s*:?|:\s+\w+(?:\s+\S+){3,}$", re.I)
 _REASON = re.compile(r"\b(?:because|since)\b[^.]*\b(?:passages|context|excerpts|material|documents|sources|guidelines|policy|chunks)\b", re.I)
@@ -137,7 +149,7 @@ def is_refusal(body: str) -> bool:
     text = _GREETING.sub("", body.replace("’", "'").strip())
     refused = False
     for s in sentences_of(text):
-        if _REFUSAL.search(s) and not (_ANSWERS.search(s) and not _REASON.search(s)):
+        if _refuses(s) and not (_ANSWERS.search(s) and not _REASON.search(s)):
             refused = True
         elif not _FILLER.search(s):
             return False
