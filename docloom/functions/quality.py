@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..planning import once
 from . import constants as C
-from ..operators.plan import once
 from .text import collapse_whitespace, flat_word_count, word_count
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..functions import text as T
-from .plan import once
+from ..planning import once
 
 UNIT = "struct<text:string,words:int,strategy:string>"
 _GROUP = "struct<first:int,end:int,words:int>"

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..planning import in_place
 
 
 def embedding_records(chunks: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ class HashingEmbedder(Embedder):
         def encode(texts: pa.Array) -> pa.Array:
             return pa.array([hashed_vector(t, dimension) for t in texts.to_pylist()], pa.list_(pa.float32()))
 
-        return F.arrow_udf(encode, "array<float>")(text)
+        return in_place(encode, "array<float>")(text)
 
     def transform(self, df: DataFrame, text_col: str) -> DataFrame:
         return df.withColumn("embedding", self.column(F.col(text_col)))
@@ -84,7 +85,7 @@ class ModelEmbedder(Embedder):
             for texts in batches:
                 yield pd.Series(list(model([t or "" for t in texts])), index=texts.index)
 
-        return df.withColumn("embedding", encode(text_col))
+        return df.withColumn("embedding", encode.asNondeterministic()(text_col))  # a filter on it must not call it again
 
 
 def embedding_summary(df: DataFrame, model: str, batch_size: int) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..planning import in_place
 from ..sources.files import exists
 from .embedding import hashed_vector
 from .sampling import complete_rows, pending
@@ -111,7 +112,6 @@ def embedding_match_scores(cases: DataFrame, answer_col: str = "answer_text_plai
     Texts without tokens score 0. Tokens that occur again are matched again.
     """
 
-    @F.arrow_udf("struct<p:double,r:double>")
     def match(answers: pa.Array, references: pa.Array) -> pa.Array:
         known: dict[str, np.ndarray] = {}
         p, r = [], []
@@ -136,6 +136,6 @@ def embedding_match_scores(cases: DataFrame, answer_col: str = "answer_text_plai
                 out.append(float(np.average(m, weights=count)))
         return pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(r, pa.float64())], ["p", "r"])
 
-    scored = cases.select(*keys, match(F.col(answer_col), F.col(reference_col)).alias("_m")).select(*keys, F.col("_m.p").alias("bertscore_p"), F.col("_m.r").alias("bertscore_r"))
+    scored = cases.select(*keys, in_place(match, "struct<p:double,r:double>")(F.col(answer_col), F.col(reference_col)).alias("_m")).select(*keys, F.col("_m.p").alias("bertscore_p"), F.col("_m.r").alias("bertscore_r"))
     total = F.nullif(F.col("bertscore_p") + F.col("bertscore_r"), F.lit(0.0))
     return scored.withColumn("bertscore_f1", F.coalesce(F.try_divide(2 * F.col("bertscore_p") * F.col("bertscore_r"), total), F.lit(0.0)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..planning import lookup
 from .evaluation import core_composite
-from .plan import lookup
 
 CORE = ("context_relevance_proxy", "answer_relevance_proxy", "proxy_core_composite", "faithfulness_proxy", "citation_validity")
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import text as T
 from ..functions.vectors import dot, finite
-from .plan import lookup, small_enough
+from ..planning import lookup, small_enough
 
 QUESTION_ROWS, QUESTION_BYTES = 20_000, 32 << 20  # of the questions that go to every batch
 BLOCK = 4096  # questions or items of a block in a grid

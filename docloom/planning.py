@@ -20,6 +20,16 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(row)))
 
 
+def in_place(function, kind: str):
+    """A function over Arrow arrays as a column function that a plan calls once a row.
+
+    A filter on its result would otherwise be pushed below the projection that
+    computes it, and both would call it. It is said to be not deterministic, which
+    keeps it in its place; the functions given here return the same values each time.
+    """
+    return F.arrow_udf(function, kind).asNondeterministic()
+
+
 def width(df: DataFrame) -> Column:
     """About how many bytes a row takes."""
     size = F.lit(16 + 8 * len(df.columns))

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions.vectors import norm
 from ..operators import evaluation, generation, judging, reports, sampling
 from ..operators.embedding import embedding_records
-from ..operators.plan import once
+from ..planning import once
 from ..sources import catalog, dispatch, pages, raw
 from ..sources.tables import chunk_lookup as _chunk_lookup
 from .queries import _LAST, _SAID, _answers, _hits, _last_answers, _q, _retrieved, _slug, _words, _ws, html_sections, printed_pages, query, table

@@ -16,8 +16,8 @@ from ..functions import quality
 from ..functions import text as T
 from ..functions.vectors import norm
 from ..operators import chunking, evaluation, generation, retrieval, sampling, summaries
-from ..operators.plan import once
 from ..operators.embedding import HashingEmbedder, embedding_records, embedding_summary
+from ..planning import once
 from ..sources import feed, html, pages
 from ..sources.tables import vector_table
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import quality
 from ..functions import text as T
+from ..planning import in_place
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -198,7 +199,7 @@ def sections(pages: DataFrame) -> DataFrame:
     above. Sections of fewer than 40 characters are dropped and do not count; low
     signal ones are dropped but count. A null page has no sections.
     """
-    parsed_page = F.arrow_udf(_parsed, _PAGE)
+    parsed_page = in_place(_parsed, _PAGE)
     parsed = pages.filter(F.col("html").isNotNull()).select("source_id", "source_url", "trust_level", "topic_tags", "document_key", parsed_page("html").alias("_p"))
     rows = parsed.withColumn("_title", F.col("_p.title")).select("*", F.posexplode("_p.sections").alias("_at", "_row"))
     path = F.when(F.size("_row.path") > 0, F.col("_row.path")).otherwise(F.array("_title"))

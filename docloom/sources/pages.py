@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import quality
 from ..functions import text as T
-from ..operators.plan import lookup, once, small_enough
+from ..planning import lookup, once, small_enough
 
 # Fixed value: the title of a file that has neither metadata nor a name
 UNTITLED = "Untitled PDF"

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import evaluation, generation, judging, plan, reports, retrieval
+from docloom import planning as plan
+from docloom.operators import evaluation, generation, judging, reports, retrieval
 from docloom.sources import dispatch, files, raw, tables
 
 
