@@ -20,6 +20,16 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(row)))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of stored files, dealt out to all cores if it comes in fewer partitions than there are.
+
+    Rules over texts take far longer than moving them, and so few partitions are
+    small ones; a scan of many partitions stays as it is and is not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 def in_place(function, kind: str):
     """A function over Arrow arrays as a column function that a plan calls once a row.
 

@@ -17,7 +17,7 @@ from ..operators.embedding import embedding_records
 from ..planning import once
 from ..sources import catalog, dispatch, pages, raw
 from ..sources.tables import chunk_lookup as _chunk_lookup
-from .queries import _LAST, _SAID, _answers, _hits, _last_answers, _q, _retrieved, _slug, _words, _ws, html_sections, printed_pages, query, table
+from .queries import _LAST, _SAID, _answers, _hits, _last_answers, _q, _retrieved, _slug, _words, _ws, documents, html_sections, printed_pages, query, table
 
 # --- lists and formats -----------------------------------------------------------------
 
@@ -106,7 +106,7 @@ def _clean_sql(x: str) -> str:
 @query(f"select doc_id, {_clean_sql('text')} as text from documents where text is not null")
 def clean_markup_text(spark, folder):
     """Texts cleaned as those of markup are."""
-    return table(spark, folder, "documents").filter("text is not null").select("doc_id", T.clean_html_text(F.col("text")).alias("text"))
+    return documents(spark, folder).filter("text is not null").select("doc_id", T.clean_html_text(F.col("text")).alias("text"))
 
 
 def _page_sql(x: str) -> str:
@@ -121,7 +121,7 @@ def _page_sql(x: str) -> str:
 @query(f"select doc_id, {_page_sql('text')} as text from documents where text is not null")
 def clean_printed_text(spark, folder):
     """Texts cleaned as those of printed pages are."""
-    return table(spark, folder, "documents").filter("text is not null").select("doc_id", T.clean_page_text(F.col("text")).alias("text"))
+    return documents(spark, folder).filter("text is not null").select("doc_id", T.clean_page_text(F.col("text")).alias("text"))
 
 
 _ITEMS = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_clean_sql('x')}), lambda x: x <> '')"
@@ -130,7 +130,7 @@ _ITEMS = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_c
 @query(f"with i as (select doc_id, {_ITEMS} as l from documents where text is not null) select doc_id, list_filter(l, lambda x, i: i = 1 or x <> l[i - 1]) as items from i")
 def dedupe_consecutive(spark, folder):
     """The lines of each text without those equal to the one before."""
-    docs = once(table(spark, folder, "documents").filter("text is not null").select("doc_id", "text"), _lines=F.split("text", "\n", -1))
+    docs = once(documents(spark, folder).filter("text is not null").select("doc_id", "text"), _lines=F.split("text", "\n", -1))
     return docs.select("doc_id", T.dedupe_consecutive(F.col("_lines")).alias("items"))
 
 
@@ -152,7 +152,7 @@ _MATTER = f"({_COVER} or {_TOC} or {_IDX} or {_REFS} or regexp_matches(w, {_q(C.
 @query(f"with {_P} select doc_id, {_TOC} as contents, {_IDX} as idx, {_REFS} as refs, {_ABBR} as abbreviations, {_PUBL} as publisher, {_VEND} as vendor, {_MATTER} as front_or_back from p")
 def page_rules(spark, folder):
     """What each text would be as a page: contents, index, references, abbreviations, publisher's or vendor's matter."""
-    docs = table(spark, folder, "documents").filter("text is not null").select("doc_id", (1 + F.pmod("doc_id", F.lit(20))).alias("_page"), "text")
+    docs = documents(spark, folder).filter("text is not null").select("doc_id", (1 + F.pmod("doc_id", F.lit(20))).alias("_page"), "text")
     lines = F.filter(F.transform(F.split("text", "\n", -1), T.collapse_whitespace), lambda x: x != "")
     rows = once(docs, _lines=lines, _text=T.collapse_whitespace(F.col("text")))
     page, said, text = F.col("_page"), F.col("_lines"), F.col("_text")
@@ -253,7 +253,7 @@ _PATH = f"array_to_string({_SAID}, ' > ')"
 @query(f"""select doc_id, {_PATH} as section_path_text, 'kind, ' || doc_kind as topic_tags_text, concat_ws(chr(10), case when {_ws('title')} <> '' then 'Title: ' || {_ws('title')} end, case when len({_SAID}) > 0 then 'Section: ' || {_PATH} end, case when {_ws('text')} <> '' then 'Content: ' || {_ws('text')} end) as retrieval_text from documents where doc_kind is not null""")
 def embedding_inputs(spark, folder):
     """What is embedded of each document: joined path and tags, and the retrieval text."""
-    docs = table(spark, folder, "documents").filter("doc_kind is not null").withColumn("topic_tags", F.array(F.lit("kind"), "doc_kind"))
+    docs = documents(spark, folder).filter("doc_kind is not null").withColumn("topic_tags", F.array(F.lit("kind"), "doc_kind"))
     return embedding_records(docs).select("doc_id", "section_path_text", "topic_tags_text", "retrieval_text")
 
 

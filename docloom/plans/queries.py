@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..functions.vectors import norm
 from ..operators import chunking, evaluation, generation, retrieval, sampling, summaries
 from ..operators.embedding import HashingEmbedder, embedding_records, embedding_summary
-from ..planning import once
+from ..planning import once, spread
 from ..sources import feed, html, pages
 from ..sources.tables import vector_table
 
@@ -42,6 +42,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, dealt out to all cores where a few files hold them all."""
+    return spread(table(spark, folder, "documents"))
+
+
 # --- SQL fragments -------------------------------------------------------------------
 
 
@@ -178,7 +183,7 @@ select doc_id, topic, round(least({C.TOPIC_HIT_BONUS} * hits, {C.TOPIC_BONUS_CAP
 )
 def topic_bonus(spark, folder):
     """The bonus of each document for each topic that it touches."""
-    docs = table(spark, folder, "documents").filter("text is not null").select("doc_id", "source_id", "section_path", "text")
+    docs = documents(spark, folder).filter("text is not null").select("doc_id", "source_id", "section_path", "text")
     path = F.when(F.col("section_path").isNotNull(), T.join_path(F.col("section_path")))
     placed = once(docs, _place=retrieval.topic_place(F.col("source_id"), path, F.col("text"))).select("doc_id", "_place")
     hits = F.array(*(F.struct(F.lit(t).alias("topic"), retrieval.topic_hits(F.col("_place"), t).alias("hits")) for t in C.TOPIC_KEYWORDS))
@@ -200,7 +205,7 @@ _MODE_NAMES = {"baseline": "baseline_dense_top3", "improved": "improved_dense_mm
 
 
 def _hashed_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     records = embedding_records(chunking.chunk_documents(docs))
     return HashingEmbedder(64).transform(records, "retrieval_text").filter("embedding is not null")
 
@@ -250,7 +255,7 @@ def embedding_run(spark, folder):
 @query(f"select doc_id, {_ws('text')} as text, ({_words(_ws('text'))})::BIGINT as words, length(text) as chars from documents where text is not null")
 def collapse_ws(spark, folder):
     """Texts with single spaces, their words and characters."""
-    return table(spark, folder, "documents").filter("text is not null").select("doc_id", T.collapse_whitespace(F.col("text")).alias("text"), T.word_count(F.col("text")).cast("long").alias("words"), F.length("text").cast("long").alias("chars"))
+    return documents(spark, folder).filter("text is not null").select("doc_id", T.collapse_whitespace(F.col("text")).alias("text"), T.word_count(F.col("text")).cast("long").alias("words"), F.length("text").cast("long").alias("chars"))
 
 
 @query(f"select doc_id, {_slug('coalesce(title, source)')} as slug from documents")
@@ -294,12 +299,12 @@ def _numbered_sql(items: str, name: str) -> str:
 
 @query(_numbered_sql(_parts(_ws("text"), "[.!?]"), "sentence"))
 def sentence_split(spark, folder):
-    return _numbered(table(spark, folder, "documents"), T.split_sentences(F.col("text")), "sentence")
+    return _numbered(documents(spark, folder), T.split_sentences(F.col("text")), "sentence")
 
 
 @query(_numbered_sql(_parts(_ws("text"), "[;:]"), "clause"))
 def clause_split(spark, folder):
-    return _numbered(table(spark, folder, "documents"), T.split_clauses(F.col("text")), "clause")
+    return _numbered(documents(spark, folder), T.split_clauses(F.col("text")), "clause")
 
 
 _PROXY_MARKED = f"regexp_replace(text, {_q(f'([.!?]){C.SPACE}+')}, '\\1' || chr(1), 'g')"
@@ -307,7 +312,7 @@ _PROXY_MARKED = f"regexp_replace(text, {_q(f'([.!?]){C.SPACE}+')}, '\\1' || chr(
 
 @query(_numbered_sql(f"list_filter(list_transform(string_split({_PROXY_MARKED}, chr(1)), lambda s: {_strip('s')}), lambda s: length(s) >= {C.MIN_PROXY_SENTENCE})", "sentence"))
 def proxy_sentence_split(spark, folder):
-    return _numbered(table(spark, folder, "documents"), T.proxy_sentences(F.col("text")), "sentence")
+    return _numbered(documents(spark, folder), T.proxy_sentences(F.col("text")), "sentence")
 
 
 @query(
@@ -317,7 +322,7 @@ select doc_id, row_number() over (partition by doc_id order by first) as no, fir
 )
 def word_windows(spark, folder):
     """Overlapping word windows of each text."""
-    counted = table(spark, folder, "documents").select("doc_id", T.word_count(F.col("text")).alias("_n")).filter("_n > 0")
+    counted = documents(spark, folder).select("doc_id", T.word_count(F.col("text")).alias("_n")).filter("_n > 0")
     rows = counted.select("doc_id", F.posexplode(chunking.word_windows(F.col("_n"))).alias("_at", "_w"))
     return rows.select("doc_id", (F.col("_at") + 1).cast("long").alias("no"), F.col("_w.first").cast("long").alias("first"), F.col("_w.end").cast("long").alias("end"))
 
@@ -339,7 +344,7 @@ units as (select doc_id, row_number() over (partition by doc_id order by i, j, k
 @query(f"with {_UNITS} select doc_id, no, text, words::BIGINT as words, strategy from units")
 def semantic_units(spark, folder):
     """Sentences, else clauses, else word windows of each text."""
-    rows = _numbered(table(spark, folder, "documents"), chunking.semantic_units(F.col("text")), "_u")
+    rows = _numbered(documents(spark, folder), chunking.semantic_units(F.col("text")), "_u")
     return rows.select("doc_id", "no", "_u.text", F.col("_u.words").cast("long").alias("words"), "_u.strategy")
 
 
@@ -362,7 +367,7 @@ select doc_id, own as no, min(first)::BIGINT as first, max("end")::BIGINT as "en
 )
 def semantic_chunks(spark, folder):
     """Units packed into chunks."""
-    rows = _numbered(table(spark, folder, "documents"), chunking.chunk_groups(chunking.semantic_units(F.col("text"))), "_g")
+    rows = _numbered(documents(spark, folder), chunking.chunk_groups(chunking.semantic_units(F.col("text"))), "_g")
     return rows.select("doc_id", F.col("no").cast("int").alias("no"), *(F.col(f"_g.{c}").cast("long").alias(c) for c in ("first", "end", "words")))
 
 
@@ -382,7 +387,7 @@ select doc_id, case when {_words('flat')} >= 45 or prefix = '' or starts_with(lo
 )
 def enrich_short_text(spark, folder):
     """Short texts with their context in front."""
-    return table(spark, folder, "documents").filter("text is not null").select("doc_id", T.enrich_short_text(F.col("section_path"), F.col("text")).alias("text"))
+    return documents(spark, folder).filter("text is not null").select("doc_id", T.enrich_short_text(F.col("section_path"), F.col("text")).alias("text"))
 
 
 @query(
@@ -390,7 +395,7 @@ def enrich_short_text(spark, folder):
 )
 def retrieval_text(spark, folder):
     """What is embedded of each document."""
-    return table(spark, folder, "documents").select("doc_id", T.retrieval_text(F.col("title"), F.col("section_path"), F.col("text")).alias("retrieval_text"))
+    return documents(spark, folder).select("doc_id", T.retrieval_text(F.col("title"), F.col("section_path"), F.col("text")).alias("retrieval_text"))
 
 
 # --- quality ---------------------------------------------------------------------------
@@ -424,7 +429,7 @@ chunks as (select *, doc_id || '__chunk_' || printf('%04d', no) as chunk_id from
 )
 def document_chunks(spark, folder):
     """The chunk records of all documents."""
-    rows = chunking.chunk_documents(table(spark, folder, "documents"))
+    rows = chunking.chunk_documents(documents(spark, folder))
     return rows.select("chunk_id", "doc_id", "chunk_index", "chunk_unit_start", "chunk_unit_end", "sentence_count", "chunk_strategies", "source_doc_word_count", "word_count", F.col("char_count"), "text")
 
 
@@ -435,7 +440,7 @@ _FLAT = f"with f as (select *, {_ws('text')} as flat from documents where text i
 (regexp_matches(coalesce(array_to_string(section_path, ' > '), ''), {_q(C.LOW_SIGNAL_HEADING)}) or regexp_matches(text, {_q(C.LOW_SIGNAL_TEXT)})) as low_signal_section from f""")
 def low_signal(spark, folder):
     """What the heuristics say of each document."""
-    docs = table(spark, folder, "documents").filter("text is not null").select("doc_id", "text", "section_path")
+    docs = documents(spark, folder).filter("text is not null").select("doc_id", "text", "section_path")
     told = quality.with_signals(once(docs, _path=quality.low_signal_path(F.col("section_path")), low_signal_section=quality.low_signal_section(F.col("section_path"), F.col("text"))), "text")
     return told.select("doc_id", F.col("_url_heavy").alias("url_heavy"), F.col("_index_like").alias("index_like"), F.col("_low_signal").alias("low_signal_chunk"), (F.col("_path") | F.col("_low_signal")).alias("low_signal_document"), "low_signal_section")
 
@@ -444,7 +449,7 @@ _LINES = f"lines as (select source_id, doc_id, unnest(string_split(text, chr(10)
 
 
 def _source_lines(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").filter("text is not null and source_id is not null")
+    docs = documents(spark, folder).filter("text is not null and source_id is not null")
     lines = docs.select(F.col("source_id").alias("document"), F.col("doc_id").alias("page_number"), F.explode(F.split("text", "\n", -1)).alias("_l"))
     return once(lines, line=T.collapse_whitespace(F.col("_l"))).drop("_l").filter("line <> ''")
 
@@ -470,7 +475,7 @@ def boilerplate_lines(spark, folder):
 
 def printed_pages(spark, folder):
     """Documents of printed pages, from the text of all documents of a source as its pages."""
-    docs = table(spark, folder, "documents").filter("source_id is not null")
+    docs = documents(spark, folder).filter("source_id is not null")
     rows = pages.page_documents(docs.select(F.col("source_id").alias("document"), F.col("source").alias("title"), "source_id", F.concat(F.lit("https://docs.example/"), "source_id").alias("source_url"), "trust_level", F.array().cast("array<string>").alias("topic_tags"), F.lit(None).cast("string").alias("document_key"), F.col("doc_id").alias("page_number"), F.col("text").alias("raw_text")))
     return rows.select("doc_id", "source_id", "page_number", "title", "section_path", "text")
 
@@ -479,7 +484,7 @@ def html_sections(spark, folder):
     """Sections of pages made of all documents: a heading and a paragraph for each line."""
     escaped = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     page = F.concat(F.lit("<html><head><title>x</title></head><body><nav>menu</nav><main><h1>"), F.coalesce("title", F.lit("Page")), F.lit("</h1><p>"), F.replace(escaped, F.lit("\n"), F.lit("</p><p>")), F.lit("</p></main></body></html>"))
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     rows = html.sections(docs.select(F.coalesce("source_id", F.lit("unknown")).alias("source_id"), "source_url", "trust_level", F.array().cast("array<string>").alias("topic_tags"), F.col("page_key").alias("document_key"), page.alias("html")))
     return rows.select("doc_id", "source_id", "page_key", "title", "section_path", "text")
 
