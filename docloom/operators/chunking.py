@@ -18,7 +18,8 @@ from ..planning import once
 
 UNIT = "struct<text:string,words:int,strategy:string>"
 _GROUP = "struct<first:int,end:int,words:int>"
-_STATE = f"struct<closed:array<{_GROUP}>,open:{_GROUP}>"
+_STATE = f"struct<blocks:array<array<{_GROUP}>>,tail:array<{_GROUP}>,open:{_GROUP}>"
+_BLOCK = 128  # closed chunks that are copied at most when one more is closed, however long the text
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,8 @@ class ChunkConfig:
         if self.min_words < 1:
             raise ValueError("min_words must be at least 1")
 
+    # The shares of the limit that steer the packing
+
     @property
     def target(self) -> int:
         return max(self.min_words, int(self.max_words * 0.78))
@@ -106,17 +109,19 @@ def chunk_groups(units: Column, config: ChunkConfig = ChunkConfig()) -> Column:
         joins = (open_["words"] < config.min_words) | ((open_["words"] < config.target) & (total <= config.soft_max)) | ((total <= config.max_words) & (n <= config.small))
         grown = group(open_["first"], open_["end"] + 1, total)
         fresh = group(open_["end"], open_["end"] + 1, n)
-        closed = F.when(joins, state["closed"]).otherwise(F.concat(state["closed"], F.array(open_)))
-        return F.struct(closed.alias("closed"), F.when(joins, grown).otherwise(fresh).alias("open")).cast(_STATE)
+        full = F.size(state["tail"]) >= _BLOCK
+        blocks = F.when(~joins & full, F.concat(state["blocks"], F.array(state["tail"]))).otherwise(state["blocks"])
+        tail = F.when(joins, state["tail"]).when(full, F.array(open_)).otherwise(F.concat(state["tail"], F.array(open_)))
+        return F.struct(blocks.alias("blocks"), tail.alias("tail"), F.when(joins, grown).otherwise(fresh).alias("open")).cast(_STATE)
 
     def finish(state: Column) -> Column:
-        closed, open_ = state["closed"], state["open"]
+        closed, open_ = F.flatten(F.concat(state["blocks"], F.array(state["tail"]))), state["open"]
         before = F.try_element_at(closed, F.lit(-1))
         merged = F.concat(F.slice(closed, 1, F.greatest(F.size(closed) - 1, F.lit(0))), F.array(group(before["first"], open_["end"], before["words"] + open_["words"])))
         every = F.when((F.size(closed) > 0) & (open_["words"] < config.min_words), merged).otherwise(F.concat(closed, F.array(open_)))
         return F.when(open_["end"] > 0, every).otherwise(F.array().cast(f"array<{_GROUP}>"))
 
-    start = F.struct(F.array().cast(f"array<{_GROUP}>").alias("closed"), group(F.lit(0), F.lit(0), F.lit(0)).alias("open")).cast(_STATE)
+    start = F.struct(F.array().cast(f"array<array<{_GROUP}>>").alias("blocks"), F.array().cast(f"array<{_GROUP}>").alias("tail"), group(F.lit(0), F.lit(0), F.lit(0)).alias("open")).cast(_STATE)
     return F.aggregate(units, start, add, finish)
 
 

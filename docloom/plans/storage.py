@@ -21,7 +21,7 @@ from .queries import _SAID, query, table
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors share, deleted with the session; an error on a cluster that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         if not spark.sparkContext._jsc.sc().isLocal():
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")

@@ -10,6 +10,7 @@ from ..functions import text as T
 
 _ITEM = "struct<id:string,summary:string,content_text:string,status:string,date_published:string,url:string,external_url:string>"
 FEED = f"struct<title:string,description:string,_kubernetes_io:struct<updated_at:string>,items:array<{_ITEM}>>"
+# Fixed value: the title of a feed that names none
 DEFAULT_TITLE = "Kubernetes Official CVE Feed"
 
 

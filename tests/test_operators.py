@@ -19,6 +19,15 @@ def test_chunk_documents_defined_cases(spark):
     assert all(r["word_count"] <= 179 for r in got)
 
 
+def test_chunks_of_a_very_long_text(spark):
+    """The fold closes thousands of chunks block by block; every word is in one of them, in order."""
+    text = " ".join(f"Sentence number {i} says {'a few words ' * (i % 9)}here." for i in range(20_000))
+    groups = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(chunking.chunk_groups(chunking.semantic_units(F.col("t"))).alias("g")).collect()
+    found = groups[0]["g"]
+    assert len(found) > 1000 and sum(g["words"] for g in found) == len(text.split()) and not groups[1]["g"] and not groups[2]["g"]
+    assert found[0]["first"] == 0 and found[-1]["end"] == 20_000 and all(a["end"] == b["first"] for a, b in zip(found, found[1:]))
+
+
 def mmr_by_hand(sim, dots, weight):
     left, taken = list(range(len(sim))), []
     while left:
