@@ -81,4 +81,14 @@ select variant from o where place <= n // 20""",
 with i as (select item_id, regexp_extract_all(lower(unnest([query_text, reference_answer])), '[a-z0-9]+') as w from heldout_items), ig as (select distinct item_id, g from ({_grams('i', 'item_id', 'w', 12)})),
 d as (select doc_id, {_WORDS} as w from documents where text is not null), dg as ({_grams('d', 'doc_id', 'w', 12)})
 select distinct doc_id, item_id from dg join ig using (g)""",
+    # within one edit of an item's 12 words if what the beginnings and the ends have in common leaves out one word at most
+    "p9_near": f"""
+with i as (select item_id, regexp_extract_all(lower(unnest([query_text, reference_answer])), '[a-z0-9]+') as w from heldout_items),
+iw as (select distinct item_id, b from (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: w[k : k + 11])) as b from i)),
+d as (select doc_id, {_WORDS} as w from documents where text is not null),
+dw as (select distinct doc_id, a from (select doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda k: w[k : k + n - 1])) as a from d, (values (11), (12), (13)) x(n))),
+m as (select doc_id, item_id, a, b from dw join iw on a[1:6] = b[1:6] union select doc_id, item_id, a, b from dw join iw on a[-6:] = b[-6:]),
+c as (select doc_id, item_id, len(a) as n, coalesce(nullif(list_position(list_transform(range(1, 12), lambda k: a[k] is distinct from b[k]), true), 0) - 1, 11) as p,
+coalesce(nullif(list_position(list_transform(range(1, 12), lambda k: a[-k] is distinct from b[-k]), true), 0) - 1, 11) as s from m)
+select distinct doc_id, item_id from c where p + s >= case when n = 13 then 12 else 11 end""",
 }
