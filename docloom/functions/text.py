@@ -81,7 +81,9 @@ def clean_page_line(line: Column) -> Column:
 def dedupe_consecutive(items: Column) -> Column:
     """Cleaned, non-empty items without those equal to the one before."""
     said = F.filter(F.transform(items, clean_html_text), lambda x: x != "")
-    return F.filter(said, lambda x, i: (i == 0) | (x != F.get(said, i - 1)))
+    # said is bound as an entry of a list: written out within the filter, all items would be cleaned again for each
+    kept = F.transform(F.array(said), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))
+    return F.get(kept, F.lit(0))
 
 
 def _split_before_start(flat: Column, ends: str) -> Column:

@@ -63,6 +63,15 @@ def test_expressions(spark):
     assert list(got) == [wanted for _, wanted in pairs]
 
 
+def test_items_are_cleaned_once(spark):
+    items = [f" line {i // 3} ¶ --" if i % 5 else " " for i in range(20_000)]
+    said = [f"line {i // 3}" for i in range(20_000) if i % 5]
+    wanted = [x for x, before in zip(said, [None, *said]) if x != before]
+    got = spark.createDataFrame([(items,), (None,), ([],), ([None, "a", None, "a ¶"],)], "i array<string>").select(T.dedupe_consecutive(F.col("i")).alias("x"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("¶") == 1  # written out again in a lambda, all would be cleaned for each
+    assert [r["x"] for r in got.collect()] == [wanted, None, [], ["a"]]
+
+
 def test_word_windows(spark):
     windows = lambda n, c=chunking.ChunkConfig(): [tuple(w) for w in one(spark, chunking.word_windows(F.lit(n), c))]
     assert windows(300) == [(0, 160), (120, 280), (240, 300)]
